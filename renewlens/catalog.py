@@ -53,12 +53,13 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SCORED_CTE = f"""{RENEWAL_CTE_SQL},
-scored AS (
+SCORED_PART = f"""scored AS (
   SELECT *, CAST(pred_probability >= CAST(0.5 AS DOUBLE) AS INTEGER) AS pred_label,
          {level_tag_sql('pred_probability')} AS level_tag
   FROM (SELECT *, {PSEUDO_SCORE_SQL} AS pred_probability FROM renewal) s
 )"""
+SCORED_CTE = f"""{RENEWAL_CTE_SQL},
+{SCORED_PART}"""
 
 PERF_CTE = f"""{SCORED_CTE},
 agg AS (
@@ -324,3 +325,369 @@ WHERE l1_term_name IS NOT NULL AND house_price IS NOT NULL AND NOT isnan(house_p
 def q_drop_missing(spark, sf_dir):
     r = renewal_df(spark, sf_dir).select("user_id", TERM, "house_price", "fns_cnt")
     return drop_missing(r, [TERM, "house_price", "fns_cnt"])
+
+
+# ---------------------------------------------------------------------------
+# features (H1-H8, B1, B3, D12)
+# ---------------------------------------------------------------------------
+
+from .functions.features import applicable_recipes, derive_features, sanitize, sanitize_numeric, sanitize_sql  # noqa: E402
+from .operators import profile as P  # noqa: E402
+from .operators import split as S  # noqa: E402
+from .operators import metrics as M  # noqa: E402
+from .operators.selection import align_columns, select_feature_names  # noqa: E402
+from .sources.renewal import RENEWAL_COLUMNS  # noqa: E402
+
+DERIVED_OUTPUTS = [r.output for r in applicable_recipes(RENEWAL_COLUMNS)]
+NUMERIC_FEATURES = ["city_score", "house_price", "grade", "refresh_num", "is_enable", "fns_cnt",
+                    "house_price_log", "city_score_house_price_ratio", "fns_cnt_per_grade",
+                    "is_enable_fns_interaction", "refresh_fns_interaction"]
+
+
+def _derived_sql(src: str = "renewal", columns=RENEWAL_COLUMNS) -> str:
+    recs = applicable_recipes(columns)
+    replaced = [r for r in recs if r.output in columns]
+    added = [r for r in recs if r.output not in columns]
+    rep = f" REPLACE ({', '.join(f'{r.sql()} AS {r.output}' for r in replaced)})" if replaced else ""
+    return f"SELECT *{rep}, {', '.join(f'{r.sql()} AS {r.output}' for r in added)} FROM {src}"
+
+
+DERIVED_CTE = f"""{RENEWAL_CTE_SQL},
+derived AS ({_derived_sql()})"""
+
+
+def derived(spark, sf_dir):
+    return derive_features(renewal_df(spark, sf_dir))
+
+
+@register("features_derived", f"""WITH {DERIVED_CTE}
+SELECT user_id, {', '.join(f"round({sanitize_sql(c)}, 6) AS {c}" for c in DERIVED_OUTPUTS)} FROM derived""")
+def q_features_derived(spark, sf_dir):
+    d = derived(spark, sf_dir)
+    return d.select("user_id", *[r6(sanitize(F.col(c))).alias(c) for c in DERIVED_OUTPUTS])
+
+
+@register("inf_counts", f"""WITH {DERIVED_CTE}
+""" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST(count(*) FILTER (WHERE abs(CAST({c} AS DOUBLE)) = CAST('inf' AS DOUBLE)) AS BIGINT) AS inf_count, "
+    f"CAST(count(*) FILTER (WHERE isnan(CAST({c} AS DOUBLE))) AS BIGINT) AS nan_count FROM derived"
+    for c in NUMERIC_FEATURES))
+def q_inf_counts(spark, sf_dir):
+    return P.nonfinite_counts(derived(spark, sf_dir), NUMERIC_FEATURES)
+
+
+@register("sanitize_numeric", f"""WITH {DERIVED_CTE}
+""" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST(count(*) FILTER (WHERE isnan(CAST({c} AS DOUBLE)) OR abs(CAST({c} AS DOUBLE)) = CAST('inf' AS DOUBLE)) AS BIGINT) AS n_made_missing, "
+    f"CAST(count({sanitize_sql(c)}) AS BIGINT) AS n_valid FROM derived"
+    for c in NUMERIC_FEATURES))
+def q_sanitize_numeric(spark, sf_dir):
+    return P.sanitize_report(derived(spark, sf_dir), NUMERIC_FEATURES)
+
+
+DEFAULT_FEATURES = select_feature_names(RENEWAL_COLUMNS + [o for o in DERIVED_OUTPUTS if o not in RENEWAL_COLUMNS])
+
+
+def _feature_select_sql(src: str) -> str:
+    cols = []
+    for c in DEFAULT_FEATURES:
+        cols.append(f"round({sanitize_sql(c)}, 6) AS {c}" if c in NUMERIC_FEATURES and c not in ("grade", "refresh_num", "is_enable") else c)
+    return f"SELECT user_id, {', '.join(cols)} FROM {src}"
+
+
+def _feature_select_df(d: DataFrame) -> DataFrame:
+    x = sanitize_numeric(d.select("user_id", *DEFAULT_FEATURES))
+    return x.select("user_id", *[r6(c).alias(c) if dict(x.dtypes)[c] == "double" else F.col(c) for c in DEFAULT_FEATURES])
+
+
+@register("feature_select", f"""WITH {DERIVED_CTE}
+{_feature_select_sql('derived')}""")
+def q_feature_select(spark, sf_dir):
+    """B1: default include/exclude lists over the derived table, sanitized."""
+    return _feature_select_df(derived(spark, sf_dir))
+
+
+MISSING_AT_SCORING = ["house_price", "device"]
+
+
+@register("transform_missing_cols", f"""WITH {RENEWAL_CTE_SQL},
+reduced AS (SELECT * EXCLUDE ({', '.join(MISSING_AT_SCORING)}) FROM renewal),
+derived AS ({_derived_sql('reduced', [c for c in RENEWAL_COLUMNS if c not in MISSING_AT_SCORING])})
+SELECT user_id, {', '.join(
+    (f"CAST(NULL AS DOUBLE) AS {c}" if c == 'house_price' else f"CAST(NULL AS VARCHAR) AS {c}") if c in MISSING_AT_SCORING
+    else (f"round({sanitize_sql(c)}, 6) AS {c}" if c in ('city_score', 'fns_cnt') else c)
+    for c in DEFAULT_FEATURES)} FROM derived""")
+def q_transform_missing_cols(spark, sf_dir):
+    """Scoring input lacking two stored feature columns -> typed null columns."""
+    reduced = renewal_df(spark, sf_dir).drop(*MISSING_AT_SCORING)
+    d = derive_features(reduced)
+    types = {"house_price": "double", "device": "string"}
+    x = sanitize_numeric(align_columns(d, ["user_id", *DEFAULT_FEATURES], types))
+    return x.select("user_id", *[r6(c).alias(c) if dict(x.dtypes)[c] == "double" else F.col(c) for c in DEFAULT_FEATURES])
+
+
+@register("categorical_encode", f"""WITH {RENEWAL_CTE_SQL}
+SELECT r.user_id, {', '.join(f"CAST(COALESCE(v_{c}.idx, (SELECT count(DISTINCT {c}) FROM renewal)) AS DOUBLE) AS {c}_index" for c in config.CATEGORICAL_COLUMNS)}
+FROM renewal r
+{' '.join(f"LEFT JOIN (SELECT {c} AS v, dense_rank() OVER (ORDER BY {c}) - 1 AS idx FROM (SELECT DISTINCT {c} FROM renewal WHERE {c} IS NOT NULL) d) v_{c} ON v_{c}.v = r.{c}" for c in config.CATEGORICAL_COLUMNS)}""")
+def q_categorical_encode(spark, sf_dir):
+    """H8: vocabulary learned on all rows (sorted), unseen / null -> extra index."""
+    from .plans.features import fit_category_indexers
+
+    r = renewal_df(spark, sf_dir)
+    model = fit_category_indexers(r, config.CATEGORICAL_COLUMNS)
+    return model.transform(r).select("user_id", *[f"{c}_index" for c in config.CATEGORICAL_COLUMNS])
+
+
+# ---------------------------------------------------------------------------
+# profile (D1, D2, D11)
+# ---------------------------------------------------------------------------
+
+@register("profile_basic", f"""WITH {RENEWAL_CTE_SQL}
+SELECT CAST(count(*) AS BIGINT) AS n_rows, round(avg(CAST(is_renewal AS DOUBLE)), 6) AS target_mean,
+       {len(RENEWAL_COLUMNS)} AS n_columns, '{', '.join(RENEWAL_COLUMNS)}' AS column_list FROM renewal""")
+def q_profile_basic(spark, sf_dir):
+    b = P.basic_stats(renewal_df(spark, sf_dir))
+    return b.select("n_rows", r6("target_mean").alias("target_mean"), "n_columns", "column_list")
+
+
+@register("profile_missing", f"""WITH {RENEWAL_CTE_SQL},
+m AS (""" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL{' OR isnan(' + c + ')' if c in ('city_score', 'house_price') else ''}) AS missing_count, count(*) AS n FROM renewal"
+    for c in RENEWAL_COLUMNS) + """)
+SELECT column_name, CAST(missing_count AS BIGINT) AS missing_count, round(missing_count * 100.0 / n, 6) AS missing_pct
+FROM m WHERE missing_count > 0 ORDER BY missing_count DESC, column_name LIMIT 5""")
+def q_profile_missing(spark, sf_dir):
+    m = P.missing_counts(renewal_df(spark, sf_dir), top_n=5)
+    return m.select("column_name", "missing_count", r6("missing_pct").alias("missing_pct"))
+
+
+@register("distinct_categories", f"""WITH {RENEWAL_CTE_SQL}
+""" + "\nUNION ".join(
+    f"SELECT DISTINCT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM renewal WHERE {c} IS NOT NULL"
+    for c in config.CATEGORICAL_COLUMNS))
+def q_distinct_categories(spark, sf_dir):
+    return P.distinct_values(renewal_df(spark, sf_dir), config.CATEGORICAL_COLUMNS)
+
+
+# ---------------------------------------------------------------------------
+# split and folds
+# ---------------------------------------------------------------------------
+
+SPLIT_CTE = f"""{RENEWAL_CTE_SQL},
+cc AS (SELECT is_renewal, count(*) AS c FROM renewal GROUP BY is_renewal),
+tot AS (SELECT sum(c) AS n, CAST(ceil(CAST({config.TEST_SIZE} AS DOUBLE) * sum(c)) AS BIGINT) AS n_test FROM cc),
+alloc AS (SELECT cc.is_renewal, cc.c, (cc.c * (tot.n - tot.n_test)) // tot.n AS fl,
+                 (cc.c * (tot.n - tot.n_test)) % tot.n AS rem, tot.n - tot.n_test AS n_train
+          FROM cc JOIN tot ON TRUE),
+need AS (SELECT max(n_train) - sum(fl) AS need FROM alloc),
+sizes AS (SELECT is_renewal, c - fl - CASE WHEN row_number() OVER (ORDER BY rem DESC, is_renewal) <= (SELECT need FROM need)
+                                          THEN 1 ELSE 0 END AS n_test FROM alloc),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY is_renewal
+                     ORDER BY md5(CAST(user_id AS VARCHAR) || '-{config.RANDOM_STATE}'), user_id) AS rk FROM renewal),
+split AS (SELECT ranked.*, CASE WHEN rk <= n_test THEN 'test' ELSE 'train' END AS part
+          FROM ranked JOIN sizes USING (is_renewal))"""
+
+
+def split_df(spark, sf_dir):
+    return S.stratified_split(renewal_df(spark, sf_dir))
+
+
+@register("stratified_split", f"""WITH {SPLIT_CTE}
+SELECT user_id, is_renewal, part FROM split""")
+def q_stratified_split(spark, sf_dir):
+    return split_df(spark, sf_dir).select("user_id", LABEL, "part")
+
+
+FOLDS = config.HYPERPARAMETER_TUNING_CONFIG["cv"]
+
+FOLDS_CTE = f"""{SPLIT_CTE},
+train AS (SELECT * FROM split WHERE part = 'train'),
+tr AS (SELECT *, row_number() OVER (PARTITION BY is_renewal
+                 ORDER BY md5(CAST(user_id AS VARCHAR) || '-{config.RANDOM_STATE}'), user_id) AS frk FROM train),
+off AS (SELECT is_renewal, COALESCE(sum(c) OVER (ORDER BY is_renewal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o
+        FROM (SELECT is_renewal, count(*) AS c FROM train GROUP BY is_renewal) t),
+folds AS (SELECT tr.*, CAST((o + frk - 1) % {FOLDS} AS INTEGER) AS fold FROM tr JOIN off USING (is_renewal))"""
+
+
+def folds_df(spark, sf_dir):
+    train = split_df(spark, sf_dir).where(F.col("part") == S.PART_TRAIN)
+    return S.stratified_folds(train, FOLDS)
+
+
+@register("stratified_folds", f"""WITH {FOLDS_CTE}
+SELECT user_id, is_renewal, fold FROM folds""")
+def q_stratified_folds(spark, sf_dir):
+    return folds_df(spark, sf_dir).select("user_id", LABEL, "fold")
+
+
+@register("split_balance", f"""WITH {SPLIT_CTE}
+SELECT part, CAST(count(*) AS BIGINT) AS n_rows, round(avg(CAST(is_renewal AS DOUBLE)), 6) AS positive_rate
+FROM split GROUP BY part""")
+def q_split_balance(spark, sf_dir):
+    b = P.split_balance(split_df(spark, sf_dir), "part")
+    return b.select("part", "n_rows", r6("positive_rate").alias("positive_rate"))
+
+
+@register("split_semi_join", f"""WITH {SPLIT_CTE}
+SELECT user_id, city, l1_term_name, is_renewal FROM renewal
+WHERE user_id IN (SELECT user_id FROM split WHERE part = 'test')""")
+def q_split_semi_join(spark, sf_dir):
+    r = renewal_df(spark, sf_dir).select("user_id", "city", TERM, LABEL)
+    return S.semi_join_part(r, split_df(spark, sf_dir), "user_id", S.PART_TEST)
+
+
+# ---------------------------------------------------------------------------
+# metrics (D13-D16, I6) on scores derived from the tables
+# ---------------------------------------------------------------------------
+
+METRIC_THRESHOLD = 0.1
+
+
+@register("confusion_matrix", f"""WITH {SCORED_CTE},
+p AS (SELECT is_renewal AS y, CAST(pred_probability >= CAST({METRIC_THRESHOLD} AS DOUBLE) AS INTEGER) AS yhat FROM scored),
+cells AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(true_label, pred_label))
+SELECT cells.true_label, cells.pred_label,
+       CAST((SELECT count(*) FROM p WHERE p.y = cells.true_label AND p.yhat = cells.pred_label) AS BIGINT) AS n
+FROM cells""")
+def q_confusion_matrix(spark, sf_dir):
+    s = scored(spark, sf_dir).withColumn("_pred", predict_label(PROB, METRIC_THRESHOLD))
+    return M.confusion_matrix(s, LABEL, "_pred")
+
+
+def _rates_sql(threshold: float) -> str:
+    return f"""c AS (
+  SELECT count(*) FILTER (WHERE is_renewal = 0 AND pred_probability < CAST({threshold} AS DOUBLE)) AS tn,
+         count(*) FILTER (WHERE is_renewal = 0 AND pred_probability >= CAST({threshold} AS DOUBLE)) AS fp,
+         count(*) FILTER (WHERE is_renewal = 1 AND pred_probability < CAST({threshold} AS DOUBLE)) AS fn,
+         count(*) FILTER (WHERE is_renewal = 1 AND pred_probability >= CAST({threshold} AS DOUBLE)) AS tp
+  FROM scored),
+rates AS (
+  SELECT CAST(tn AS BIGINT) AS tn, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tp AS BIGINT) AS tp,
+         round(COALESCE(CAST(tp + tn AS DOUBLE) / NULLIF(tn + fp + fn + tp, 0), 0.0), 6) AS accuracy,
+         round(COALESCE(CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0), 0.0), 6) AS precision,
+         round(COALESCE(CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0), 0.0), 6) AS recall,
+         round(COALESCE(2.0 * tp / NULLIF(2.0 * tp + fp + fn, 0), 0.0), 6) AS f1_score
+  FROM c)"""
+
+
+RATE_COLS = ["tn", "fp", "fn", "tp", "accuracy", "precision", "recall", "f1_score"]
+
+
+@register("classification_metrics", f"""WITH {SCORED_CTE}, {_rates_sql(METRIC_THRESHOLD)}
+SELECT * FROM rates""")
+def q_classification_metrics(spark, sf_dir):
+    s = scored(spark, sf_dir).withColumn("_pred", predict_label(PROB, METRIC_THRESHOLD))
+    r = M.rates_from_counts(M.confusion_counts(s, LABEL, "_pred"))
+    return r.select("tn", "fp", "fn", "tp", *[r6(c).alias(c) for c in RATE_COLS[4:]])
+
+
+AUC_SCORES = ["pred_probability", "fns_cnt", "refresh_num", "house_price", "city_score", "grade"]
+
+
+def _auc_sql(src: str, groups: str = "", rounded: bool = True) -> str:
+    """AUC per group of (``score``, ``y``) rows in ``src`` (oracle form: one window per group)."""
+    g = f"{groups}, " if groups else ""
+    part = f"PARTITION BY {groups} " if groups else ""
+    auc = ("sum(CAST(pos AS DOUBLE) * (CAST(neg_below AS DOUBLE) + CAST(neg AS DOUBLE) / 2.0))"
+           " / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE))")
+    if rounded:
+        auc = f"round({auc}, 6)"
+    return f"""(
+  SELECT {g}{auc} AS roc_auc
+  FROM (SELECT *, COALESCE(sum(neg) OVER ({part}ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below
+        FROM (SELECT {g}CAST(score AS DOUBLE) AS score, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg
+              FROM {src} WHERE score IS NOT NULL AND NOT isnan(CAST(score AS DOUBLE)) AND y IS NOT NULL
+              GROUP BY {g}CAST(score AS DOUBLE)) sc) pb
+  {('GROUP BY ' + groups) if groups else ''}
+)"""
+
+
+def _long_scores_sql(src: str, extra: str = "") -> str:
+    return "(" + " UNION ALL ".join(
+        f"SELECT '{c}' AS score_name, CAST({c} AS DOUBLE) AS score, is_renewal AS y{extra} FROM {src}" for c in AUC_SCORES
+    ) + ")"
+
+
+def _long_scores(df: DataFrame, extra=()) -> DataFrame:
+    stacked = F.inline(F.array(*[
+        F.struct(F.lit(c).alias("score_name"), F.col(c).cast("double").alias("score")) for c in AUC_SCORES
+    ]))
+    return df.select(LABEL, *extra, stacked)
+
+
+@register("roc_auc", f"""WITH {SCORED_CTE}, ls AS {_long_scores_sql('scored')}
+SELECT * FROM {_auc_sql('ls', 'score_name')} a""")
+def q_roc_auc(spark, sf_dir):
+    """Exact AUC (ties half) of the pseudo-score and of single features as scores."""
+    ls = _long_scores(scored(spark, sf_dir))
+    a = M.roc_auc(ls, "score", LABEL, ["score_name"])
+    return a.select("score_name", r6("roc_auc").alias("roc_auc"))
+
+
+@register("roc_curve", f"""WITH {SCORED_CTE},
+sc AS (SELECT pred_probability AS score, count(*) FILTER (WHERE is_renewal = 1) AS pos,
+              count(*) FILTER (WHERE is_renewal = 0) AS neg FROM scored GROUP BY pred_probability),
+pb AS (SELECT *, COALESCE(sum(pos) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos_below,
+                 COALESCE(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below,
+                 sum(pos) OVER () AS tp_all, sum(neg) OVER () AS tn_all FROM sc)
+SELECT score AS threshold, round(CAST(tn_all - neg_below AS DOUBLE) / tn_all, 6) AS fpr,
+       round(CAST(tp_all - pos_below AS DOUBLE) / tp_all, 6) AS tpr FROM pb""")
+def q_roc_curve(spark, sf_dir):
+    c = M.roc_curve(scored(spark, sf_dir), PROB, LABEL)
+    return c.select("threshold", r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
+
+
+@register("evaluation_report", f"""WITH {SCORED_CTE}, {_rates_sql(config.DEFAULT_THRESHOLD)},
+ls AS (SELECT pred_probability AS score, is_renewal AS y FROM scored)
+SELECT CAST({config.DEFAULT_THRESHOLD} AS DOUBLE) AS threshold, rates.*, a.roc_auc FROM rates JOIN {_auc_sql('ls')} a ON TRUE""")
+def q_evaluation_report(spark, sf_dir):
+    """I6 at the default threshold 0.5 (no positive predictions: precision 0)."""
+    e = M.evaluation_report(scored(spark, sf_dir), PROB, LABEL, config.DEFAULT_THRESHOLD)
+    return e.select("threshold", "tn", "fp", "fn", "tp", *[r6(c).alias(c) for c in RATE_COLS[4:]],
+                    r6("roc_auc").alias("roc_auc"))
+
+
+# ---------------------------------------------------------------------------
+# fold scores of model-free scorers
+# ---------------------------------------------------------------------------
+
+FOLD_SCORES_CTE = f"""{FOLDS_CTE},
+{SCORED_PART},
+fs_in AS (SELECT f.user_id, f.fold, s.pred_probability, s.fns_cnt, s.refresh_num, s.house_price, s.city_score, s.grade, s.is_renewal
+          FROM folds f JOIN scored s USING (user_id)),
+ls AS {_long_scores_sql('fs_in', ', fold')},
+fold_scores AS (SELECT * FROM {_auc_sql('ls', 'score_name, fold', rounded=False)} a),
+summary AS (SELECT score_name, avg(roc_auc) AS mean_test_score, stddev_pop(roc_auc) AS std_test_score
+            FROM fold_scores GROUP BY score_name)"""
+
+
+def fold_scores(spark, sf_dir) -> DataFrame:
+    """AUC of each model-free scorer on each held-out fold of the training part."""
+    f = folds_df(spark, sf_dir).select("user_id", "fold")
+    s = scored(spark, sf_dir).select("user_id", LABEL, *AUC_SCORES)
+    ls = _long_scores(f.join(s, "user_id"), ["fold"])
+    return M.roc_auc(ls, "score", LABEL, ["score_name", "fold"])
+
+
+@register("cv_summary", f"""WITH {FOLD_SCORES_CTE}
+SELECT score_name, round(mean_test_score, 6) AS mean_test_score, round(std_test_score, 6) AS std_test_score,
+       CAST(rank() OVER (ORDER BY round(mean_test_score, 12) DESC) AS INTEGER) AS rank_test_score FROM summary""")
+def q_cv_summary(spark, sf_dir):
+    from .plans.tuning import summarize_fold_scores
+
+    s = summarize_fold_scores(fold_scores(spark, sf_dir), ["score_name"], "roc_auc")
+    return s.select("score_name", r6("mean_test_score").alias("mean_test_score"),
+                    r6("std_test_score").alias("std_test_score"), "rank_test_score")
+
+
+@register("cv_top_n", f"""WITH {FOLD_SCORES_CTE}
+SELECT score_name, round(mean_test_score, 6) AS mean_test_score, round(std_test_score, 6) AS std_test_score
+FROM summary ORDER BY round(mean_test_score, 12) DESC, score_name LIMIT 3""")
+def q_cv_top_n(spark, sf_dir):
+    from .plans.tuning import summarize_fold_scores, top_candidates
+
+    s = summarize_fold_scores(fold_scores(spark, sf_dir), ["score_name"], "roc_auc")
+    t = top_candidates(s, 3, ["score_name"])
+    return t.select("score_name", r6("mean_test_score").alias("mean_test_score"),
+                    r6("std_test_score").alias("std_test_score"))
