@@ -1,14 +1,14 @@
 """Feature pipeline on MLlib.
 
-Stages, all built-in and persistable:
-  1. SQLTransformer: recipe columns (raw IEEE values), then every floating
-     column made null where non-finite;
-  2. StringIndexer per text feature (sorted vocabulary, learned at fit; unseen
+The recipe columns and the sanitizing run before the pipeline as plain
+DataFrame code (``plans.model.prepare_input``). Stages, all built-in and
+persistable:
+  1. StringIndexer per text feature (sorted vocabulary, learned at fit; unseen
      and null share the extra index, handleInvalid="keep");
-  3. SQLTransformer: per numeric feature a 0/1 missing indicator and a
+  2. SQLTransformer: per numeric feature a 0/1 missing indicator and a
      sentinel fill below any real value (MLlib trees reject NaN), so the
      trees can still send missing rows their own way;
-  4. VectorAssembler.
+  3. VectorAssembler.
 The feature list is resolved once, from the training frame's columns, and
 stored with the model.
 """
@@ -40,57 +40,6 @@ def fit_category_indexers(df: DataFrame, columns) -> PipelineModel:
     return Pipeline(stages=stages).fit(df)
 
 
-def _recipe_sql(columns) -> str:
-    recs = applicable_recipes(columns)
-    return recs
-
-
-def derive_statement(columns) -> str:
-    """SQLTransformer statement adding recipe outputs to ``__THIS__``.
-
-    Uses the Spark SQL forms of the recipes (IEEE results at x/0 and
-    log1p(<=-1)), then nulls every non-finite floating value.
-    """
-    from ..functions.features import RECIPES
-
-    have = list(columns)
-    layers = []
-    for r in applicable_recipes(columns, RECIPES):
-        expr = _spark_sql_of(r.output)
-        layers.append((r.output, expr))
-        if r.output not in have:
-            have.append(r.output)
-    sel = []
-    for c in have:
-        outs = [e for o, e in layers if o == c]
-        sel.append(f"{outs[-1]} AS `{c}`" if outs else f"`{c}`")
-    return f"SELECT {', '.join(sel)} FROM __THIS__"
-
-
-def _spark_sql_of(name: str) -> str:
-    """Spark SQL text of each recipe (kept next to the recipe semantics)."""
-    inf, ninf, nan = "CAST('Infinity' AS DOUBLE)", "CAST('-Infinity' AS DOUBLE)", "CAST('NaN' AS DOUBLE)"
-
-    def div(n, d):
-        n, d = f"CAST({n} AS DOUBLE)", f"CAST({d} AS DOUBLE)"
-        return (f"CASE WHEN {d} = 0 THEN (CASE WHEN {n} IS NULL THEN NULL WHEN {n} > 0 THEN {inf} "
-                f"WHEN {n} < 0 THEN {ninf} ELSE {nan} END) ELSE try_divide({n}, {d}) END")
-
-    def nonfinite_to_null(e):
-        return f"(CASE WHEN isnan({e}) OR abs({e}) = {inf} THEN NULL ELSE {e} END)"
-
-    exprs = {
-        "house_price_log": (f"CASE WHEN CAST(house_price AS DOUBLE) = -1 THEN {ninf} WHEN CAST(house_price AS DOUBLE) < -1 "
-                            f"THEN {nan} ELSE log1p(CAST(house_price AS DOUBLE)) END"),
-        "city_score_house_price_ratio": div("city_score", "CAST(house_price AS DOUBLE) + 1"),
-        "fns_cnt_per_grade": div("fns_cnt", "CAST(grade AS DOUBLE) + 1"),
-        "is_enable_fns_interaction": "CAST(is_enable AS DOUBLE) * CAST(fns_cnt AS DOUBLE)",
-        "refresh_fns_interaction": "CAST(refresh_num AS DOUBLE) * CAST(fns_cnt AS DOUBLE)",
-        "fns_cnt": "CASE WHEN fns_cnt >= 5 THEN CAST(4 AS DOUBLE) ELSE CAST(fns_cnt AS DOUBLE) END",
-    }
-    return nonfinite_to_null(exprs[name])
-
-
 @dataclass
 class FeatureSpec:
     """What the fitted feature stages consume and produce."""
@@ -124,8 +73,8 @@ def plan_features(df: DataFrame, target_col: str = config.TARGET_COLUMN, include
 
 
 def feature_stages(df: DataFrame, spec: FeatureSpec) -> list:
-    """Unfitted stages 1-4 for ``spec`` (fit them on the rows that define the vocabulary)."""
-    stages = [SQLTransformer(statement=derive_statement(df.columns))]
+    """Unfitted stages 1-3 for ``spec`` (fit them on the rows that define the vocabulary)."""
+    stages = []
     for c in spec.categorical:
         stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep",
                                     stringOrderType="alphabetAsc"))
