@@ -511,8 +511,9 @@ folds AS (SELECT tr.*, CAST((o + frk - 1) % {FOLDS} AS INTEGER) AS fold FROM tr
 
 
 def folds_df(spark, sf_dir):
-    train = split_df(spark, sf_dir).where(F.col("part") == S.PART_TRAIN)
-    return S.stratified_folds(train, FOLDS)
+    """Training rows with their fold, numbered in the same pass as the split."""
+    s = S.stratified_split(renewal_df(spark, sf_dir), fold_col="fold", n_splits=FOLDS)
+    return s.where(F.col("part") == S.PART_TRAIN)
 
 
 @register("stratified_folds", f"""WITH {FOLDS_CTE}
@@ -663,11 +664,11 @@ summary AS (SELECT score_name, avg(roc_auc) AS mean_test_score, stddev_pop(roc_a
 
 
 def fold_scores(spark, sf_dir) -> DataFrame:
-    """AUC of each model-free scorer on each held-out fold of the training part."""
-    f = folds_df(spark, sf_dir).select("user_id", "fold")
-    s = scored(spark, sf_dir).select("user_id", LABEL, *AUC_SCORES)
-    ls = _long_scores(f.join(s, "user_id"), ["fold"])
-    return M.roc_auc(ls, "score", LABEL, ["score_name", "fold"])
+    """AUC of each model-free scorer on each held-out fold of the training part
+    (scores, split and folds from one pass over the scored rows)."""
+    s = S.stratified_split(scored(spark, sf_dir), fold_col="fold", n_splits=FOLDS)
+    train = s.where(F.col("part") == S.PART_TRAIN)
+    return M.roc_auc(_long_scores(train, ["fold"]), "score", LABEL, ["score_name", "fold"])
 
 
 @register("cv_summary", f"""WITH {FOLD_SCORES_CTE}

@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Largest side we broadcast after a row-count check.
-BROADCAST_ROW_LIMIT = 1_000_000
+# Largest side we broadcast after a size check.
+BROADCAST_BYTE_LIMIT = 64 * 1024 * 1024
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it small; else leave the
-    strategy to the planner (sort-merge / shuffled hash join, with AQE).
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of ``df`` (file sizes x column pruning; no job)."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size if isinstance(size, int) else size.toString())
 
-    Use on scanned dimension tables: a parquet count reads footers only.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTE_LIMIT) -> DataFrame:
+    """Broadcast ``df`` only when its estimated size is under ``max_bytes``;
+    else leave the strategy to the planner (sort-merge join, with AQE's
+    runtime re-plan and skew splitting)."""
+    if estimated_bytes(df) <= max_bytes:
         return F.broadcast(df)
     return df
 

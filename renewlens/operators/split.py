@@ -67,22 +67,62 @@ def ranked_in_class(df: DataFrame, label_col: str, key_col: str, seed: int = con
 
 
 def class_counts(df: DataFrame, label_col: str) -> dict:
-    """Rows per class: one small aggregate collected (bounded by the class count)."""
+    """Rows per class on the driver (bounded by the class count); for reports and tests."""
     return {r[0]: r[1] for r in df.groupBy(label_col).count().collect()}
 
 
+def class_allocation(df: DataFrame, label_col: str, test_size: float = config.TEST_SIZE) -> DataFrame:
+    """Per class: rows, test size and the offsets folds need, as a lazy frame.
+
+    Same rule as ``class_test_sizes`` in exact integer arithmetic; the windows
+    run over the class table (one row per class), never over the rows.
+    """
+    c = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_c"))
+    everything = Window.partitionBy(F.lit(0))
+    n = F.sum("_c").over(everything)
+    if isinstance(test_size, float) and test_size < 1:
+        n_test = F.ceil(F.lit(float(test_size)) * n.cast("double")).cast("long")
+    else:
+        n_test = F.lit(int(test_size)).cast("long")
+    t = c.withColumn("_n", n).withColumn("_n_train", F.col("_n") - n_test)
+    # exact: c * n_train can pass 2^63 at ~10^10 rows per class, so decimal(38, 0)
+    prod = F.col("_c").cast("decimal(38,0)") * F.col("_n_train").cast("decimal(38,0)")
+    t = t.withColumn("_prod", prod)
+    t = t.withColumn("_fl", F.expr("_prod div CAST(_n AS DECIMAL(38,0))").cast("long")) \
+         .withColumn("_rem", F.col("_prod") % F.col("_n").cast("decimal(38,0)"))
+    need = F.max("_n_train").over(everything) - F.sum("_fl").over(everything)
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("_rem"), F.col(label_col))
+    extra = F.when(F.row_number().over(order) <= need, F.lit(1)).otherwise(F.lit(0))
+    t = t.withColumn("_n_test", F.col("_c") - F.col("_fl") - extra)
+    before = Window.partitionBy(F.lit(0)).orderBy(label_col).rowsBetween(Window.unboundedPreceding, -1)
+    return t.select(
+        label_col,
+        F.col("_c").alias("class_rows"),
+        F.col("_n_test").alias("class_test"),
+        F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("class_offset"),
+        F.coalesce(F.sum(F.col("_c") - F.col("_n_test")).over(before), F.lit(0)).alias("train_offset"),
+    )
+
+
 def stratified_split(df: DataFrame, label_col: str = config.TARGET_COLUMN, key_col: str = config.ID_COLUMN,
                      test_size: float = config.TEST_SIZE, seed: int = config.RANDOM_STATE,
-                     part_col: str = "part", hex_digits: int = 4) -> DataFrame:
-    """E5: adds ``part`` ('train' / 'test') with exact per-class test sizes."""
-    sizes = class_test_sizes(class_counts(df, label_col), test_size)
-    size_df = df.sparkSession.createDataFrame(
-        [(k, int(v)) for k, v in sizes.items()], f"{label_col} {dict(df.dtypes)[label_col]}, _n_test long"
-    )
-    ranked = ranked_in_class(df, label_col, key_col, seed, hex_digits)
-    out = ranked.join(F.broadcast(size_df), label_col)  # bounded: one row per class
-    part = F.when(F.col("_class_rank") <= F.col("_n_test"), F.lit(PART_TEST)).otherwise(F.lit(PART_TRAIN))
-    return out.withColumn(part_col, part).drop("_n_test", "_class_rank")
+                     part_col: str = "part", hex_digits: int = 4, fold_col: str | None = None,
+                     n_splits: int = config.HYPERPARAMETER_TUNING_CONFIG["cv"]) -> DataFrame:
+    """E5: adds ``part`` ('train' / 'test') with exact per-class test sizes.
+
+    With ``fold_col`` it also numbers the training rows into ``n_splits``
+    stratified folds in the same pass (null for test rows): a training row's
+    rank among the class's training rows is its class rank minus the class's
+    test size, since the test part takes each class's first ranks.
+    """
+    alloc = F.broadcast(class_allocation(df, label_col, test_size))  # bounded: one row per class
+    ranked = ranked_in_class(df, label_col, key_col, seed, hex_digits).join(alloc, label_col)
+    is_test = F.col("_class_rank") <= F.col("class_test")
+    out = ranked.withColumn(part_col, F.when(is_test, F.lit(PART_TEST)).otherwise(F.lit(PART_TRAIN)))
+    if fold_col:
+        fold = (F.col("train_offset") + F.col("_class_rank") - F.col("class_test") - 1) % F.lit(n_splits)
+        out = out.withColumn(fold_col, F.when(is_test, F.lit(None)).otherwise(fold).cast("int"))
+    return out.drop("_class_rank", "class_rows", "class_test", "class_offset", "train_offset")
 
 
 def stratified_folds(df: DataFrame, n_splits: int = config.HYPERPARAMETER_TUNING_CONFIG["cv"],
@@ -91,18 +131,10 @@ def stratified_folds(df: DataFrame, n_splits: int = config.HYPERPARAMETER_TUNING
     """fold = (class offset + rank in class - 1) mod k, the class offset being
     the rows of smaller classes: every fold gets the library's per-class counts
     (sizes differ by at most one, per class and overall)."""
-    counts = class_counts(df, label_col)
-    classes = sorted(counts)
-    offset, acc = {}, 0
-    for c in classes:
-        offset[c] = acc
-        acc += counts[c]
-    off_df = df.sparkSession.createDataFrame(
-        [(c, int(offset[c])) for c in classes], f"{label_col} {dict(df.dtypes)[label_col]}, _class_off long"
-    )
-    ranked = ranked_in_class(df, label_col, key_col, seed, hex_digits).join(F.broadcast(off_df), label_col)
-    fold = ((F.col("_class_off") + F.col("_class_rank") - 1) % F.lit(n_splits)).cast("int")
-    return ranked.withColumn(fold_col, fold).drop("_class_off", "_class_rank")
+    alloc = F.broadcast(class_allocation(df, label_col, 0).select(label_col, "class_offset"))
+    ranked = ranked_in_class(df, label_col, key_col, seed, hex_digits).join(alloc, label_col)
+    fold = ((F.col("class_offset") + F.col("_class_rank") - 1) % F.lit(n_splits)).cast("int")
+    return ranked.withColumn(fold_col, fold).drop("class_offset", "_class_rank")
 
 
 def semi_join_part(df: DataFrame, split_df: DataFrame, key_col: str, part: str, part_col: str = "part") -> DataFrame:
