@@ -69,19 +69,24 @@ def unique_scratch(spark: SparkSession, name: str) -> str:
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = TRAINING_SCHEMA,
              null_tokens=NULL_TOKENS) -> DataFrame:
-    """A1: header CSV -> typed frame; missing file raises (Spark's path check)."""
-    text_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = spark.read.schema(text_schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    """A1: header CSV -> typed frame; a missing path raises.
+
+    Columns are matched by header name (not position), in file order; declared
+    columns get their declared type, other columns stay text.
+    """
+    raw = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
     tokens = F.array(*[F.lit(t) for t in null_tokens])
+    declared = {f.name: f.dataType for f in schema.fields}
 
-    def conv(f: T.StructField):
-        c = F.col(f.name)
+    def conv(name: str):
+        c = F.col(f"`{name}`")
         c = F.when(F.array_contains(tokens, c), F.lit(None)).otherwise(c)
-        if isinstance(f.dataType, T.StringType):
-            return c.alias(f.name)
-        return c.try_cast(f.dataType).alias(f.name)
+        dtype = declared.get(name, T.StringType())
+        if isinstance(dtype, T.StringType):
+            return c.alias(name)
+        return c.try_cast(dtype).alias(name)
 
-    return raw.select(*[conv(f) for f in schema.fields])
+    return raw.select(*[conv(c) for c in raw.columns])
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
