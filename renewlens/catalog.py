@@ -746,14 +746,16 @@ def q_batch_envelope(spark, sf_dir):
     return env
 
 
-@register("attach_scores", f"""WITH {SCORED_CTE}
+@register("attach_scores", f"""WITH {SPLIT_CTE},
+{SCORED_PART.replace('FROM renewal', 'FROM split WHERE part = ' + chr(39) + 'test' + chr(39))}
 SELECT r.user_id, r.city, r.is_renewal, s.pred_probability
-FROM renewal r LEFT JOIN (SELECT user_id, pred_probability FROM scored WHERE user_id % 2 = 0) s USING (user_id)""")
+FROM renewal r LEFT JOIN (SELECT user_id, pred_probability FROM scored) s USING (user_id)""")
 def q_attach_scores(spark, sf_dir):
-    """A stored score table (scores for even ids) attached to rows by key."""
+    """Stored scores of the test part attached to every row by key (left join)."""
     from .plans.model import attach_scores
 
-    scores = scored(spark, sf_dir).where(F.col("user_id") % 2 == 0).select("user_id", PROB)
+    test = split_df(spark, sf_dir).where(F.col("part") == S.PART_TEST)
+    scores = test.select("user_id", pseudo_score().alias(PROB))
     return attach_scores(renewal_df(spark, sf_dir).select("user_id", "city", LABEL), scores)
 
 

@@ -4,9 +4,10 @@ Confusion counts and the derived rates are one aggregate pass. ROC-AUC and
 the ROC curve are exact (ties count half): rows collapse to one row per
 distinct score with positive and negative counts (partial aggregation), and
 the running count of negatives below each score is a distributed prefix sum:
-the distinct-score table is range-partitioned by score, each range's totals
-(one row per partition, broadcast) give its offset, and a window inside each
-range adds the local running sum. No step holds all scores in one task.
+the distinct scores are cut into order-preserving buckets (quantile cut
+points computed once), each bucket's totals (one row per bucket, broadcast)
+give its offset, and a window inside each bucket adds the local running sum.
+No step holds all scores in one task.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from .. import config
 from .selection import predict_label
 
-PREFIX_PARTITIONS = 64
+# Range partitions of the distinct-score table; None = the session's shuffle partitions.
+PREFIX_PARTITIONS = None
 
 
 def _y(label_col: str) -> Column:
@@ -72,24 +74,61 @@ def score_counts(df: DataFrame, score_col: str, label_col: str, group_cols=()) -
     )
 
 
-def prefix_below(counts: DataFrame, group_cols=(), partitions: int = PREFIX_PARTITIONS) -> DataFrame:
-    """Adds pos_below / neg_below: totals over strictly smaller scores of the group."""
+def score_buckets(counts: DataFrame, group_cols=(), buckets: int | None = PREFIX_PARTITIONS) -> DataFrame:
+    """Adds ``_bucket``: an order-preserving bucket of the score within its group.
+
+    Cut points are approximate quantiles of the distinct scores, computed once
+    and embedded in the plan as literals (bounded: groups x buckets values),
+    so every branch of the plan assigns the same bucket to the same score.
+    """
+    g = list(group_cols)
+    if buckets is None:
+        buckets = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1, min(int(buckets), 4096))
+    if buckets == 1:
+        return counts.withColumn("_bucket", F.lit(0))
+    probs = [i / buckets for i in range(1, buckets)]
+    cut_rows = counts.groupBy(*g).agg(F.percentile_approx("score", probs, 10 * buckets).alias("_cuts")).collect()
+
+    def bucket_of(cuts) -> Column:
+        arr = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))])
+        return F.size(F.filter(arr, lambda c: c < F.col("score")))
+
+    if not g:
+        expr = bucket_of(cut_rows[0]["_cuts"]) if cut_rows else F.lit(0)
+    else:
+        expr = None
+        for row in cut_rows:
+            cond = None
+            for c in g:
+                eq = F.col(c).eqNullSafe(F.lit(row[c]))
+                cond = eq if cond is None else cond & eq
+            expr = F.when(cond, bucket_of(row["_cuts"])) if expr is None else expr.when(cond, bucket_of(row["_cuts"]))
+        expr = F.lit(0) if expr is None else expr.otherwise(F.lit(0))
+    return counts.withColumn("_bucket", expr.cast("int"))
+
+
+def prefix_below(counts: DataFrame, group_cols=(), buckets: int | None = PREFIX_PARTITIONS) -> DataFrame:
+    """Adds pos_below / neg_below: totals over strictly smaller scores of the group.
+
+    Two levels: per (group, bucket) totals (a bounded table, broadcast) give
+    each bucket's offset; a window inside each bucket adds the local sum.
+    """
     g = list(group_cols)
-    ranged = counts.repartitionByRange(partitions, *g, "score").withColumn("_part", F.spark_partition_id())
-    totals = ranged.groupBy(*g, "_part").agg(F.sum("pos").alias("_pp"), F.sum("neg").alias("_pn"))
-    before = Window.partitionBy(*g).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # Bounded: one row per (group, range partition).
+    bucketed = score_buckets(counts, g, buckets)
+    totals = bucketed.groupBy(*g, "_bucket").agg(F.sum("pos").alias("_pp"), F.sum("neg").alias("_pn"))
+    before = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *g, "_part",
+        *g, "_bucket",
         F.coalesce(F.sum("_pp").over(before), F.lit(0)).alias("_op"),
         F.coalesce(F.sum("_pn").over(before), F.lit(0)).alias("_on"),
     )
-    local = Window.partitionBy(*g, "_part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    local = Window.partitionBy(*g, "_bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        ranged.join(F.broadcast(offsets), [*g, "_part"])
+        bucketed.join(F.broadcast(offsets), [*g, "_bucket"])
         .withColumn("pos_below", F.col("_op") + F.coalesce(F.sum("pos").over(local), F.lit(0)))
         .withColumn("neg_below", F.col("_on") + F.coalesce(F.sum("neg").over(local), F.lit(0)))
-        .drop("_part", "_op", "_on")
+        .drop("_bucket", "_op", "_on")
     )
 
 
