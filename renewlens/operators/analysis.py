@@ -93,6 +93,13 @@ def level_positions(agg: DataFrame, level_col: str) -> DataFrame:
     return lv.withColumn("_pos", F.row_number().over(w) - 1)
 
 
+def with_level_position(agg: DataFrame, level_col: str, out_col: str = "_pos") -> DataFrame:
+    """Level position computed on an aggregated (bounded) table in the same pass:
+    dense rank of the levels present, in display order."""
+    w = Window.orderBy(level_rank(level_col), F.col(level_col))
+    return agg.withColumn(out_col, F.dense_rank().over(w) - 1)
+
+
 def term_level_performance(df: DataFrame, term_col: str, level_col: str, label_col: str) -> DataFrame:
     """Per (term, level): mean label, count, binomial std error, x position,
     marker size clip(n, 20, 260)."""
@@ -107,8 +114,8 @@ def term_level_performance(df: DataFrame, term_col: str, level_col: str, label_c
         "std_err",
         F.sqrt(F.greatest(r * (F.lit(1.0) - r), F.lit(0.0)) / F.greatest(n, F.lit(1)).cast("double")),
     ).withColumn("marker_size", F.least(F.greatest(n, F.lit(config.MARKER_MIN)), F.lit(config.MARKER_MAX)))
-    pos = F.broadcast(level_positions(agg, level_col))  # bounded: distinct levels
-    return agg.join(pos, level_col).withColumn("x_base", F.col("_pos").cast("double")).drop("_pos")
+    # bounded table (terms x levels): a global window is one small task
+    return with_level_position(agg, level_col, "_pos").withColumn("x_base", F.col("_pos").cast("double")).drop("_pos")
 
 
 def level_summary(perf: DataFrame, level_col: str) -> DataFrame:
@@ -162,9 +169,14 @@ def level_mix(df: DataFrame, term_col: str, level_col: str) -> DataFrame:
 def term_order_table(terms: DataFrame, term_col: str) -> DataFrame:
     """Distinct terms with their position in (year, season, period, text) order."""
     distinct = terms.select(F.col(term_col).cast("string").alias(term_col)).distinct()
-    keyed = distinct.select(term_col, *term_sort_columns(term_col, "_t"))
+    return with_term_order(distinct, term_col)
+
+
+def with_term_order(table: DataFrame, term_col: str, out_col: str = "term_order") -> DataFrame:
+    """Term position (dense rank in term order) added to a bounded table keyed by term."""
+    keyed = table.select("*", *term_sort_columns(term_col, "_t"))
     w = Window.orderBy(*term_order_by("_t"))
-    return keyed.select(term_col, (F.row_number().over(w) - 1).alias("term_order"))
+    return keyed.withColumn(out_col, (F.dense_rank().over(w) - 1).cast("int")).drop(*term_order_by("_t"))
 
 
 def level_mix_pivot(mix: DataFrame, term_col: str, level_col: str, levels=None) -> DataFrame:
@@ -172,8 +184,8 @@ def level_mix_pivot(mix: DataFrame, term_col: str, level_col: str, levels=None)
     levels = list(levels or config.PREFERRED_LEVEL_ORDER)
     piv = mix.groupBy(term_col).pivot(level_col, levels).agg(F.first("sample_ratio"))
     piv = piv.select(term_col, *[F.coalesce(F.col(lv), F.lit(0.0)).alias(f"{lv}_ratio") for lv in levels])
-    order = F.broadcast(term_order_table(mix, term_col))  # bounded: distinct terms
-    return order.join(piv, term_col, "left").na.fill(0.0)
+    # one row per term: the term spine is the pivot itself (bounded: distinct terms)
+    return with_term_order(piv, term_col).select(term_col, "term_order", *[f"{lv}_ratio" for lv in levels])
 
 
 # ---------------------------------------------------------------------------
@@ -189,8 +201,7 @@ def term_trend(df: DataFrame, term_col: str, prob_col: str, label_col: str) -> D
         F.avg(F.col(label_col).cast("double")).alias("actual_renewal_rate"),
         F.count(F.lit(1)).alias("sample_count"),
     )
-    order = F.broadcast(term_order_table(agg, term_col))  # bounded: distinct terms
-    return agg.join(order, term_col)
+    return with_term_order(agg, term_col)  # bounded: one row per term
 
 
 # ---------------------------------------------------------------------------
@@ -198,26 +209,53 @@ def term_trend(df: DataFrame, term_col: str, prob_col: str, label_col: str) -> D
 # ---------------------------------------------------------------------------
 
 def chart_bounds(scored: DataFrame, prob_col: str, label_col: str, term_col: str, level_col: str) -> DataFrame:
-    """Axis limits the charts derive from the data: one (bound, value) row each."""
-    def one(df: DataFrame, name: str, value: Column) -> DataFrame:
-        return df.agg(value.cast("double").alias("value")).select(F.lit(name).alias("bound"), "value")
-
-    p = F.col(prob_col).cast("double")
-    buckets = bucket_summary(scored, prob_col, label_col)
-    perf = term_level_performance(scored, term_col, level_col, label_col)
-    trend = term_trend(scored, term_col, prob_col, label_col)
-    y_data = perf.select(F.col("renewal_rate").alias("_r")).unionByName(
-        level_summary(perf, level_col).select(F.col("weighted_rate").alias("_r"))
+    """Axis limits the charts derive from the data: one (bound, value) row each.
+
+    A single chain, one pass over the rows: an aggregate at the (bucket, term,
+    level) grain (bounded: 100 x terms x levels rows) -> grouping sets for the
+    bucket, (term, level) and term grains plus the total -> a window for the
+    per-level weighted rate -> one conditional aggregate -> unpivot.
+    """
+    require_columns(scored, [prob_col, label_col, term_col, level_col])
+    p, y = F.col(prob_col).cast("double"), F.col(label_col).cast("double")
+    both = p.isNotNull() & ~F.isnan(p) & y.isNotNull() & ~F.isnan(y)
+    fine = scored.groupBy(
+        bucket_index(prob_col).alias("_b"), F.col(term_col).alias("_t"), F.col(level_col).alias("_l")
+    ).agg(
+        F.max(p).alias("_maxp"),
+        F.sum(p).alias("_sp"), F.count(p).alias("_np"),
+        F.sum(y).alias("_sy"), F.count(y).alias("_ny"),
+        F.sum(F.when(both, p)).alias("_sp2"), F.sum(F.when(both, y)).alias("_sy2"), F.count_if(both).alias("_n2"),
+    )
+    grains = fine.groupingSets([["_b"], ["_t", "_l"], ["_t"], []], "_b", "_t", "_l").agg(
+        F.grouping_id().alias("_g"),
+        F.max("_maxp").alias("maxp"),
+        (F.sum("_sp") / F.sum("_np")).alias("ap"),
+        F.sum("_ny").alias("ny"),
+        (F.sum("_sy") / F.sum("_ny")).alias("rr"),
+        F.sum("_n2").alias("n2"),
+        (F.sum("_sp2") / F.sum("_n2")).alias("pr"),
+        (F.sum("_sy2") / F.sum("_n2")).alias("ar"),
+    )
+    # grouping ids over (_b, _t, _l): bucket = 0b011, (term, level) = 0b100, term = 0b101, total = 0b111
+    g = F.col("_g")
+    is_bucket, is_tl, is_term, is_total = g == 3, g == 4, g == 5, g == 7
+    perf_row = is_tl & F.col("_t").isNotNull() & F.col("_l").isNotNull() & (F.col("ny") > 0)
+    w = F.greatest(F.col("ny"), F.lit(1)).cast("double")
+    per_level = Window.partitionBy(F.when(perf_row, F.col("_l")))  # bounded: the grouping-set rows
+    weighted = F.when(perf_row, F.sum(F.when(perf_row, F.col("rr") * w)).over(per_level)
+                      / F.sum(F.when(perf_row, w)).over(per_level))
+    trend_row = is_term & F.col("_t").isNotNull() & (F.col("n2") > 0)
+    bounds = grains.withColumn("wr", weighted).agg(
+        F.least(F.lit(1.0), F.max(F.when(is_total, F.col("maxp"))) * F.lit(config.X_MAX_MARGIN)).alias("x_max"),
+        F.greatest(F.lit(0.0), F.least(F.min(F.when(is_bucket, F.col("ap"))), F.min(F.when(is_bucket, F.col("rr"))))).alias("diag_min"),
+        F.least(F.lit(1.0), F.greatest(F.max(F.when(is_bucket, F.col("ap"))), F.max(F.when(is_bucket, F.col("rr"))))).alias("diag_max"),
+        F.least(F.lit(config.Y_UPPER_CAP),
+                F.greatest(F.max(F.when(perf_row, F.col("rr"))), F.max("wr")) + F.lit(config.Y_UPPER_PAD)).alias("y_upper"),
+        (F.greatest(F.max(F.when(trend_row, F.col("pr"))), F.max(F.when(trend_row, F.col("ar"))))
+         * F.lit(config.TREND_Y_FACTOR)).alias("trend_y_max"),
     )
-    parts = [
-        one(scored, "x_max", F.least(F.lit(1.0), F.max(p) * F.lit(config.X_MAX_MARGIN))),
-        one(buckets, "diag_min", F.greatest(F.lit(0.0), F.least(F.min("avg_probability"), F.min("renewal_rate")))),
-        one(buckets, "diag_max", F.least(F.lit(1.0), F.greatest(F.max("avg_probability"), F.max("renewal_rate")))),
-        one(y_data, "y_upper", F.least(F.lit(config.Y_UPPER_CAP), F.max("_r") + F.lit(config.Y_UPPER_PAD))),
-        one(trend, "trend_y_max",
-            F.greatest(F.max("pred_renewal_rate"), F.max("actual_renewal_rate")) * F.lit(config.TREND_Y_FACTOR)),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    names = ["x_max", "diag_min", "diag_max", "y_upper", "trend_y_max"]
+    return bounds.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("bound"), F.col(n).cast("double").alias("value")) for n in names
+    ])))

@@ -17,7 +17,18 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+_SCANS: dict = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Read one table; selecting columns here keeps ReadSchema narrow."""
-    df = spark.read.parquet(table_path(sf_dir, name))
+    """Read one table; selecting columns here keeps ReadSchema narrow.
+
+    The scan DataFrame (a plan, not data) is reused per application and path,
+    so repeated queries do not list files and read footers again.
+    """
+    key = (spark.sparkContext.applicationId, table_path(sf_dir, name))
+    df = _SCANS.get(key)
+    if df is None:
+        df = spark.read.parquet(key[1])
+        _SCANS[key] = df
     return df.select(*columns) if columns else df
