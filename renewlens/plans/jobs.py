@@ -53,6 +53,13 @@ def analyses(scored: DataFrame, target_col: str = config.TARGET_COLUMN, term_col
     return out
 
 
+def _write_pivot_csv(res: JobResult, output_dir: str) -> None:
+    """A5: the term x level pivot also as a header CSV (one small file)."""
+    if "term_level_pivot" in res.frames:
+        res.paths["term_level_pivot_csv"] = write_table(
+            res.frames["term_level_pivot"].coalesce(1), f"{output_dir}/term_level_pivot_csv", fmt="csv")
+
+
 def train_job(spark: SparkSession, data: DataFrame, output_dir: str | None = None, params: dict | None = None,
               target_col: str = config.TARGET_COLUMN, key_col: str = config.ID_COLUMN,
               test_size: float = config.TEST_SIZE, seed: int = config.RANDOM_STATE, overrides: dict | None = None,
@@ -82,6 +89,7 @@ def train_job(spark: SparkSession, data: DataFrame, output_dir: str | None = Non
         for name, df in res.frames.items():
             if name != "test_predictions":
                 res.paths[name] = write_table(df, f"{output_dir}/{name}")
+        _write_pivot_csv(res, output_dir)
     return res
 
 
@@ -98,6 +106,7 @@ def predict_job(spark: SparkSession, model_dir: str, data: DataFrame, output_dir
         for name, df in res.frames.items():
             if name != "predictions":
                 res.paths[name] = write_table(df, f"{output_dir}/{name}")
+        _write_pivot_csv(res, output_dir)
     return res
 
 
