@@ -733,9 +733,8 @@ def q_prediction_sink(spark, sf_dir):
 @register("batch_response", f"""WITH {SCORED_CTE}
 SELECT user_id, pred_probability AS probability, level_tag, pred_probability IS NOT NULL AS success FROM scored""")
 def q_batch_response(spark, sf_dir):
-    s = scored(spark, sf_dir)
-    rows, _ = FS.batch_response(s.select("user_id", PROB, LEVEL), PROB, LEVEL)
-    return s.select("user_id", F.col(PROB).alias("probability"), LEVEL, F.col(PROB).isNotNull().alias("success"))
+    rows, _ = FS.batch_response(scored(spark, sf_dir), PROB, LEVEL, keep=["user_id"])
+    return rows
 
 
 @register("batch_envelope", f"""WITH {SCORED_CTE}

@@ -118,20 +118,18 @@ def applicable_recipes(columns, recipes=None) -> list[Recipe]:
 
 
 def derive_features(df: DataFrame, recipes=None) -> DataFrame:
-    """Add recipe outputs (raw IEEE values) in order."""
-    for r in applicable_recipes(df.columns, recipes):
-        df = df.withColumn(r.output, r.build())
-    return df
-
+    """Add recipe outputs (raw IEEE values) in order.
 
-def derive_features_sql(columns, recipes=None) -> str:
-    """SQL select-list fragment producing the same derived columns from ``columns``.
-
-    Later recipes read earlier outputs by name, so each output is nested as a
-    subquery layer by the caller; here each recipe only reads base inputs,
-    except the final cap, which replaces ``fns_cnt``.
+    Recipes go into one projection per dependency layer: a recipe that reads
+    (or overwrites) a column an earlier recipe of the layer writes starts a
+    new layer, so in-order semantics hold with few plan nodes.
     """
-    return ", ".join(f"{r.sql()} AS {r.output}" for r in applicable_recipes(columns, recipes))
+    layer: dict = {}
+    for r in applicable_recipes(df.columns, recipes):
+        if any(c in layer for c in r.inputs) or r.output in layer:
+            df, layer = df.withColumns(layer), {}
+        layer[r.output] = r.build()
+    return df.withColumns(layer) if layer else df
 
 
 def numeric_columns(df: DataFrame, names=None) -> list[str]:

@@ -20,7 +20,6 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 from .. import config
 from ..functions.features import applicable_recipes
@@ -107,5 +106,3 @@ def source_feature(assembled_name: str) -> str:
             return assembled_name[: -len(suffix)]
     return assembled_name
 
-
-SPARK_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "bigint": T.LongType()}

@@ -117,7 +117,7 @@ def tune_job(spark: SparkSession, data: DataFrame, output_dir: str | None = None
     """3.4: split -> search on the training part -> top N -> comparison with
     the defaults on the same folds -> best and default fitted on the training
     part (early stop on the test part) and evaluated on the test part."""
-    from .tuning import top_candidates
+    from .tuning import cv_results
 
     tcfg = {**config.HYPERPARAMETER_TUNING_CONFIG, **(tuning or {})}
     res = JobResult()
@@ -128,7 +128,7 @@ def tune_job(spark: SparkSession, data: DataFrame, output_dir: str | None = None
                    tcfg["cv"], tcfg["random_state"], target_col=target_col, overrides=overrides,
                    return_train_score=True)
     res.frames["cv_results"] = found.summary
-    res.frames["cv_top"] = top_candidates(found.summary, top_n, ["candidate"])
+    res.frames["cv_top"] = cv_results(found.summary, top_n)
     res.frames["fold_scores"] = found.fold_scores
     defaults = default_params or config.MODEL_PARAMS
     res.frames["comparison"] = compare_with_default(train, {**defaults, **found.best_params}, defaults, tcfg["cv"],

@@ -143,11 +143,12 @@ def read_json_row(spark: SparkSession, path: str) -> dict:
     return json.loads(row["value"]) if row else {}
 
 
-def batch_response(scored: DataFrame, prob_col: str, level_col: str) -> tuple[DataFrame, DataFrame]:
+def batch_response(scored: DataFrame, prob_col: str, level_col: str, keep=()) -> tuple[DataFrame, DataFrame]:
     """A10: per-row response (probability, level_tag, success) and the envelope
     counts (total, success_count). Rows stay rows; no list is gathered into one
     record. An empty batch is refused (A3)."""
     rows = scored.select(
+        *keep,
         F.col(prob_col).cast("double").alias("probability"),
         F.col(level_col).alias("level_tag"),
         F.col(prob_col).isNotNull().alias("success"),

@@ -95,3 +95,26 @@ def test_filters_and_columns_reach_scan(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint" in plan
     assert "o_totalprice" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_next_order_day_equals_plain_lead_with_hot_customer(spark):
+    """The per-(customer, day) form equals lead over (day, id) per customer,
+    also when one customer holds a third of the rows and many share a day."""
+    import random
+
+    from renewlens.sources.renewal import next_order_day
+
+    rng = random.Random(7)
+    rows = []
+    for oid in range(3000):
+        cust = 0 if oid % 3 == 0 else rng.randint(1, 400)      # customer 0: a third of all orders
+        day = rng.randint(0, 40) if cust == 0 else rng.randint(0, 900)
+        rows.append((oid * 7 % 3001, cust, day))
+    df = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, d int").select(
+        "o_orderkey", "o_custkey", F.date_add(F.lit("2020-01-01").cast("date"), F.col("d")).alias("o_day"))
+    ours = next_order_day(df).select("o_orderkey", F.col("_next_order_day").alias("a"))
+    w = Window.partitionBy("o_custkey").orderBy("o_day", "o_orderkey")
+    plain = df.select("o_orderkey", F.lead("o_day").over(w).alias("b"))
+    j = ours.join(plain, "o_orderkey")
+    assert j.count() == 3000
+    assert j.where(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
