@@ -111,10 +111,16 @@ def score_buckets(counts: DataFrame, group_cols=(), buckets: int | None = PREFIX
 def prefix_below(counts: DataFrame, group_cols=(), buckets: int | None = PREFIX_PARTITIONS) -> DataFrame:
     """Adds pos_below / neg_below: totals over strictly smaller scores of the group.
 
-    Two levels: per (group, bucket) totals (a bounded table, broadcast) give
-    each bucket's offset; a window inside each bucket adds the local sum.
+    The distinct-score table is checkpointed to the shared checkpoint folder
+    first, so the upstream plan runs once for both the cut points and the
+    sums. Two levels: per (group, bucket) totals (a bounded table, broadcast)
+    give each bucket's offset; a window inside each bucket adds the local sum.
     """
+    from ..session import ensure_checkpoint_dir
+
     g = list(group_cols)
+    ensure_checkpoint_dir(counts.sparkSession)
+    counts = counts.checkpoint(eager=True)
     bucketed = score_buckets(counts, g, buckets)
     totals = bucketed.groupBy(*g, "_bucket").agg(F.sum("pos").alias("_pp"), F.sum("neg").alias("_pn"))
     before = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -20,6 +20,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     # Local runs only: on a cluster the session names its own shared folder.
     builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="renewlens-ckpt-"))
