@@ -730,6 +730,28 @@ def q_prediction_sink(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@register("term_level_pivot_sink", f"""WITH {PERF_CTE},
+shaped AS (
+  SELECT l1_term_name, level_tag,
+         round_even(renewal_rate * 10000.0, 0) / 10000.0 AS rate,
+         round_even(CAST(sample_count AS DOUBLE) / CAST(sum(sample_count) OVER (PARTITION BY l1_term_name) AS DOUBLE) * 10000.0, 0) / 10000.0 AS share
+  FROM agg
+)
+SELECT l1_term_name,
+       {', '.join(f"max(CASE WHEN level_tag = '{lv}' THEN rate END) AS {lv}_rate, max(CASE WHEN level_tag = '{lv}' THEN share END) AS {lv}_share" for lv in config.PREFERRED_LEVEL_ORDER)}
+FROM shaped GROUP BY l1_term_name""")
+def q_term_level_pivot_sink(spark, sf_dir):
+    """A5: the term x level pivot written as a header CSV and read back typed."""
+    from pyspark.sql import types as T
+
+    pivot = A.term_level_pivot(A.term_level_performance(scored(spark, sf_dir), TERM, LEVEL, LABEL), TERM, LEVEL)
+    path = FS.write_table(pivot.coalesce(1), FS.unique_scratch(spark, "pivot-csv"), fmt="csv")
+    schema = T.StructType([T.StructField(TERM, T.StringType())] + [
+        T.StructField(f"{lv}_{kind}", T.DoubleType()) for lv in config.PREFERRED_LEVEL_ORDER for kind in ("rate", "share")
+    ])
+    return FS.read_csv(spark, path, schema)
+
+
 @register("batch_response", f"""WITH {SCORED_CTE}
 SELECT user_id, pred_probability AS probability, level_tag, pred_probability IS NOT NULL AS success FROM scored""")
 def q_batch_response(spark, sf_dir):

@@ -63,9 +63,17 @@ def _write_pivot_csv(res: JobResult, output_dir: str) -> None:
 def train_job(spark: SparkSession, data: DataFrame, output_dir: str | None = None, params: dict | None = None,
               target_col: str = config.TARGET_COLUMN, key_col: str = config.ID_COLUMN,
               test_size: float = config.TEST_SIZE, seed: int = config.RANDOM_STATE, overrides: dict | None = None,
-              early_stopping: bool = True) -> JobResult:
-    """3.1: profile -> split -> fit (vocabulary on all rows, early stop on the
-    test part, as the original) -> evaluate -> score test -> analyses."""
+              early_stopping: bool = True, validation_fraction: float | None = None,
+              vocabulary_on_all_rows: bool = True) -> JobResult:
+    """3.1: profile -> split -> fit -> evaluate -> score test -> analyses.
+
+    By default it keeps the original's two leaks, named here: the category
+    vocabulary is learned on all rows before the split, and early stopping
+    watches the test part. ``vocabulary_on_all_rows=False`` learns it on the
+    training part only; ``validation_fraction`` carves a stratified
+    validation part out of the training part for early stopping, so the test
+    part stays unseen until evaluation.
+    """
     ensure_not_empty(data, "training data")
     res = JobResult()
     res.frames["profile_basic"] = P.basic_stats(data, target_col)
@@ -74,7 +82,13 @@ def train_job(spark: SparkSession, data: DataFrame, output_dir: str | None = Non
     res.frames["split_balance"] = P.split_balance(split, "part", target_col)
     train = split.where(F.col("part") == PART_TRAIN).drop("part")
     test = split.where(F.col("part") == PART_TEST).drop("part")
-    model = train_model(train, test if early_stopping else None, params or config.MODEL_PARAMS, vocab_df=data,
+    fit_part, watch = train, test
+    if validation_fraction:
+        inner = stratified_split(train, target_col, key_col, validation_fraction, seed + 1)
+        fit_part = inner.where(F.col("part") == PART_TRAIN).drop("part")
+        watch = inner.where(F.col("part") == PART_TEST).drop("part")
+    model = train_model(fit_part, watch if early_stopping else None, params or config.MODEL_PARAMS,
+                        vocab_df=data if vocabulary_on_all_rows else train,
                         target_col=target_col, overrides=overrides)
     res.model = model
     scored_test = materialize(model.score(test))

@@ -42,3 +42,10 @@ def test_tune_small(spark, tmp_path):
     comp = res.frames["comparison"].first()
     assert abs(comp.improvement - (comp.best_mean - comp.default_mean)) < 1e-12
     assert res.frames["holdout_comparison"].count() == 2
+
+
+def test_train_without_leaks(spark):
+    data = renewal_df(spark, SF_SMALL)
+    res = train_job(spark, data, None, overrides=TINY, validation_fraction=0.25, vocabulary_on_all_rows=False)
+    assert res.frames["test_predictions"].count() == 300
+    assert res.frames["evaluation_test"].first().roc_auc is not None
