@@ -829,13 +829,18 @@ def q_train_score(spark, sf_dir):
 
 @register("early_stopping")
 def q_early_stopping(spark, sf_dir):
-    """Trees kept when the validation (test) part stops improving."""
+    """Trees kept under both stopping rules, the validation part being the test part."""
     from .plans.model import train_model
 
     _, train, test = _parts(spark, sf_dir)
     requested = 40
-    m = train_model(train, test, config.MODEL_PARAMS, overrides={"maxIter": requested, "maxDepth": 3})
-    return spark.createDataFrame([(requested, m.trees)], "trees_requested int, trees_used int")
+    over = {"maxIter": requested, "maxDepth": 3}
+    tol = train_model(train, test, config.MODEL_PARAMS, overrides=over)
+    pat = train_model(train, test, config.MODEL_PARAMS, overrides=over,
+                      early_stopping_rounds=config.EARLY_STOPPING_ROUNDS)
+    return spark.createDataFrame(
+        [("validation_tol", requested, tol.trees), ("patience", requested, pat.trees)],
+        "rule string, trees_requested int, trees_used int")
 
 
 @register("model_roundtrip")

@@ -64,7 +64,8 @@ def train_job(spark: SparkSession, data: DataFrame, output_dir: str | None = Non
               target_col: str = config.TARGET_COLUMN, key_col: str = config.ID_COLUMN,
               test_size: float = config.TEST_SIZE, seed: int = config.RANDOM_STATE, overrides: dict | None = None,
               early_stopping: bool = True, validation_fraction: float | None = None,
-              vocabulary_on_all_rows: bool = True) -> JobResult:
+              vocabulary_on_all_rows: bool = True,
+              early_stopping_rounds: int | None = config.EARLY_STOPPING_ROUNDS) -> JobResult:
     """3.1: profile -> split -> fit -> evaluate -> score test -> analyses.
 
     By default it keeps the original's two leaks, named here: the category
@@ -89,7 +90,7 @@ def train_job(spark: SparkSession, data: DataFrame, output_dir: str | None = Non
         watch = inner.where(F.col("part") == PART_TEST).drop("part")
     model = train_model(fit_part, watch if early_stopping else None, params or config.MODEL_PARAMS,
                         vocab_df=data if vocabulary_on_all_rows else train,
-                        target_col=target_col, overrides=overrides)
+                        target_col=target_col, overrides=overrides, early_stopping_rounds=early_stopping_rounds)
     res.model = model
     scored_test = materialize(model.score(test))
     res.frames["evaluation_train"] = evaluation_report(model.score(train), config.PROBABILITY_COLUMN, target_col)

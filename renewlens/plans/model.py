@@ -162,6 +162,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def patience_stop(losses, rounds: int) -> int:
+    """Trees to keep: the best prefix, scanning until ``rounds`` iterations
+    pass without a lower validation loss (then later trees are ignored)."""
+    best_i, best = 0, float("inf")
+    for i, loss in enumerate(losses):
+        if loss < best:
+            best_i, best = i, loss
+        elif i - best_i >= rounds:
+            break
+    return best_i + 1
+
+
 def train_model(
     train_df: DataFrame,
     valid_df: DataFrame | None = None,
@@ -172,8 +184,18 @@ def train_model(
     exclude=None,
     validation_tol: float = 0.01,
     overrides: dict | None = None,
+    early_stopping_rounds: int | None = None,
 ) -> RenewalModel:
-    """Fit features (vocabulary on ``vocab_df``, default: train + valid) and GBT."""
+    """Fit features (vocabulary on ``vocab_df``, default: train + valid) and GBT.
+
+    With a validation part, early stopping is either MLlib's own
+    (``validationIndicatorCol`` + ``validationTol``: stops at the first
+    round without enough gain) or, with ``early_stopping_rounds``, patience:
+    all trees are fitted, ``evaluateEachIteration`` gives the validation
+    log-loss of every prefix in one pass, and the model is refitted with the
+    best prefix's tree count (same seed and checkpointed input, so the refit
+    reproduces that prefix).
+    """
     spark = train_df.sparkSession
     train_in = prepare_input(train_df)
     vocab_in = prepare_input(vocab_df) if vocab_df is not None else (
@@ -186,11 +208,13 @@ def train_model(
 
     kwargs = gbt_params(params)
     kwargs.update(overrides or {})
-    if valid_df is not None:
+    patience = valid_df is not None and bool(early_stopping_rounds)
+    if valid_df is not None and not patience:
         kwargs.update(validationIndicatorCol=VALID_COL, validationTol=validation_tol)
     gbt = GBTClassifier(featuresCol=FEATURES_COL, labelCol=LABEL_COL, maxBins=max_bins, checkpointInterval=10,
                         cacheNodeIds=True, **kwargs)
-    if valid_df is not None:
+    valid_data = None
+    if valid_df is not None and not patience:
         data = _prepared_training(feature_model, train_in.withColumn(VALID_COL, F.lit(False)), target_col, [VALID_COL])
         data = data.unionByName(
             _prepared_training(feature_model, prepare_input(valid_df).withColumn(VALID_COL, F.lit(True)), target_col,
@@ -198,11 +222,20 @@ def train_model(
         )
     else:
         data = _prepared_training(feature_model, train_in, target_col)
+        if patience:
+            valid_data = materialize(_prepared_training(feature_model, prepare_input(valid_df), target_col))
     data = materialize(data)
     try:
         gbt_model = gbt.fit(data)
+        if patience:
+            losses = gbt_model.evaluateEachIteration(valid_data)
+            keep = patience_stop(losses, int(early_stopping_rounds))
+            if keep < len(gbt_model.trees):
+                gbt_model = gbt.copy({gbt.maxIter: keep}).fit(data)
     finally:
         data.unpersist()
+        if valid_data is not None:
+            valid_data.unpersist()
     pipeline = PipelineModel(stages=[*feature_model.stages, gbt_model])
     return RenewalModel(pipeline, spec, config.DEFAULT_THRESHOLD, target_col, len(gbt_model.trees))
 

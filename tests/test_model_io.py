@@ -114,3 +114,34 @@ def test_search_space_sampling():
 def test_empty_batch_refused(spark):
     with pytest.raises(ValueError):
         FS.require_nonempty_batch(spark.createDataFrame([], FS.RECORD_SCHEMA))
+
+
+def test_patience_rule():
+    from renewlens.plans.model import patience_stop
+
+    assert patience_stop([5, 4, 3, 3.5, 3.6, 3.7], 2) == 3      # stops 2 rounds after the best (index 2)
+    assert patience_stop([5, 4, 3, 2, 1], 30) == 5              # still improving: keep all
+    assert patience_stop([1, 2, 3, 0.5], 2) == 1                # later gains after the stop are not seen
+
+
+def test_refit_reproduces_prefix(planted):
+    from renewlens.plans.model import train_model
+
+    train, test = planted
+    full = train_model(train, None, config.MODEL_PARAMS, overrides={"maxIter": 6, "maxDepth": 3})
+    short = train_model(train, None, config.MODEL_PARAMS, overrides={"maxIter": 3, "maxDepth": 3})
+    a, b = full.pipeline.stages[-1], short.pipeline.stages[-1]
+    def body(t):  # the debug text without its header line (which names the uid)
+        return t.toDebugString.split("\n", 1)[1]
+
+    assert [body(t) for t in a.trees[:3]] == [body(t) for t in b.trees]
+    assert list(a.treeWeights[:3]) == list(b.treeWeights)
+
+
+def test_patience_stopping_keeps_at_most_requested(planted):
+    from renewlens.plans.model import train_model
+
+    train, test = planted
+    m = train_model(train, test, config.MODEL_PARAMS, overrides={"maxIter": 12, "maxDepth": 3},
+                    early_stopping_rounds=3)
+    assert 1 <= m.trees <= 12
