@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from .. import config
 from .selection import predict_label
 
-# Range partitions of the distinct-score table; None = the session's shuffle partitions.
+# Buckets of the distinct-score table; None = the session's shuffle partitions.
 PREFIX_PARTITIONS = None
+# Largest (group, bucket) offset table broadcast.
+OFFSET_BROADCAST_ROWS = 1_000_000
 
 
 def _y(label_col: str) -> Column:
@@ -74,8 +76,9 @@ def score_counts(df: DataFrame, score_col: str, label_col: str, group_cols=()) -
     )
 
 
-def score_buckets(counts: DataFrame, group_cols=(), buckets: int | None = PREFIX_PARTITIONS) -> DataFrame:
+def score_buckets(counts: DataFrame, group_cols=(), buckets: int | None = PREFIX_PARTITIONS):
     """Adds ``_bucket``: an order-preserving bucket of the score within its group.
+    Returns (frame, bound on the number of (group, bucket) pairs).
 
     Cut points are approximate quantiles of the distinct scores, computed once
     and embedded in the plan as literals (bounded: groups x buckets values),
@@ -86,7 +89,7 @@ def score_buckets(counts: DataFrame, group_cols=(), buckets: int | None = PREFIX
         buckets = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(1, min(int(buckets), 4096))
     if buckets == 1:
-        return counts.withColumn("_bucket", F.lit(0))
+        return counts.withColumn("_bucket", F.lit(0)), 1
     probs = [i / buckets for i in range(1, buckets)]
     cut_rows = counts.groupBy(*g).agg(F.percentile_approx("score", probs, 10 * buckets).alias("_cuts")).collect()
 
@@ -105,7 +108,7 @@ def score_buckets(counts: DataFrame, group_cols=(), buckets: int | None = PREFIX
                 cond = eq if cond is None else cond & eq
             expr = F.when(cond, bucket_of(row["_cuts"])) if expr is None else expr.when(cond, bucket_of(row["_cuts"]))
         expr = F.lit(0) if expr is None else expr.otherwise(F.lit(0))
-    return counts.withColumn("_bucket", expr.cast("int"))
+    return counts.withColumn("_bucket", expr.cast("int")), max(1, len(cut_rows)) * buckets
 
 
 def prefix_below(counts: DataFrame, group_cols=(), buckets: int | None = PREFIX_PARTITIONS) -> DataFrame:
@@ -121,7 +124,7 @@ def prefix_below(counts: DataFrame, group_cols=(), buckets: int | None = PREFIX_
     g = list(group_cols)
     ensure_checkpoint_dir(counts.sparkSession)
     counts = counts.checkpoint(eager=True)
-    bucketed = score_buckets(counts, g, buckets)
+    bucketed, n_pairs = score_buckets(counts, g, buckets)
     totals = bucketed.groupBy(*g, "_bucket").agg(F.sum("pos").alias("_pp"), F.sum("neg").alias("_pn"))
     before = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -129,9 +132,12 @@ def prefix_below(counts: DataFrame, group_cols=(), buckets: int | None = PREFIX_
         F.coalesce(F.sum("_pp").over(before), F.lit(0)).alias("_op"),
         F.coalesce(F.sum("_pn").over(before), F.lit(0)).alias("_on"),
     )
+    # one row per (group, bucket): broadcast when that known bound is small
+    if n_pairs <= OFFSET_BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
     local = Window.partitionBy(*g, "_bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        bucketed.join(F.broadcast(offsets), [*g, "_bucket"])
+        bucketed.join(offsets, [*g, "_bucket"])
         .withColumn("pos_below", F.col("_op") + F.coalesce(F.sum("pos").over(local), F.lit(0)))
         .withColumn("neg_below", F.col("_on") + F.coalesce(F.sum("neg").over(local), F.lit(0)))
         .drop("_bucket", "_op", "_on")
