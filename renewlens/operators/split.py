@@ -52,32 +52,46 @@ def class_test_sizes(class_counts: dict, test_size: float) -> dict:
     return {c: class_counts[c] - floors[c] for c in classes}
 
 
-def ranked_in_class(df: DataFrame, label_col: str, key_col: str, seed: int = config.RANDOM_STATE,
-                    hex_digits: int = 4) -> DataFrame:
-    """Adds ``_class_rank`` (1-based rank of the row inside its class)."""
+def _keyed(df: DataFrame, key_col: str, seed: int, hex_digits: int) -> DataFrame:
     h = split_hash(F.col(key_col), seed)
-    keyed = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, hex_digits))
-    counts = keyed.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_bn"))
-    # Bounded: classes x 16^hex_digits rows. Window per class over bucket counts.
+    return df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, hex_digits))
+
+
+def _bucket_counts(keyed: DataFrame, label_col: str) -> DataFrame:
+    """Rows per (class, hash bucket): bounded by classes x 16^hex_digits.
+
+    Checkpointed (a small table) so the offsets and the class sizes read it
+    from the shared checkpoint folder instead of each re-reading the input.
+    """
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(keyed.sparkSession)
+    return keyed.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_bn")).checkpoint(eager=True)
+
+
+def _rank(keyed: DataFrame, counts: DataFrame, label_col: str, key_col: str) -> DataFrame:
+    """``_class_rank`` = rows of earlier buckets of the class + row_number in the bucket."""
     before = Window.partitionBy(label_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(label_col, "_b", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"))
-    ranked = keyed.join(F.broadcast(offsets), [label_col, "_b"])
+    ranked = keyed.join(F.broadcast(offsets), [label_col, "_b"])  # bounded: classes x 16^hex_digits
     w = Window.partitionBy(label_col, "_b").orderBy("_h", key_col)
     return ranked.withColumn("_class_rank", F.col("_off") + F.row_number().over(w)).drop("_h", "_b", "_off")
 
 
+def ranked_in_class(df: DataFrame, label_col: str, key_col: str, seed: int = config.RANDOM_STATE,
+                    hex_digits: int = 4) -> DataFrame:
+    """Adds ``_class_rank`` (1-based rank of the row inside its class)."""
+    keyed = _keyed(df, key_col, seed, hex_digits)
+    return _rank(keyed, _bucket_counts(keyed, label_col), label_col, key_col)
+
+
 def class_counts(df: DataFrame, label_col: str) -> dict:
     """Rows per class on the driver (bounded by the class count); for reports and tests."""
     return {r[0]: r[1] for r in df.groupBy(label_col).count().collect()}
 
 
-def class_allocation(df: DataFrame, label_col: str, test_size: float = config.TEST_SIZE) -> DataFrame:
-    """Per class: rows, test size and the offsets folds need, as a lazy frame.
-
-    Same rule as ``class_test_sizes`` in exact integer arithmetic; the windows
-    run over the class table (one row per class), never over the rows.
-    """
-    c = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_c"))
+def _allocate(c: DataFrame, label_col: str, test_size: float) -> DataFrame:
+    """From a class table (label, _c): per class test size and fold offsets."""
     everything = Window.partitionBy(F.lit(0))
     n = F.sum("_c").over(everything)
     if isinstance(test_size, float) and test_size < 1:
@@ -104,19 +118,33 @@ def class_allocation(df: DataFrame, label_col: str, test_size: float = config.TE
     )
 
 
+def class_allocation(df: DataFrame, label_col: str, test_size: float = config.TEST_SIZE) -> DataFrame:
+    """Per class: rows, test size and the offsets folds need, as a lazy frame.
+
+    Same rule as ``class_test_sizes`` in exact integer arithmetic; the windows
+    run over the class table (one row per class), never over the rows.
+    """
+    return _allocate(df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_c")), label_col, test_size)
+
+
 def stratified_split(df: DataFrame, label_col: str = config.TARGET_COLUMN, key_col: str = config.ID_COLUMN,
                      test_size: float = config.TEST_SIZE, seed: int = config.RANDOM_STATE,
                      part_col: str = "part", hex_digits: int = 4, fold_col: str | None = None,
                      n_splits: int = config.HYPERPARAMETER_TUNING_CONFIG["cv"]) -> DataFrame:
     """E5: adds ``part`` ('train' / 'test') with exact per-class test sizes.
 
-    With ``fold_col`` it also numbers the training rows into ``n_splits``
-    stratified folds in the same pass (null for test rows): a training row's
-    rank among the class's training rows is its class rank minus the class's
-    test size, since the test part takes each class's first ranks.
+    The input is read twice: once for the per-(class, bucket) counts (a small
+    checkpointed table from which both the bucket offsets and the class sizes
+    derive) and once to rank the rows. With ``fold_col`` the training rows
+    are also numbered into ``n_splits`` stratified folds in the same pass (null
+    for test rows): a training row's rank among the class's training rows is
+    its class rank minus the class's test size, since the test part takes each
+    class's first ranks.
     """
-    alloc = F.broadcast(class_allocation(df, label_col, test_size))  # bounded: one row per class
-    ranked = ranked_in_class(df, label_col, key_col, seed, hex_digits).join(alloc, label_col)
+    keyed = _keyed(df, key_col, seed, hex_digits)
+    counts = _bucket_counts(keyed, label_col)
+    alloc = _allocate(counts.groupBy(label_col).agg(F.sum("_bn").alias("_c")), label_col, test_size)
+    ranked = _rank(keyed, counts, label_col, key_col).join(F.broadcast(alloc), label_col)  # bounded: classes
     is_test = F.col("_class_rank") <= F.col("class_test")
     out = ranked.withColumn(part_col, F.when(is_test, F.lit(PART_TEST)).otherwise(F.lit(PART_TRAIN)))
     if fold_col:
@@ -131,8 +159,11 @@ def stratified_folds(df: DataFrame, n_splits: int = config.HYPERPARAMETER_TUNING
     """fold = (class offset + rank in class - 1) mod k, the class offset being
     the rows of smaller classes: every fold gets the library's per-class counts
     (sizes differ by at most one, per class and overall)."""
-    alloc = F.broadcast(class_allocation(df, label_col, 0).select(label_col, "class_offset"))
-    ranked = ranked_in_class(df, label_col, key_col, seed, hex_digits).join(alloc, label_col)
+    keyed = _keyed(df, key_col, seed, hex_digits)
+    counts = _bucket_counts(keyed, label_col)
+    alloc = _allocate(counts.groupBy(label_col).agg(F.sum("_bn").alias("_c")), label_col, 0)
+    ranked = _rank(keyed, counts, label_col, key_col).join(F.broadcast(alloc.select(label_col, "class_offset")),
+                                                          label_col)
     fold = ((F.col("class_offset") + F.col("_class_rank") - 1) % F.lit(n_splits)).cast("int")
     return ranked.withColumn(fold_col, fold).drop("class_offset", "_class_rank")
 
