@@ -22,6 +22,9 @@ from .selection import predict_label
 PREFIX_PARTITIONS = None
 # Largest (group, bucket) offset table broadcast.
 OFFSET_BROADCAST_ROWS = 1_000_000
+# Bounds on the cut points embedded in a plan.
+MAX_CUT_LITERALS = 100_000
+MAX_LITERAL_GROUPS = 1_000
 
 
 def _y(label_col: str) -> Column:
@@ -88,6 +91,13 @@ def score_buckets(counts: DataFrame, group_cols=(), buckets: int | None = PREFIX
     if buckets is None:
         buckets = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(1, min(int(buckets), 4096))
+    if g:
+        # the cut points become literals: keep groups x buckets bounded; with very
+        # many (hence mostly small) groups each group is one bucket
+        n_groups = counts.select(*g).distinct().count()
+        buckets = max(1, min(buckets, MAX_CUT_LITERALS // max(1, n_groups)))
+        if n_groups > MAX_LITERAL_GROUPS:
+            buckets = 1
     if buckets == 1:
         return counts.withColumn("_bucket", F.lit(0)), 1
     probs = [i / buckets for i in range(1, buckets)]

@@ -118,3 +118,19 @@ def test_next_order_day_equals_plain_lead_with_hot_customer(spark):
     j = ours.join(plain, "o_orderkey")
     assert j.count() == 3000
     assert j.where(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
+
+
+def test_grouped_auc_many_groups_matches_single(spark):
+    """Per-group AUC with many groups (one bucket each) equals per-group single runs."""
+    from renewlens.operators import metrics as Mx
+
+    s = C.scored(spark, SF_SMALL).select("is_renewal", "fns_cnt", (F.col("user_id") % 1500).alias("g"))
+    old = (Mx.MAX_LITERAL_GROUPS, Mx.MAX_CUT_LITERALS)
+    try:
+        Mx.MAX_LITERAL_GROUPS, Mx.MAX_CUT_LITERALS = 10, 100
+        many = {r.g: r.roc_auc for r in Mx.roc_auc(s, "fns_cnt", "is_renewal", ["g"]).collect()}
+    finally:
+        Mx.MAX_LITERAL_GROUPS, Mx.MAX_CUT_LITERALS = old
+    some = {r.g: r.roc_auc for r in Mx.roc_auc(s.where("g < 5"), "fns_cnt", "is_renewal", ["g"]).collect()}
+    for g, v in some.items():
+        assert (v is None and many[g] is None) or abs(v - many[g]) < 1e-12
