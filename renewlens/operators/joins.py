@@ -15,11 +15,16 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(size if isinstance(size, int) else size.toString())
 
 
+def is_small(df: DataFrame, max_bytes: int | None = None) -> bool:
+    """Whether Catalyst's size estimate is under the broadcast limit."""
+    return estimated_bytes(df) <= (BROADCAST_BYTE_LIMIT if max_bytes is None else max_bytes)
+
+
 def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Broadcast ``df`` only when its estimated size is under ``max_bytes``
     (default ``BROADCAST_BYTE_LIMIT``); else leave the strategy to the planner
     (sort-merge join, with AQE's runtime re-plan and skew splitting)."""
-    if estimated_bytes(df) <= (BROADCAST_BYTE_LIMIT if max_bytes is None else max_bytes):
+    if is_small(df, max_bytes):
         return F.broadcast(df)
     return df
 
