@@ -134,3 +134,13 @@ def test_grouped_auc_many_groups_matches_single(spark):
     some = {r.g: r.roc_auc for r in Mx.roc_auc(s.where("g < 5"), "fns_cnt", "is_renewal", ["g"]).collect()}
     for g, v in some.items():
         assert (v is None and many[g] is None) or abs(v - many[g]) < 1e-12
+
+
+def test_renewal_same_rows_for_both_customer_join_placements(spark, monkeypatch):
+    import renewlens.operators.joins as J
+
+    small = renewal_df(spark, SF_SMALL)
+    monkeypatch.setattr(J, "BROADCAST_BYTE_LIMIT", -1)
+    big = renewal_df(spark, SF_SMALL)
+    assert small.count() == big.count()
+    assert small.exceptAll(big).count() == 0 and big.exceptAll(small).count() == 0
