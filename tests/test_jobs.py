@@ -49,3 +49,15 @@ def test_train_without_leaks(spark):
     res = train_job(spark, data, None, overrides=TINY, validation_fraction=0.25, vocabulary_on_all_rows=False)
     assert res.frames["test_predictions"].count() == 300
     assert res.frames["evaluation_test"].first().roc_auc is not None
+
+
+def test_cli_train_and_predict_from_csv(spark, tmp_path):
+    from renewlens.cli import main
+    from renewlens.sources.files import write_csv
+
+    csv = write_csv(renewal_df(spark, SF_SMALL), str(tmp_path / "raw_csv"))
+    assert main(["train", "--input", csv, "--output", str(tmp_path / "t"), "--trees", "3", "--format", "csv"]) == 0
+    test_csv = write_csv(renewal_df(spark, SF_SMALL).drop("is_renewal"), str(tmp_path / "test_csv"))
+    assert main(["predict", "--model", str(tmp_path / "t" / "model"), "--input", test_csv, "--format", "csv",
+                 "--output", str(tmp_path / "p"), "--partition-by-term"]) == 0
+    assert spark.read.parquet(str(tmp_path / "p" / "predictions")).count() == 1500
