@@ -60,16 +60,16 @@ def split_balance(df: DataFrame, part_col: str, target_col: str = config.TARGET_
 
 
 def distinct_values(df: DataFrame, columns=None) -> DataFrame:
-    """Distinct non-null values of each text column as (column_name, value)."""
+    """Distinct non-null values of each text column as (column_name, value).
+
+    One pass: each row becomes its (column, value) pairs, then a single
+    distinct (partial aggregation first, so repeated values collapse map-side).
+    """
     cols = [c for c in (columns or config.CATEGORICAL_COLUMNS) if c in df.columns]
-    parts = [
-        df.select(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")).where(F.col("value").isNotNull())
-        for c in cols
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    pairs = F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols
+    ]))
+    return df.select(pairs).where(F.col("value").isNotNull()).distinct()
 
 
 def nonfinite_counts(df: DataFrame, columns=None) -> DataFrame:
