@@ -3,8 +3,9 @@
 The recipe columns and the sanitizing run before the pipeline as plain
 DataFrame code (``plans.model.prepare_input``). Stages, all built-in and
 persistable:
-  1. StringIndexer per text feature (sorted vocabulary, learned at fit; unseen
-     and null share the extra index, handleInvalid="keep");
+  1. one multi-column StringIndexer for the text features (sorted
+     vocabularies learned in one pass; unseen and null share the extra index,
+     handleInvalid="keep");
   2. SQLTransformer: per numeric feature a 0/1 missing indicator and a
      sentinel fill below any real value (MLlib trees reject NaN), so the
      trees can still send missing rows their own way;
@@ -29,14 +30,17 @@ MISSING_SENTINEL = -1.0e9
 FEATURES_COL = "features"
 
 
+def category_indexer(columns, suffix: str) -> StringIndexer:
+    """One multi-column StringIndexer: every vocabulary is learned in one pass."""
+    return StringIndexer(inputCols=list(columns), outputCols=[f"{c}{suffix}" for c in columns],
+                         handleInvalid="keep", stringOrderType="alphabetAsc")
+
+
 def fit_category_indexers(df: DataFrame, columns) -> PipelineModel:
-    """H8: one StringIndexer per text column present; output ``<c>_index``."""
+    """H8: text columns present -> ``<c>_index`` (sorted vocabulary; unseen / null -> extra index)."""
     types = dict(df.dtypes)
-    stages = [
-        StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="keep", stringOrderType="alphabetAsc")
-        for c in columns if types.get(c) == "string"
-    ]
-    return Pipeline(stages=stages).fit(df)
+    cols = [c for c in columns if types.get(c) == "string"]
+    return Pipeline(stages=[category_indexer(cols, "_index")] if cols else []).fit(df)
 
 
 @dataclass
@@ -73,10 +77,7 @@ def plan_features(df: DataFrame, target_col: str = config.TARGET_COLUMN, include
 
 def feature_stages(df: DataFrame, spec: FeatureSpec) -> list:
     """Unfitted stages 1-3 for ``spec`` (fit them on the rows that define the vocabulary)."""
-    stages = []
-    for c in spec.categorical:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep",
-                                    stringOrderType="alphabetAsc"))
+    stages = [category_indexer(spec.categorical, "__idx")] if spec.categorical else []
     fill = ", ".join(
         f"COALESCE(CAST(`{c}` AS DOUBLE), CAST({MISSING_SENTINEL} AS DOUBLE)) AS `{c}__val`, "
         f"CAST(`{c}` IS NULL AS DOUBLE) AS `{c}__missing`"
@@ -96,7 +97,11 @@ def fit_feature_model(df: DataFrame, spec: FeatureSpec) -> PipelineModel:
 def vocabulary_sizes(model: PipelineModel) -> dict:
     from pyspark.ml.feature import StringIndexerModel
 
-    return {s.getInputCol(): len(s.labels) for s in model.stages if isinstance(s, StringIndexerModel)}
+    out = {}
+    for s in model.stages:
+        if isinstance(s, StringIndexerModel):
+            out.update({c: len(labels) for c, labels in zip(s.getInputCols(), s.labelsArray)})
+    return out
 
 
 def source_feature(assembled_name: str) -> str:
