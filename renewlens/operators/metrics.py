@@ -79,6 +79,14 @@ def score_counts(df: DataFrame, score_col: str, label_col: str, group_cols=()) -
     )
 
 
+def checkpointed_score_counts(df: DataFrame, score_col: str, label_col: str, group_cols=()) -> DataFrame:
+    """``score_counts`` written once to the shared checkpoint folder."""
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return score_counts(df, score_col, label_col, group_cols).checkpoint(eager=True)
+
+
 def score_buckets(counts: DataFrame, group_cols=(), buckets: int | None = PREFIX_PARTITIONS):
     """Adds ``_bucket``: an order-preserving bucket of the score within its group.
     Returns (frame, bound on the number of (group, bucket) pairs).
@@ -124,16 +132,12 @@ def score_buckets(counts: DataFrame, group_cols=(), buckets: int | None = PREFIX
 def prefix_below(counts: DataFrame, group_cols=(), buckets: int | None = PREFIX_PARTITIONS) -> DataFrame:
     """Adds pos_below / neg_below: totals over strictly smaller scores of the group.
 
-    The distinct-score table is checkpointed to the shared checkpoint folder
-    first, so the upstream plan runs once for both the cut points and the
-    sums. Two levels: per (group, bucket) totals (a bounded table, broadcast)
-    give each bucket's offset; a window inside each bucket adds the local sum.
+    ``counts`` should be materialized (``checkpointed_score_counts``) so the
+    upstream plan runs once for both the cut points and the sums. Two levels:
+    per (group, bucket) totals (a bounded table, broadcast) give each
+    bucket's offset; a window inside each bucket adds the local sum.
     """
-    from ..session import ensure_checkpoint_dir
-
     g = list(group_cols)
-    ensure_checkpoint_dir(counts.sparkSession)
-    counts = counts.checkpoint(eager=True)
     bucketed, n_pairs = score_buckets(counts, g, buckets)
     totals = bucketed.groupBy(*g, "_bucket").agg(F.sum("pos").alias("_pp"), F.sum("neg").alias("_pn"))
     before = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -154,10 +158,10 @@ def prefix_below(counts: DataFrame, group_cols=(), buckets: int | None = PREFIX_
     )
 
 
-def roc_auc(df: DataFrame, score_col: str, label_col: str, group_cols=()) -> DataFrame:
-    """``roc_auc`` per group (one row without groups); null with one class only."""
+def auc_from_counts(counts: DataFrame, group_cols=()) -> DataFrame:
+    """ROC-AUC per group from a materialized (group, score, pos, neg) table."""
     g = list(group_cols)
-    pb = prefix_below(score_counts(df, score_col, label_col, g), g)
+    pb = prefix_below(counts, g)
     return pb.groupBy(*g).agg(
         F.sum(F.col("pos").cast("double") * (F.col("neg_below").cast("double") + F.col("neg").cast("double") / 2.0)).alias("_num"),
         F.sum("pos").alias("_p"),
@@ -169,9 +173,14 @@ def roc_auc(df: DataFrame, score_col: str, label_col: str, group_cols=()) -> Dat
     )
 
 
+def roc_auc(df: DataFrame, score_col: str, label_col: str, group_cols=()) -> DataFrame:
+    """``roc_auc`` per group (one row without groups); null with one class only."""
+    return auc_from_counts(checkpointed_score_counts(df, score_col, label_col, group_cols), group_cols)
+
+
 def roc_curve(df: DataFrame, score_col: str, label_col: str) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score, predicting 1 for score >= threshold."""
-    pb = prefix_below(score_counts(df, score_col, label_col))
+    pb = prefix_below(checkpointed_score_counts(df, score_col, label_col))
     tot = pb.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     # 1-row totals attached by a broadcast join on a constant key.
     pb = pb.withColumn("_k", F.lit(1)).join(F.broadcast(tot.withColumn("_k", F.lit(1))), "_k")
@@ -182,10 +191,26 @@ def roc_curve(df: DataFrame, score_col: str, label_col: str) -> DataFrame:
     )
 
 
+def confusion_from_counts(counts: DataFrame, threshold: float) -> DataFrame:
+    """tn, fp, fn, tp at ``score >= threshold`` from a (score, pos, neg) table."""
+    hit = F.col("score") >= F.lit(float(threshold))
+    return counts.agg(
+        F.coalesce(F.sum(F.when(~hit, F.col("neg"))), F.lit(0)).alias("tn"),
+        F.coalesce(F.sum(F.when(hit, F.col("neg"))), F.lit(0)).alias("fp"),
+        F.coalesce(F.sum(F.when(~hit, F.col("pos"))), F.lit(0)).alias("fn"),
+        F.coalesce(F.sum(F.when(hit, F.col("pos"))), F.lit(0)).alias("tp"),
+    )
+
+
 def evaluation_report(df: DataFrame, score_col: str, label_col: str,
                       threshold: float = config.DEFAULT_THRESHOLD) -> DataFrame:
-    """Threshold, confusion counts, rates and AUC of one scored table, one row."""
-    labelled = df.withColumn("_pred", predict_label(score_col, threshold))
-    rates = rates_from_counts(confusion_counts(labelled, label_col, "_pred")).withColumn("_k", F.lit(1))
-    auc = roc_auc(df, score_col, label_col).withColumn("_k", F.lit(1))
+    """Threshold, confusion counts, rates and AUC of one scored table, one row.
+
+    One pass over the rows: the distinct-score table (checkpointed) yields
+    both the confusion cells and the AUC.
+    """
+    predict_label(score_col, threshold)  # validates the threshold
+    counts = checkpointed_score_counts(df, score_col, label_col)
+    rates = rates_from_counts(confusion_from_counts(counts, threshold)).withColumn("_k", F.lit(1))
+    auc = auc_from_counts(counts).withColumn("_k", F.lit(1))
     return rates.join(auc, "_k").drop("_k").select(F.lit(float(threshold)).alias("threshold"), "*")
