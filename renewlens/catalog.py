@@ -203,17 +203,7 @@ def q_level_summary(spark, sf_dir):
                     r6("sample_ratio").alias("sample_ratio"))
 
 
-def _pivot_cols_sql(levels, value: str, suffix: str, default: str | None = None) -> str:
-    out = []
-    for lv in levels:
-        e = f"max(CASE WHEN level_tag = '{lv}' THEN {value} END)"
-        if default is not None:
-            e = f"COALESCE({e}, {default})"
-        out.append(f"{e} AS {lv}_{suffix}")
-    return ", ".join(out)
-
-
-@register("term_level_pivot", f"""WITH {PERF_CTE},
+PIVOT_SQL = f"""WITH {PERF_CTE},
 shaped AS (
   SELECT l1_term_name, level_tag,
          round_even(renewal_rate * 10000.0, 0) / 10000.0 AS rate,
@@ -222,7 +212,10 @@ shaped AS (
 )
 SELECT l1_term_name,
        {', '.join(f"max(CASE WHEN level_tag = '{lv}' THEN rate END) AS {lv}_rate, max(CASE WHEN level_tag = '{lv}' THEN share END) AS {lv}_share" for lv in config.PREFERRED_LEVEL_ORDER)}
-FROM shaped GROUP BY l1_term_name""")
+FROM shaped GROUP BY l1_term_name"""
+
+
+@register("term_level_pivot", PIVOT_SQL)
 def q_term_level_pivot(spark, sf_dir):
     perf = A.term_level_performance(scored(spark, sf_dir), TERM, LEVEL, LABEL)
     return A.term_level_pivot(perf, TERM, LEVEL)
@@ -730,16 +723,7 @@ def q_prediction_sink(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@register("term_level_pivot_sink", f"""WITH {PERF_CTE},
-shaped AS (
-  SELECT l1_term_name, level_tag,
-         round_even(renewal_rate * 10000.0, 0) / 10000.0 AS rate,
-         round_even(CAST(sample_count AS DOUBLE) / CAST(sum(sample_count) OVER (PARTITION BY l1_term_name) AS DOUBLE) * 10000.0, 0) / 10000.0 AS share
-  FROM agg
-)
-SELECT l1_term_name,
-       {', '.join(f"max(CASE WHEN level_tag = '{lv}' THEN rate END) AS {lv}_rate, max(CASE WHEN level_tag = '{lv}' THEN share END) AS {lv}_share" for lv in config.PREFERRED_LEVEL_ORDER)}
-FROM shaped GROUP BY l1_term_name""")
+@register("term_level_pivot_sink", PIVOT_SQL)
 def q_term_level_pivot_sink(spark, sf_dir):
     """A5: the term x level pivot written as a header CSV and read back typed."""
     from pyspark.sql import types as T
