@@ -206,13 +206,13 @@ def train_model(
     sizes = vocabulary_sizes(feature_model)
     max_bins = max([MIN_MAX_BINS] + [n + 1 for n in sizes.values()])
 
-    kwargs = gbt_params(params)
-    kwargs.update(overrides or {})
+    # cacheNodeIds stays MLlib's default (False): faster in our measurements at depth 4 and 8;
+    # pass {"cacheNodeIds": True} in overrides for very deep trees on large data.
+    kwargs = {"checkpointInterval": 10, "cacheNodeIds": False, **gbt_params(params), **(overrides or {})}
     patience = valid_df is not None and bool(early_stopping_rounds)
     if valid_df is not None and not patience:
         kwargs.update(validationIndicatorCol=VALID_COL, validationTol=validation_tol)
-    gbt = GBTClassifier(featuresCol=FEATURES_COL, labelCol=LABEL_COL, maxBins=max_bins, checkpointInterval=10,
-                        cacheNodeIds=True, **kwargs)
+    gbt = GBTClassifier(featuresCol=FEATURES_COL, labelCol=LABEL_COL, maxBins=max_bins, **kwargs)
     valid_data = None
     if valid_df is not None and not patience:
         data = _prepared_training(feature_model, train_in.withColumn(VALID_COL, F.lit(False)), target_col, [VALID_COL])
