@@ -858,12 +858,20 @@ def q_model_evaluation(spark, sf_dir):
     return rows[0].unionByName(rows[1])
 
 
+_SEARCH_MEMO: dict = {}
+
+
 def _small_search(spark, sf_dir, method: str, return_train_score: bool = False):
+    """The seeded small search; several keys report on the same search, so its
+    result is kept per (application, input, method) within a session."""
     from .plans.tuning import search
 
-    _, train, _ = _parts(spark, sf_dir)
-    return search(train, SMALL_SPACE, method, n_iter=2, cv=SMALL_CV, seed=config.RANDOM_STATE,
-                  return_train_score=return_train_score, refit=False)
+    key = (spark.sparkContext.applicationId, sf_dir, method, return_train_score)
+    if key not in _SEARCH_MEMO:
+        _, train, _ = _parts(spark, sf_dir)
+        _SEARCH_MEMO[key] = search(train, SMALL_SPACE, method, n_iter=2, cv=SMALL_CV, seed=config.RANDOM_STATE,
+                                   return_train_score=return_train_score, refit=False)
+    return _SEARCH_MEMO[key]
 
 
 @register("random_search")

@@ -23,3 +23,13 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns == E.entry(spark).columns
+
+
+@pytest.mark.parametrize("key", ROWS_ONLY_KEYS)
+def test_rows_only_keys_run(spark, key):
+    from conftest import SF_SMALL
+
+    df = E.queries()[key](spark, SF_SMALL)
+    rows = df.collect()
+    assert len(rows) >= 1
+    assert E.queries()[key](spark, SF_SMALL).columns == df.columns
