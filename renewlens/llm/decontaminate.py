@@ -28,8 +28,7 @@ WINDOW = 13
 #: Windows searched in one pass over the documents; more take further passes.
 PASS_WINDOWS = 200_000
 LANE = 4096
-BLOCK = 3
-TABLE_BITS = 16
+BLOCK = 8
 #: Upper lengths (bytes) of the classes of test strings that share a shift table.
 CLASSES = (8, 16, 32, 64, 1 << 30)
 
@@ -50,50 +49,54 @@ def windows_of(words: list[bytes], size: int = WINDOW) -> list[bytes]:
     return [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
 
 
-def _block_hash(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hash of the BLOCK bytes that end at the positions ``at``."""
-    h = data[at - 2].astype(np.uint32)
-    h = h * np.uint32(0x9E3779B1) + data[at - 1]
-    h = h * np.uint32(0x85EBCA6B) + data[at]
-    return (h * np.uint32(0xC2B2AE35)) >> np.uint32(32 - TABLE_BITS)
+def _blocks(buf: bytes) -> np.ndarray:
+    """The eight bytes from every position, as one integer each (a view; ``buf`` ends in eight spare bytes)."""
+    return np.ndarray((len(buf) - 7,), "<u8", buf, 0, (1,))
 
 
 class WuManber:
-    """Shift tables and suffix buckets of one length class of test strings."""
+    """Shift tables and suffix buckets of one length class of test strings.
+
+    Blocks have up to eight bytes: with thousands of strings, short blocks of
+    running text nearly always end some string and shifts would be nil.
+    """
 
     def __init__(self, patterns: list[bytes]):
         self.patterns = patterns
-        self.m = min(map(len, patterns))
-        size = self.m - BLOCK + 1
-        shift = np.full(1 << TABLE_BITS, size, np.int64)
-        heads = np.frombuffer(b"".join(p[: self.m] for p in patterns), np.uint8).reshape(-1, self.m)
-        flat = heads.ravel()
-        base = np.arange(len(patterns)) * self.m
-        for end in range(BLOCK - 1, self.m):
-            np.minimum.at(shift, _block_hash(flat, base + end), self.m - 1 - end)
+        self.m = m = min(map(len, patterns))
+        self.block = min(BLOCK, m)
+        self.mask = np.uint64((1 << (8 * self.block)) - 1)
+        bits = int(np.clip(np.ceil(np.log2(4 * len(patterns) * m)), 12, 22))
+        self.down = np.uint64(64 - bits)
+        shift = np.full(1 << bits, m - self.block + 1, np.int64)
+        heads = _blocks(b"".join(p[:m] for p in patterns) + bytes(8))
+        base = np.arange(len(patterns)) * m
+        for end in range(self.block - 1, m):
+            np.minimum.at(shift, self._hash(heads, base + end), m - 1 - end)
         self.shift = shift
-        self.buckets: dict[int, list[int]] = {}
-        for i, h in enumerate(_block_hash(flat, base + self.m - 1).tolist()):
-            self.buckets.setdefault(h, []).append(i)
-        self.prefixes = {h: {} for h in self.buckets}
-        for h, ids in self.buckets.items():
-            for i in ids:
-                self.prefixes[h].setdefault(patterns[i][: self.m], []).append(i)
-
-    def search(self, buf: bytes, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        self.buckets: dict[int, dict[bytes, list[int]]] = {}
+        for i, h in enumerate(self._hash(heads, base + m - 1).tolist()):
+            self.buckets.setdefault(h, {}).setdefault(patterns[i][:m], []).append(i)
+
+    def _hash(self, blocks: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hash of the block that ends at each position of ``at``."""
+        x = (blocks[at - (self.block - 1)] & self.mask) * np.uint64(0x9E3779B97F4A7C15)
+        return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> self.down
+
+    def search(self, buf: bytes, blocks: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         """Yield (position, pattern index) of every occurrence that starts in a lane [start, end)."""
         at = starts + self.m - 1
-        last = np.minimum(ends + self.m - 1, len(data))
+        last = np.minimum(ends + self.m - 1, len(buf) - 8)
         live = at < last
         at, last = at[live], last[live]
         while len(at):
-            h = _block_hash(data, at)
+            h = self._hash(blocks, at)
             s = self.shift[h]
             zero = np.flatnonzero(s == 0)
             if len(zero):
                 for e, k in zip(at[zero].tolist(), h[zero].tolist()):
                     p = e - self.m + 1
-                    found = self.prefixes.get(k, {}).get(buf[p : e + 1])
+                    found = self.buckets.get(k, {}).get(buf[p : e + 1])
                     for i in found or ():
                         if buf.startswith(self.patterns[i], p):
                             yield p, i
@@ -122,7 +125,8 @@ class Searcher:
     def scan(self, texts: list[bytes]):
         """Per text: (number of words, hit word indices, indices of occurring windows)."""
         forms = [b" ".join(words_of(t)) for t in texts]
-        buf = b"\x00" + b"".join(b" " + f + b" \x00" for f in forms)
+        buf = b"\x00" + b"".join(b" " + f + b" \x00" for f in forms) + bytes(8)
+        blocks = _blocks(buf)
         data = np.frombuffer(buf, np.uint8)
         lengths = np.array([len(f) + 3 for f in forms], np.int64)
         begins = np.concatenate([[1], 1 + np.cumsum(lengths)[:-1]]) if len(forms) else np.zeros(0, np.int64)
@@ -133,7 +137,7 @@ class Searcher:
         ends = np.minimum(starts + LANE, (begins + lengths)[doc_of])
         found: dict[int, list[tuple[int, int]]] = {}
         for ids, wm in self.classes:
-            hits = list(wm.search(buf, data, starts, ends))
+            hits = list(wm.search(buf, blocks, starts, ends))
             for p, i in hits:
                 d = int(np.searchsorted(begins, p, "right")) - 1
                 found.setdefault(d, []).append((p, ids[i]))
