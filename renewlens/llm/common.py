@@ -103,12 +103,19 @@ def python_columns(df: DataFrame, make, new: str, text: str = "_text", drop: tup
             for part in text_slices(batch, text, chars):
                 cols = f(part)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(n) for n in kept] + [pa.array(cols[n], t) for n, t in types],
+                    [part.column(n) for n in kept]
+                    + [cols[n] if isinstance(cols[n], pa.Array) else pa.array(cols[n], t) for n, t in types],
                     names=kept + [n for n, _ in types])
 
     return df.mapInArrow(run, schema)
 
 
+def list_array(values: list, lengths, dtype=np.int32) -> pa.Array:
+    """An Arrow list array of flat ``values`` cut by ``lengths``."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, np.asarray(values, dtype))
+
+
 def select_as(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """The needed columns under internal names: _id, _text and _k0, _k1, ... for ``keep``."""
     return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),

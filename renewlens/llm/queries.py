@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from renewlens.llm import decontaminate
+from renewlens.llm import decontaminate, language_id, minhash, resharding, tree_bpe
 
 QUERIES = {
+    "op4_minhash": minhash.query,
+    "op6_language_id": language_id.query,
+    "op7_tree_bpe": tree_bpe.query,
+    "op8_resharding": resharding.query,
     "op9_decontaminate": decontaminate.query,
 }
 
 ORACLES = {
+    "op4_minhash": minhash.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
 }
