@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from renewlens.llm import decontaminate, language_id, minhash, resharding, tree_bpe
+from renewlens.llm import decontaminate, language_id, minhash, pii, resharding, tree_bpe
 
 QUERIES = {
+    "op3_pii": pii.query,
     "op4_minhash": minhash.query,
     "op6_language_id": language_id.query,
     "op7_tree_bpe": tree_bpe.query,
