@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from renewlens.llm import decontaminate, language_id, minhash, pii, resharding, tree_bpe
+from renewlens.llm import decontaminate, language_id, minhash, pii, resharding, token_files, tree_bpe
 
 QUERIES = {
     "op3_pii": pii.query,
     "op4_minhash": minhash.query,
+    "op5_token_files": token_files.query,
     "op6_language_id": language_id.query,
     "op7_tree_bpe": tree_bpe.query,
     "op8_resharding": resharding.query,
