@@ -24,6 +24,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,8 +91,6 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_word(word: bytes) -> int:
-    import xxhash
-
     return xxhash.xxh3_64_intdigest(word)
 
 
@@ -168,7 +167,7 @@ class Field:
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], list[float]]:
         known: dict[bytes, int] = {}
-        rows, lengths, letters = [], [], []
+        rows, lengths = [], []
         for t in texts:
             words = split_words(t)
             ids = [known.setdefault(w, len(known)) for w in words]
@@ -178,7 +177,6 @@ class Field:
         for i, ids in enumerate(rows):
             rows[i] = ids[lettered[ids]] if len(ids) else ids
             lengths.append(len(rows[i]))
-        del letters
         lengths = np.array(lengths, np.int64)
         if not self.languages or not lengths.sum():
             return ["und"] * len(texts), [0.0] * len(texts)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from renewlens.llm import decontaminate, language_id, minhash, pii, resharding, token_files, tree_bpe
+from renewlens.llm import decontaminate, language_id, lm_scoring, minhash, pii, resharding, token_files, toxicity, tree_bpe
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.query,
     "op3_pii": pii.query,
     "op4_minhash": minhash.query,
     "op5_token_files": token_files.query,
@@ -12,6 +13,7 @@ QUERIES = {
     "op7_tree_bpe": tree_bpe.query,
     "op8_resharding": resharding.query,
     "op9_decontaminate": decontaminate.query,
+    "op10_toxicity": toxicity.query,
 }
 
 ORACLES = {
