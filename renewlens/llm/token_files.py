@@ -32,7 +32,7 @@ END = 1
 #: Ids a block holds before it is closed (a longer document makes a longer block).
 BLOCK_IDS = 1 << 18
 #: Entries a worker's cache of blank-free pieces holds; others are encoded each time.
-CACHE = 500_000
+CACHE = 250_000
 CACHED_CHARS = 40
 
 _PIECE = re.compile("([!-&(-/:-@\\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!-&(-/:-@\\[-`{-~]*)")
@@ -196,7 +196,7 @@ def encoded(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame
 
         return run
 
-    rows = python_columns(src.withColumn("part", part.cast("int")), make, "ids binary, n long", drop=("_text",))
+    rows = python_columns(src.withColumn("part", part.cast("int")), make, "ids binary, n long", drop=("_text",), chars=2_000_000)
     dealt = rows.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "_id", "ids")
     schema = StructType(dealt.schema.fields + [StructField("off", LongType())])
 
