@@ -31,8 +31,9 @@ from renewlens.llm.common import python_columns, scratch_path, select_as, table,
 END = 1
 #: Ids a block holds before it is closed (a longer document makes a longer block).
 BLOCK_IDS = 1 << 18
-#: Entries a worker's cache of blank-free pieces holds; others are encoded each time.
-CACHE = 250_000
+#: Entries a worker's caches of blank-free pieces and of their runs hold; others are encoded each time.
+CACHE = 200_000
+RUN_CACHE = 500_000
 CACHED_CHARS = 40
 
 _PIECE = re.compile("([!-&(-/:-@\\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!-&(-/:-@\\[-`{-~]*)")
@@ -44,13 +45,19 @@ class Encoder:
     Pieces between blanks are encoded once and remembered. Pieces of Latin letters with
     ASCII punctuation around are put together from their three runs, which the
     tokenizer's own splitting keeps apart (an apostrophe, which it may join to letters,
-    is not taken so); the letter runs of a batch go through the tokenizer in one call.
+    is not taken so); the runs of a batch go through the tokenizer in a few calls, without
+    its normaliser, which would not change them.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.bare.encode_special_tokens = True
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         size = self.tok.get_vocab_size()
@@ -70,7 +77,8 @@ class Encoder:
         out = {}
         for a in range(0, len(runs), 20_000):
             part = runs[a : a + 20_000]
-            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
+            got = self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
+            ids = np.array(got.ids, self.dtype)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):
                 out.update((r, self._bytes(self.tok.encode(r, add_special_tokens=False).ids)) for r in part)
@@ -80,42 +88,49 @@ class Encoder:
                 out[r] = data[s * w : e * w]
         return out
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        split, whole, runs = {}, [], set()
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        split, whole, runs = [], [], set()
+        match, known = _PIECE.fullmatch, self.runs
         for p in pieces:
-            m = _PIECE.fullmatch(p)
+            m = match(p)
             if m is None:
                 whole.append(p)
             else:
-                three = [r for r in (m[1], m[2].lower(), m[3]) if r]
-                split[p] = three
-                runs.update(r for r in three if r not in self.runs)
-        fresh = self._encode_runs(sorted(runs))
-        if len(self.runs) < CACHE:
-            self.runs.update(fresh)
-        known = self.runs if len(fresh) == 0 else {**fresh}
-        out = {}
-        for p, three in split.items():
-            out[p] = b"".join(known.get(r) or self.runs[r] for r in three)
-        for e, p in zip(self.tok.encode_batch(whole, add_special_tokens=False), whole):
+                a, b, c = m.groups()
+                b = b.lower()
+                split.append((p, a, b, c))
+                runs.add(b)
+                runs.add(a)
+                runs.add(c)
+        runs.discard("")
+        fresh = self._encode_runs(sorted(runs.difference(known)))
+        known.update(fresh)
+        known[""] = b""
+        out = {p: known[a] + known[b] + known[c] for p, a, b, c in split}
+        for e, p in zip(self.tok.encode_batch_fast(whole, add_special_tokens=False), whole):
             out[p] = self._bytes(e.ids)
+        if len(known) > RUN_CACHE:
+            for r in fresh:
+                del known[r]
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, end id included, as little-endian integers."""
-        end = self._bytes([END])
+        end, cache = self._bytes([END]), self.cache
         rows = [t.decode("utf-8", "replace").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        seen = set().union(*rows) if rows else set()
-        new = seen.difference(self.cache)
-        new.discard("")
-        fresh = self._learn(new)
-        if len(self.cache) < CACHE:
-            self.cache.update((p, b) for p, b in fresh.items() if len(p) <= CACHED_CHARS)
-        both = {p: b for p in seen if (b := self.cache.get(p)) is not None}
-        both.update(fresh)
-        both[""] = b""
-        get = both.__getitem__
-        return [b"".join(map(get, r)) + end for r in rows]
+        cache[""] = b""
+        fresh = self._learn(list(set().union(*rows).difference(cache))) if rows else {}
+        cache.update(fresh)
+        get = cache.__getitem__
+        out = [b"".join(map(get, r)) + end for r in rows]
+        if len(cache) > CACHE:
+            for p in fresh:
+                del cache[p]
+        else:
+            for p in fresh:
+                if len(p) > CACHED_CHARS:
+                    del cache[p]
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
