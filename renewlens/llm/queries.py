@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from renewlens.llm import decontaminate, language_id, lm_scoring, minhash, pii, resharding, token_files, toxicity, tree_bpe
+from renewlens.llm import decontaminate, hnsw, language_id, lm_scoring, minhash, pii, resharding, token_files, toxicity, tree_bpe
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.query,
+    "op2_hnsw": hnsw.query,
     "op3_pii": pii.query,
     "op4_minhash": minhash.query,
     "op5_token_files": token_files.query,
