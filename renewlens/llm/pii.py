@@ -213,8 +213,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     are replaced once, by the kind that starts first."""
     others = tuple(docs.columns)
     found = find(docs, id_col, text_col, keep=others)
-    inner = found.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(others, start=0)], "base", "added") \
-        if id_col not in others else found.toDF("_id", *[f"_c{i}" for i in range(len(others))], "base", "added")
+    inner = found.toDF("_id", *[f"_c{i}" for i in range(len(others))], "base", "added")
     text = F.col(f"_c{others.index(text_col)}")
     spans = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(
         x["s"].alias("s"), (-x["e"]).alias("d"), x["e"].alias("e"), x["kind"].alias("kind"))))
