@@ -7,7 +7,7 @@ result as a Parquet table in the cluster's shared folder and reads it back for t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from renewlens.llm import decontaminate, language_id, minhash, pii, tree_bpe
@@ -37,11 +37,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    found = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    # Repeated rows of the kept id are one document, unless the id is unknown.
-    extra = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    return rows.withColumn("_extra", extra).dropDuplicates(["doc_id", "_extra"]).select(*_columns(docs))
+    number = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    found = minhash.near_duplicates(docs).where("kept")
+    # Rows of one id in one group are one document: the one whose text hash is smallest.
+    found = found.groupBy(number.alias("_number"), "component_id", (F.col("n_shingles") == 0).alias("_empty")).agg(
+        F.min("text_hash").alias("_hash")).select("_number", "_hash").distinct()
+    rows = docs.withColumns({"_number": number, "_hash": F.xxhash64("text")}).join(found, ["_number", "_hash"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("_number", "_hash").orderBy("_number"))
+    return rows.withColumn("_first", first).where("_first = 1").select(*_columns(docs))
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,9 @@ under the threshold skipped, and the rest confirmed on the full shingle sets.
 Links only matter between different components, so posting lists are merged in
 rounds: every node of a list meets the list's hub; lists that are one component by
 then are skipped; lists that still hold several components meet further hubs; in
-the end the nodes of different components in a list meet directly. No list is cut
-and no link between components is lost.
+the end the nodes of different components in a list meet directly, unless the number
+of shingles that they share with anyone rules the similarity out. No list is cut and
+no link between components is lost.
 
 Rows: documents with equal sets are one node; null, empty and wordless texts have
 no shingles, no links, and are components of their own; a text of fewer words than
@@ -98,7 +99,7 @@ def _sigs(batch, column: str) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int = WORDS) -> DataFrame:
-    """(_id, n_shingles, node, sig) per document; node and sig are null without shingles."""
+    """(_id, text_hash, n_shingles, node, sig) per document; node and sig are null without shingles."""
 
     def make():
         def sign(batch):
@@ -112,7 +113,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int = WORDS) -
 
         return sign
 
-    return python_columns(select_as(docs, id_col, text_col), make, "n_shingles long, node long, sig binary",
+    rows = select_as(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("_text"))
+    return python_columns(rows, make, "n_shingles long, node long, sig binary",
                           drop=("_text",))
 
 
@@ -171,11 +173,8 @@ def _count_matches(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFram
             .where(F.col("same") >= matches).select("a", "b"))
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
-             size: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets are similar; sets are made anew from the texts of these nodes alone."""
-    need = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-                   .join(nodes.select("node", "rep"), "node"), "need")
+def _sets(need: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(node, set): the full shingle sets of the nodes ``need`` (node, rep), made anew from their texts alone."""
     spot = F.pmod(F.xxhash64("rep"), F.lit(FILTER_POSITIONS))
     spots = need.select(spot.alias("spot")).distinct()  # at most FILTER_POSITIONS longs
     texts = select_as(docs, id_col, text_col).withColumn("rep", F.col("_id"))
@@ -191,9 +190,12 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
 
         return build
 
-    sets = (python_columns(texts, make, "node long, set binary", drop=("_text",))
-            .join(need.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    sets = written(sets, "sets")
+    sets = python_columns(texts, make, "node long, set binary", drop=("_text",))
+    return written(sets.join(need.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets are similar."""
 
     def check():
         def confirm(batch):
@@ -207,6 +209,20 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
     return python_columns(both, check, "ok boolean", text="set_a", drop=("set_a", "set_b")).where("ok").select("a", "b")
 
 
+def _shared_sizes(sets: DataFrame) -> DataFrame:
+    """(node, n, common): set sizes, and how many of its shingles any other of these nodes has."""
+
+    def make():
+        return lambda batch: {"h": [np.frombuffer(x, np.int64) for x in batch.column("set").to_pylist()]}
+
+    each = python_columns(sets, make, "h array<long>", text="set", drop=("set",)).select("node", F.explode("h").alias("h"))
+    alone = (each.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
+             .groupBy("node").agg(F.count(F.lit(1)).alias("own")))
+    n = (F.length("set") / 8).cast("long")
+    return sets.select("node", n.alias("n")).join(alone, "node", "left").select(
+        "node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each component, by alternating large-star and small-star steps.
 
@@ -245,19 +261,31 @@ def _hub_pairs(lists: DataFrame, round_: int) -> DataFrame:
     return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def _rest_pairs(lists: DataFrame) -> DataFrame:
-    """Nodes of different components in one list, for lists that still hold several and more than a pair."""
+def _rest_lists(lists: DataFrame) -> DataFrame:
+    """The lists that still hold several components and more than a pair (a pair has met its hub)."""
     rest = (lists.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
             .where("lo != hi and n > 2").select("key"))
-    rows = lists.join(rest, "key")
-    other = rows.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-    met = rows.join(other, "key").where("node < b and label != lb")
-    return met.select(F.col("node").alias("a"), "b").distinct()
+    return lists.join(rest, "key")
+
+
+def _rest_pairs(lists: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Nodes of different components in one list, where the sizes allow the similarity.
+
+    Two sets have at most the smaller number of shingles in common that each shares with any
+    node left; a copy with enough words of its own is similar to none and meets none.
+    """
+    rows = lists.join(sizes, "node")
+    other = rows.select("key", *[F.col(c).alias(f"{c}_2") for c in ("node", "label", "n", "common")])
+    most = F.least("common", "common_2")
+    fits = 100 * most >= percent * (F.col("n") + F.col("n_2") - most)
+    met = rows.where(100 * F.col("common") >= percent * F.col("n")).join(
+        other, (rows["key"] == other["key"]) & (F.col("node") < F.col("node_2")) & (F.col("label") != F.col("label_2")) & fits)
+    return met.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS,
                     percent: int = 75, matches: int = MATCHES) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` per document."""
+    """``doc_id, n_shingles, component_id, kept, text_hash`` per document."""
     signed = written(signatures(docs, id_col, text_col, size), "signed")
     nodes = written(signed.where("node is not null").groupBy("node").agg(
         F.min("_id").alias("rep"), F.first("sig").alias("sig")), "nodes")
@@ -265,18 +293,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = post.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     lists = written(post.join(shared, "key"), "lists")
     edges, labels = None, None
-    for round_ in range(HUB_ROUNDS + 1):
-        if labels is None:
-            marked = lists.withColumn("label", F.col("node"))
-        else:
-            marked = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        found = _hub_pairs(marked, round_) if round_ < HUB_ROUNDS else _rest_pairs(marked)
+
+    def link(found: DataFrame, sets: DataFrame | None) -> None:
+        nonlocal edges, labels
         likely = written(_count_matches(found, nodes, matches), "likely")
-        if not likely.isEmpty():
-            links = written(_confirm(likely, nodes, docs, id_col, text_col, size, percent), "links")
-            edges = links if edges is None else edges.union(links)
-            labels = components(edges)
-    result = signed.select("_id", "n_shingles", "node")
+        if likely.isEmpty():
+            return
+        if sets is None:
+            ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+            sets = _sets(written(ends.join(nodes.select("node", "rep"), "node"), "need"), docs, id_col, text_col, size)
+        links = written(_confirm(likely, sets, percent), "links")
+        edges = links if edges is None else edges.union(links)
+        labels = components(edges)
+
+    def marked() -> DataFrame:
+        if labels is None:
+            return lists.withColumn("label", F.col("node"))
+        return lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    for round_ in range(HUB_ROUNDS):
+        link(_hub_pairs(marked(), round_), None)
+    rest = written(_rest_lists(marked()), "rest")
+    if not rest.isEmpty():
+        need = written(rest.select("node").distinct().join(nodes.select("node", "rep"), "node"), "need")
+        sets = _sets(need, docs, id_col, text_col, size)
+        link(_rest_pairs(rest, _shared_sizes(sets), percent), sets)
+    result = signed.select("_id", "n_shingles", "node", "text_hash")
     if labels is not None:
         result = result.join(labels, "node", "left")
     else:
@@ -288,11 +330,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = named_by.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("rep").alias("name"))
     result = result.join(names, "label", "left").withColumn("component_id", F.coalesce("name", "_id"))
     return result.select(F.col("_id").alias(id_col), "n_shingles", "component_id",
-                         F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
+                         F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
 
 
 def query(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 #: All pairs that share a shingle, counted on the full sets, then components by reachability.
