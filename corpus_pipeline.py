@@ -65,7 +65,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return tree_bpe.digests(tree_bpe.decode(tree_bpe.encode(docs, path, public_tokenizers.PATTERN), path))
+    return tree_bpe.digests(tree_bpe.encode(docs, path, public_tokenizers.PATTERN, with_decoded=True))
 
 
 STAGES = [

@@ -85,12 +85,13 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [t or b"" for t in pc.cast(batch.column(column), pa.binary()).to_pylist()]
 
 
-def python_columns(df: DataFrame, make, new: str, text: str = "_text", drop: tuple[str, ...] = (),
+def python_columns(df: DataFrame, make, new: str, text: str | None = "_text", drop: tuple[str, ...] = (),
                    chars: int = BATCH_CHARS) -> DataFrame:
     """``df`` without ``drop`` and with the columns ``new`` (DDL) that Python adds.
 
     ``make()`` is called once per task and returns a function from an Arrow batch
-    to a dict of value lists; all other columns pass through as they are.
+    to a dict of value lists; all other columns pass through as they are. Batches are
+    cut by the bytes of the column ``text``, if one is named.
     """
     added = StructType.fromDDL(new)
     schema = StructType([f for f in df.schema.fields if f.name not in drop] + added.fields)
@@ -100,7 +101,7 @@ def python_columns(df: DataFrame, make, new: str, text: str = "_text", drop: tup
     def run(batches):
         f = make()
         for batch in batches:
-            for part in text_slices(batch, text, chars):
+            for part in text_slices(batch, text, chars) if text else [batch]:
                 cols = f(part)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(n) for n in kept]

@@ -17,8 +17,11 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from itertools import chain
 
+import numpy as np
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +32,16 @@ from renewlens.llm.common import list_array, named, python_columns, select_as, t
 LEAF = 6
 #: Windows of more bytes are merged with a heap.
 HEAP = 64
-#: Entries a task's cache of short pieces holds; beyond it, new pieces are encoded each time.
-CACHE = 400_000
+#: Entries a worker's caches of pieces, of chunks between blanks, and of short windows and pairs hold;
+#: beyond them, new ones are encoded each time.
+CACHE = 700_000
+CHUNK_CACHE = 120_000
+SMALL_CACHE = 150_000
 #: Longer pieces are not cached.
 CACHED_BYTES = 48
+#: Where a cut before a blank could part white space that the pattern takes in one match.
+_RUNS = re.compile(r"  |\s \s| $")
+_CHUNK = re.compile(" ?[^ ]+")
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -55,6 +64,7 @@ class TreeBpe:
         self._leaf: dict[bytes, list[int]] = {}
         self._pair: dict[tuple[int, int], bool] = {}
         self._piece: dict[str, tuple[int, ...]] = {}
+        self._chunk: dict[str, tuple[int, ...]] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Merge the lowest-ranked neighbours of ``data`` until none is left (short inputs)."""
@@ -75,7 +85,7 @@ class TreeBpe:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         out = [ranks[p] for p in parts]
-        if len(self._leaf) < CACHE:
+        if len(self._leaf) < SMALL_CACHE:
             self._leaf[data] = out
         return out
 
@@ -106,7 +116,7 @@ class TreeBpe:
         known = self._pair.get((left, right))
         if known is None:
             known = self.reduce(self.tokens[left] + self.tokens[right], halve=False) == [left, right]
-            if len(self._pair) < CACHE:
+            if len(self._pair) < SMALL_CACHE:
                 self._pair[left, right] = known
         return known
 
@@ -148,10 +158,20 @@ class TreeBpe:
             self._piece[text] = out
         return out
 
+    def chunk(self, text: str) -> tuple[int, ...]:
+        """Encoding of a blank and what follows up to the next blank, split by the pattern."""
+        out = tuple(chain.from_iterable(map(self.piece, self.pattern.findall(text))))
+        if len(text) <= CACHED_BYTES and len(self._chunk) < CHUNK_CACHE:
+            self._chunk[text] = out
+        return out
+
     def encode(self, text: str) -> list[int]:
-        known = self._piece.get
-        one = self.piece
-        return list(chain.from_iterable(known(p) or one(p) for p in self.pattern.findall(text)))
+        """Ids of a text. No match of the pattern runs from a letter, digit or sign into white space, so a
+        text without longer white space falls apart before each blank."""
+        if _RUNS.search(text):
+            return list(chain.from_iterable(map(self.piece, self.pattern.findall(text))))
+        known, one = self._chunk.get, self.chunk
+        return list(chain.from_iterable(known(c) or one(c) for c in _CHUNK.findall(text)))
 
     def decode(self, ids: list[int]) -> bytes:
         """Concatenation up the tree; ids that the table lacks raise KeyError."""
@@ -172,8 +192,11 @@ def _coder(shared):
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id``, the columns of ``keep`` and ``ids`` (array of token ranks) per document."""
+           keep: tuple[str, ...] = (), with_decoded: bool = False) -> DataFrame:
+    """``doc_id``, the columns of ``keep`` and ``ids`` (array of token ranks) per document.
+
+    With ``with_decoded`` the ids are decoded again in the same task: the column ``decoded``.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((read_ranks(spark, ranks_path), pattern))  # a fixed vocabulary
 
@@ -182,20 +205,21 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
         def run(batch):
             rows = [coder.encode(t.decode("utf-8")) for t in texts_of(batch, "_text")]
-            return {"ids": list_array(list(chain.from_iterable(rows)), [len(r) for r in rows])}
+            more = {"decoded": [coder.decode(r) for r in rows]} if with_decoded else {}
+            return more | {"ids": list_array(np.concatenate([np.array(r, np.int32) for r in rows]) if rows else [], [len(r) for r in rows])}
 
         return run
 
-    out = python_columns(select_as(docs, id_col, text_col, keep), make, "ids array<int>", drop=("_text",), chars=4_000_000)
-    return out.select(*named(id_col, keep), "ids")
+    out = python_columns(select_as(docs, id_col, text_col, keep), make,
+                         "ids array<int>" + ", decoded binary" * with_decoded, drop=("_text",), chars=2_000_000)
+    return out.select(*named(id_col, keep), "ids", *["decoded"] * with_decoded)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with the column ``decoded`` (the bytes of its ids; null ids give no bytes)."""
     spark = encoded.sparkSession
     shared = spark.sparkContext.broadcast((read_ranks(spark, ranks_path), ""))
-    inner = encoded.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(encoded.columns)],
-                           F.coalesce(F.to_binary(F.lit("00"), F.lit("hex")), F.lit(None)).alias("_size"))
+    inner = encoded.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(encoded.columns)])
     at = encoded.columns.index(ids_col)
 
     def make():
@@ -203,13 +227,13 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
 
         def run(batch):
             ids = batch.column(f"_c{at}")
-            flat, ends = ids.flatten().to_pylist(), ids.offsets.to_pylist()
-            base = ends[0]
-            return {"decoded": [coder.decode(flat[a - base : b - base]) for a, b in zip(ends, ends[1:])]}
+            flat = ids.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            return {"decoded": [coder.decode(flat[a:b].tolist()) for a, b in zip([0, *ends.tolist()], ends.tolist())]}
 
         return run
 
-    out = python_columns(inner, make, "decoded binary", text="_size", drop=("_size",))
+    out = python_columns(inner, make, "decoded binary", text=None)
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(encoded.columns) if c != "decoded"], "decoded")
 
 
@@ -225,5 +249,4 @@ def query(spark, sf_dir):
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return digests(decode(ids, path))
+    return digests(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_decoded=True))
