@@ -249,6 +249,26 @@ def q_level_mix_pivot(spark, sf_dir):
     return p.select(TERM, "term_order", *[r6(f"{lv}_ratio").alias(f"{lv}_ratio") for lv in config.PREFERRED_LEVEL_ORDER])
 
 
+LEVELS_HML = ["high", "low", "mid"]
+
+
+@register("level_mix_pivot_custom", f"""WITH {SCORED_CTE},
+tagged AS (SELECT l1_term_name, CASE WHEN pred_probability > CAST(0.2 AS DOUBLE) THEN 'high'
+                                     WHEN pred_probability > CAST(0.1 AS DOUBLE) THEN 'mid' ELSE 'low' END AS lv FROM scored),
+agg AS (SELECT l1_term_name, lv, count(*) AS n FROM tagged WHERE l1_term_name IS NOT NULL GROUP BY l1_term_name, lv),
+tot AS (SELECT l1_term_name, sum(n) AS t FROM agg GROUP BY l1_term_name)
+SELECT o.l1_term_name, o.term_order, {', '.join(f"round(COALESCE((SELECT CAST(n AS DOUBLE) / t FROM agg a WHERE a.l1_term_name = o.l1_term_name AND a.lv = '{lv}'), 0.0), 6) AS {lv}_ratio" for lv in LEVELS_HML)}
+FROM {_term_order_sql('agg')} o JOIN tot USING (l1_term_name)""")
+def q_level_mix_pivot_custom(spark, sf_dir):
+    """D9 with levels other than the preferred ones: every level present has its column."""
+    rules = [{"label": "high", "min_prob": 0.2, "min_inclusive": False},
+             {"label": "mid", "min_prob": 0.1, "min_inclusive": False, "max_prob": 0.2, "max_inclusive": True},
+             {"label": "low", "max_prob": 0.1, "max_inclusive": True}]
+    s = renewal_df(spark, sf_dir).withColumn(LEVEL, level_tag(pseudo_score(), rules))
+    p = A.level_mix_pivot(A.level_mix(s, TERM, LEVEL), TERM, LEVEL)
+    return p.select(TERM, "term_order", *[r6(f"{lv}_ratio").alias(f"{lv}_ratio") for lv in LEVELS_HML])
+
+
 @register("term_trend", f"""WITH {SCORED_CTE},
 agg AS (SELECT CAST(l1_term_name AS VARCHAR) AS l1_term_name, avg(pred_probability) AS pred_renewal_rate,
                avg(CAST(is_renewal AS DOUBLE)) AS actual_renewal_rate, count(*) AS sample_count
@@ -494,13 +514,21 @@ def q_stratified_split(spark, sf_dir):
 
 FOLDS = config.HYPERPARAMETER_TUNING_CONFIG["cv"]
 
+
+def _fold_sql(k: int) -> str:
+    """Folds as ranges of ranks: fold f of a class with c rows after o others has as many rows as
+    there are positions p in [o, o + c) with p % k = f."""
+    size = [f"((o + c - 1 - {f} + {k}) // {k} - (o - 1 - {f} + {k}) // {k})" for f in range(k)]
+    return " + ".join(f"CASE WHEN frk > {' + '.join(size[: f + 1])} THEN 1 ELSE 0 END" for f in range(k - 1))
+
+
 FOLDS_CTE = f"""{SPLIT_CTE},
 train AS (SELECT * FROM split WHERE part = 'train'),
 tr AS (SELECT *, row_number() OVER (PARTITION BY is_renewal
                  ORDER BY md5(CAST(user_id AS VARCHAR) || '-{config.RANDOM_STATE}'), user_id) AS frk FROM train),
-off AS (SELECT is_renewal, COALESCE(sum(c) OVER (ORDER BY is_renewal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o
+off AS (SELECT is_renewal, c, COALESCE(sum(c) OVER (ORDER BY is_renewal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o
         FROM (SELECT is_renewal, count(*) AS c FROM train GROUP BY is_renewal) t),
-folds AS (SELECT tr.*, CAST((o + frk - 1) % {FOLDS} AS INTEGER) AS fold FROM tr JOIN off USING (is_renewal))"""
+folds AS (SELECT tr.*, CAST({_fold_sql(FOLDS)} AS INTEGER) AS fold FROM tr JOIN off USING (is_renewal))"""
 
 
 def folds_df(spark, sf_dir):
@@ -695,10 +723,20 @@ from .sources import files as FS  # noqa: E402
 
 
 @register("scan_csv", f"""WITH {RENEWAL_CTE_SQL}
-SELECT * FROM renewal""")
+SELECT * REPLACE ('u-' || CAST(user_id AS VARCHAR) AS user_id,
+                  city || ', "' || lower(city) || '"' || chr(10) || 'second line' AS city,
+                  CASE WHEN user_id % 7 = 0 THEN NULL ELSE fns_cnt END AS fns_cnt), CAST(user_id % 5 AS DOUBLE) / 2 AS extra
+FROM renewal""")
 def q_scan_csv(spark, sf_dir):
-    """A1: the renewal table written as header CSV and read back with the declared schema."""
-    path = FS.write_csv(renewal_df(spark, sf_dir), FS.unique_scratch(spark, "scan-csv"))
+    """A1: the renewal table written as header CSV and read back with the declared schema: text
+    ids, quoted commas, quotes and line breaks, whole numbers with gaps written as floats, a further column."""
+    r = renewal_df(spark, sf_dir)
+    told = r.withColumns({
+        "extra": (F.col("user_id") % 5).cast("double") / 2,
+        "fns_cnt": F.when(F.col("user_id") % 7 != 0, F.col("fns_cnt").cast("double")),
+        "city": F.concat("city", F.lit(', "'), F.lower("city"), F.lit('"\nsecond line')),
+        "user_id": F.concat(F.lit("u-"), F.col("user_id").cast("string"))})
+    path = FS.write_csv(told, FS.unique_scratch(spark, "scan-csv"))
     return FS.read_csv(spark, path, FS.TRAINING_SCHEMA)
 
 
@@ -768,6 +806,7 @@ def q_attach_scores(spark, sf_dir):
 # model, search, streaming (I1-I12, A6-A9, D18, F5, J1): rows-only checks
 # ---------------------------------------------------------------------------
 
+# Trees and search points of the registered fits; the jobs' defaults are the configured ones.
 SMALL_TREES = {"maxIter": 10, "maxDepth": 4}
 SMALL_SPACE = {"max_depth": [3, 4], "learning_rate": [0.1, 0.3], "n_estimators": [4, 6]}
 SMALL_CV = 3
@@ -813,18 +852,16 @@ def q_train_score(spark, sf_dir):
 
 @register("early_stopping")
 def q_early_stopping(spark, sf_dir):
-    """Trees kept under both stopping rules, the validation part being the test part."""
+    """Trees kept by patience on the validation AUC (the validation part being the test part)."""
     from .plans.model import train_model
 
     _, train, test = _parts(spark, sf_dir)
     requested = 40
     over = {"maxIter": requested, "maxDepth": 3}
-    tol = train_model(train, test, config.MODEL_PARAMS, overrides=over)
-    pat = train_model(train, test, config.MODEL_PARAMS, overrides=over,
-                      early_stopping_rounds=config.EARLY_STOPPING_ROUNDS)
-    return spark.createDataFrame(
-        [("validation_tol", requested, tol.trees), ("patience", requested, pat.trees)],
-        "rule string, trees_requested int, trees_used int")
+    rows = [(f"patience_{rounds}", requested, train_model(train, test, config.MODEL_PARAMS, overrides=over,
+                                                          early_stopping_rounds=rounds).trees)
+            for rounds in (5, config.EARLY_STOPPING_ROUNDS)]
+    return spark.createDataFrame(rows, "rule string, trees_requested int, trees_used int")
 
 
 @register("model_roundtrip")
@@ -858,20 +895,13 @@ def q_model_evaluation(spark, sf_dir):
     return rows[0].unionByName(rows[1])
 
 
-_SEARCH_MEMO: dict = {}
-
-
 def _small_search(spark, sf_dir, method: str, return_train_score: bool = False):
-    """The seeded small search; several keys report on the same search, so its
-    result is kept per (application, input, method) within a session."""
+    """The seeded search over SMALL_SPACE: 2 draws or all 8 points, SMALL_CV folds."""
     from .plans.tuning import search
 
-    key = (spark.sparkContext.applicationId, sf_dir, method, return_train_score)
-    if key not in _SEARCH_MEMO:
-        _, train, _ = _parts(spark, sf_dir)
-        _SEARCH_MEMO[key] = search(train, SMALL_SPACE, method, n_iter=2, cv=SMALL_CV, seed=config.RANDOM_STATE,
-                                   return_train_score=return_train_score, refit=False)
-    return _SEARCH_MEMO[key]
+    _, train, _ = _parts(spark, sf_dir)
+    return search(train, SMALL_SPACE, method, n_iter=2, cv=SMALL_CV, seed=config.RANDOM_STATE,
+                  return_train_score=return_train_score, refit=False)
 
 
 @register("random_search")
@@ -911,7 +941,7 @@ def q_cv_comparison(spark, sf_dir):
     r = _small_search(spark, sf_dir, "random")
     _, train, _ = _parts(spark, sf_dir)
     default = {**config.MODEL_PARAMS, "n_estimators": 4, "max_depth": 3}
-    return compare_with_default(train, {**default, **r.best_params}, default, SMALL_CV, config.RANDOM_STATE)
+    return compare_with_default(train, {**r.base_params, **r.best_params}, default, SMALL_CV, config.RANDOM_STATE)
 
 
 @register("holdout_comparison")
@@ -923,7 +953,7 @@ def q_holdout_comparison(spark, sf_dir):
     split, train, test = _parts(spark, sf_dir)
     default = {**config.MODEL_PARAMS, "n_estimators": 4, "max_depth": 3}
     out = []
-    for name, params in (("best", {**default, **r.best_params}), ("default", default)):
+    for name, params in (("best", {**r.base_params, **r.best_params}), ("default", default)):
         m = train_model(train, test, params, vocab_df=split.drop("part"))
         out.append(M.evaluation_report(m.score(test), PROB, LABEL).select(F.lit(name).alias("model"), "*"))
     return out[0].unionByName(out[1])

@@ -14,13 +14,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import config
-from ..config import LevelRule, parse_rules
+from ..config import LevelRule
 
 _UNSET = object()
 
 
 def _rules(rule_configs) -> list[LevelRule]:
-    rules = parse_rules(rule_configs if rule_configs is not None else config.LEVEL_TAG_RULES)
+    rules = [LevelRule(**given) for given in (config.LEVEL_TAG_RULES if rule_configs is None else rule_configs)]
     if not rules:
         raise ValueError("level rules are empty: cannot tag")
     return rules

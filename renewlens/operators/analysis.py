@@ -180,8 +180,18 @@ def with_term_order(table: DataFrame, term_col: str, out_col: str = "term_order"
 
 
 def level_mix_pivot(mix: DataFrame, term_col: str, level_col: str, levels=None) -> DataFrame:
-    """D9 + C4: share by term and level, gaps 0, with the term's position."""
-    levels = list(levels or config.PREFERRED_LEVEL_ORDER)
+    """D9 + C4: share by term and level, gaps 0, with the term's position.
+
+    Without a list, every level present gets a column (the preferred ones first, then by
+    name); preferred levels have one whether present or not. The levels are read from the
+    aggregated mix: terms x levels rows, whatever the input.
+    """
+    if levels is None:
+        present = {r[0] for r in mix.select(level_col).distinct().collect()}
+        preferred = list(config.PREFERRED_LEVEL_ORDER)
+        known = present.issubset(preferred)
+        levels = preferred if known else [lv for lv in preferred if lv in present] + sorted(present - set(preferred))
+    levels = list(levels)
     piv = mix.groupBy(term_col).pivot(level_col, levels).agg(F.first("sample_ratio"))
     piv = piv.select(term_col, *[F.coalesce(F.col(lv), F.lit(0.0)).alias(f"{lv}_ratio") for lv in levels])
     # one row per term: the term spine is the pivot itself (bounded: distinct terms)

@@ -1,40 +1,12 @@
-"""Join helpers: size-checked broadcast, lookups on small dimension tables."""
+"""Broadcast of tables whose size is bounded by construction."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest side we broadcast after a size check.
-BROADCAST_BYTE_LIMIT = 64 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (file sizes x column pruning; no job)."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size if isinstance(size, int) else size.toString())
-
-
-def is_small(df: DataFrame, max_bytes: int | None = None) -> bool:
-    """Whether Catalyst's size estimate is under the broadcast limit."""
-    return estimated_bytes(df) <= (BROADCAST_BYTE_LIMIT if max_bytes is None else max_bytes)
-
-
-def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only when its estimated size is under ``max_bytes``
-    (default ``BROADCAST_BYTE_LIMIT``); else leave the strategy to the planner
-    (sort-merge join, with AQE's runtime re-plan and skew splitting)."""
-    if is_small(df, max_bytes):
-        return F.broadcast(df)
-    return df
-
 
 def bounded_broadcast(df: DataFrame) -> DataFrame:
     """Broadcast a table whose size is bounded by construction (a rule list,
     a level list, a fixed-size dimension). Callers state the bound."""
     return F.broadcast(df)
-
-
-def lookup_join(df: DataFrame, dim: DataFrame, on: str | list[str] | Column, how: str = "left") -> DataFrame:
-    """Left lookup against a bounded dimension table."""
-    return df.join(bounded_broadcast(dim), on, how)

@@ -4,10 +4,10 @@ Confusion counts and the derived rates are one aggregate pass. ROC-AUC and
 the ROC curve are exact (ties count half): rows collapse to one row per
 distinct score with positive and negative counts (partial aggregation), and
 the running count of negatives below each score is a distributed prefix sum:
-the distinct scores are cut into order-preserving buckets (quantile cut
-points computed once), each bucket's totals (one row per bucket, broadcast)
-give its offset, and a window inside each bucket adds the local running sum.
-No step holds all scores in one task.
+the distinct scores are dealt by range of (group, score) and checkpointed with
+their partition's number, each (group, partition)'s totals give its offset, and a
+window inside each adds the local running sum. No step holds a group's scores in
+one task, however large the group.
 """
 
 from __future__ import annotations
@@ -18,15 +18,6 @@ from pyspark.sql import functions as F
 from .. import config
 from .selection import predict_label
 
-# Buckets of the distinct-score table; None = the session's shuffle partitions.
-PREFIX_PARTITIONS = None
-# Largest (group, bucket) offset table broadcast.
-OFFSET_BROADCAST_ROWS = 1_000_000
-# Bounds on the cut points embedded in a plan.
-MAX_CUT_LITERALS = 100_000
-MAX_LITERAL_GROUPS = 1_000
-
-
 def _y(label_col: str) -> Column:
     return F.col(label_col).cast("int")
 
@@ -80,81 +71,46 @@ def score_counts(df: DataFrame, score_col: str, label_col: str, group_cols=()) -
 
 
 def checkpointed_score_counts(df: DataFrame, score_col: str, label_col: str, group_cols=()) -> DataFrame:
-    """``score_counts`` written once to the shared checkpoint folder."""
-    from ..session import ensure_checkpoint_dir
+    """``score_counts`` dealt by range of (group, score), with the partition's number as
+    ``_bucket``, written once to the shared checkpoint folder."""
+    return dealt_counts(score_counts(df, score_col, label_col, group_cols), group_cols)
+
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return score_counts(df, score_col, label_col, group_cols).checkpoint(eager=True)
+def dealt_counts(counts: DataFrame, group_cols=()) -> DataFrame:
+    """A (group, score, pos, neg) table in the form that ``prefix_below`` takes."""
+    from ..session import ensure_checkpoint_dir
 
+    spark = counts.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counts.repartitionByRange(parts, *group_cols, "score")
+    return dealt.withColumn("_bucket", F.spark_partition_id()).checkpoint(eager=True)
 
-def score_buckets(counts: DataFrame, group_cols=(), buckets: int | None = PREFIX_PARTITIONS):
-    """Adds ``_bucket``: an order-preserving bucket of the score within its group.
-    Returns (frame, bound on the number of (group, bucket) pairs).
 
-    Cut points are approximate quantiles of the distinct scores, computed once
-    and embedded in the plan as literals (bounded: groups x buckets values),
-    so every branch of the plan assigns the same bucket to the same score.
-    """
-    g = list(group_cols)
-    if buckets is None:
-        buckets = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(1, min(int(buckets), 4096))
-    if g:
-        # the cut points become literals: keep groups x buckets bounded; with very
-        # many (hence mostly small) groups each group is one bucket
-        n_groups = counts.select(*g).distinct().count()
-        buckets = max(1, min(buckets, MAX_CUT_LITERALS // max(1, n_groups)))
-        if n_groups > MAX_LITERAL_GROUPS:
-            buckets = 1
-    if buckets == 1:
-        return counts.withColumn("_bucket", F.lit(0)), 1
-    probs = [i / buckets for i in range(1, buckets)]
-    cut_rows = counts.groupBy(*g).agg(F.percentile_approx("score", probs, 10 * buckets).alias("_cuts")).collect()
-
-    def bucket_of(cuts) -> Column:
-        arr = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))])
-        return F.size(F.filter(arr, lambda c: c < F.col("score")))
-
-    if not g:
-        expr = bucket_of(cut_rows[0]["_cuts"]) if cut_rows else F.lit(0)
-    else:
-        expr = None
-        for row in cut_rows:
-            cond = None
-            for c in g:
-                eq = F.col(c).eqNullSafe(F.lit(row[c]))
-                cond = eq if cond is None else cond & eq
-            expr = F.when(cond, bucket_of(row["_cuts"])) if expr is None else expr.when(cond, bucket_of(row["_cuts"]))
-        expr = F.lit(0) if expr is None else expr.otherwise(F.lit(0))
-    return counts.withColumn("_bucket", expr.cast("int")), max(1, len(cut_rows)) * buckets
-
-
-def prefix_below(counts: DataFrame, group_cols=(), buckets: int | None = PREFIX_PARTITIONS) -> DataFrame:
+def prefix_below(counts: DataFrame, group_cols=()) -> DataFrame:
     """Adds pos_below / neg_below: totals over strictly smaller scores of the group.
 
-    ``counts`` should be materialized (``checkpointed_score_counts``) so the
-    upstream plan runs once for both the cut points and the sums. Two levels:
-    per (group, bucket) totals (a bounded table, broadcast) give each
-    bucket's offset; a window inside each bucket adds the local sum.
+    ``counts`` comes from ``checkpointed_score_counts``. Per (group, bucket) totals (at
+    most one row per partition and one more per group) give each bucket's offset; a
+    window inside each (group, bucket) adds the local sum.
     """
     g = list(group_cols)
-    bucketed, n_pairs = score_buckets(counts, g, buckets)
-    totals = bucketed.groupBy(*g, "_bucket").agg(F.sum("pos").alias("_pp"), F.sum("neg").alias("_pn"))
+    totals = counts.groupBy(*g, "_bucket").agg(F.sum("pos").alias("_pp"), F.sum("neg").alias("_pn"))
     before = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *g, "_bucket",
+        *[F.col(c).alias(f"_g{i}") for i, c in enumerate(g)], F.col("_bucket").alias("_ob"),
         F.coalesce(F.sum("_pp").over(before), F.lit(0)).alias("_op"),
         F.coalesce(F.sum("_pn").over(before), F.lit(0)).alias("_on"),
     )
-    # one row per (group, bucket): broadcast when that known bound is small
-    if n_pairs <= OFFSET_BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
+    same = F.col("_bucket") == F.col("_ob")
+    for i, c in enumerate(g):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
     local = Window.partitionBy(*g, "_bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        bucketed.join(offsets, [*g, "_bucket"])
+        counts.join(offsets, same)
         .withColumn("pos_below", F.col("_op") + F.coalesce(F.sum("pos").over(local), F.lit(0)))
         .withColumn("neg_below", F.col("_on") + F.coalesce(F.sum("neg").over(local), F.lit(0)))
-        .drop("_bucket", "_op", "_on")
+        .drop("_bucket", "_op", "_on", "_ob", *[f"_g{i}" for i in range(len(g))])
     )
 
 
@@ -180,10 +136,9 @@ def roc_auc(df: DataFrame, score_col: str, label_col: str, group_cols=()) -> Dat
 
 def roc_curve(df: DataFrame, score_col: str, label_col: str) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score, predicting 1 for score >= threshold."""
-    pb = prefix_below(checkpointed_score_counts(df, score_col, label_col))
-    tot = pb.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    # 1-row totals attached by a broadcast join on a constant key.
-    pb = pb.withColumn("_k", F.lit(1)).join(F.broadcast(tot.withColumn("_k", F.lit(1))), "_k")
+    counts = checkpointed_score_counts(df, score_col, label_col)
+    total = counts.agg(F.sum("pos"), F.sum("neg")).first()
+    pb = prefix_below(counts).withColumns({"_P": F.lit(total[0] or 0), "_N": F.lit(total[1] or 0)})
     return pb.select(
         F.col("score").alias("threshold"),
         _safe_div(F.col("_N") - F.col("neg_below"), F.col("_N")).alias("fpr"),
@@ -211,6 +166,6 @@ def evaluation_report(df: DataFrame, score_col: str, label_col: str,
     """
     predict_label(score_col, threshold)  # validates the threshold
     counts = checkpointed_score_counts(df, score_col, label_col)
-    rates = rates_from_counts(confusion_from_counts(counts, threshold)).withColumn("_k", F.lit(1))
-    auc = auc_from_counts(counts).withColumn("_k", F.lit(1))
-    return rates.join(auc, "_k").drop("_k").select(F.lit(float(threshold)).alias("threshold"), "*")
+    rates = rates_from_counts(confusion_from_counts(counts, threshold))
+    auc = auc_from_counts(counts).first()[0]
+    return rates.select(F.lit(float(threshold)).alias("threshold"), "*", F.lit(auc).cast("double").alias("roc_auc"))

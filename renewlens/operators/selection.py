@@ -43,6 +43,7 @@ def select_feature_names(columns, target_col: str = config.TARGET_COLUMN, includ
     """B1: include list (absent names warned and skipped) or every column,
     minus the base and configured excludes; excludes beat includes."""
     drop = set(excluded_columns(target_col, exclude))
+    include = config.FEATURE_INCLUDE_COLUMNS if include is None else include
     if include is not None:
         absent = [c for c in include if c not in columns]
         if absent:

@@ -1,18 +1,20 @@
 """Exact stratified holdout split and stratified K folds.
 
-Rows of a class are ordered by ``md5(key || '-' || seed)`` then key; the first
-n_c of each class form the test part. Class test sizes follow the library
-rule: n_test = ceil(share * n), the training size n - n_test is shared among
-classes in proportion to their counts (floors, then the largest remainders),
-and each class's test size is what remains.
-
-Scale: ranking a class in one window would put a whole class (possibly a
-third of all rows) into one task. The rank is computed in two levels
-instead: the first ``hex_digits`` of the hash give up to 16^d buckets; a
-count per (class, bucket) (a bounded table: classes x 16^d rows, broadcast)
-gives each bucket's offset by a prefix sum, and ``row_number`` runs per
-(class, bucket). Because the bucket is a prefix of the sort key, offset +
-row_number equals the plain per-class rank.
+Rows of a class are ordered by ``md5(key || '-' || seed)``, then key; the first
+n_c of each class form the test part, the ranks after them the folds in turn.
+Class test sizes follow the library rule: n_test = ceil(share * n), the training
+size n - n_test is shared among classes in proportion to their counts (floors,
+then the largest remainders), and each class's test size is what remains. Fold
+sizes are the library's, too: training rows dealt in turn, class after class.
+
+Scale: no row is moved. The first ``hex_digits`` of the hash give up to 16^d
+buckets; a count per (class, bucket) tells the one bucket that holds each cut.
+Only rows of those buckets are ranked, to find the row at the cut; every row
+is then compared with its class's cuts (a few values per class) where it lies.
+
+Missing values: a null label is a class of its own; null keys raise with their
+number, as no order would hold them in place. Rows of one key stay together, so a
+part can miss its size by their number.
 """
 
 from __future__ import annotations
@@ -53,36 +55,74 @@ def class_test_sizes(class_counts: dict, test_size: float) -> dict:
 
 
 def _keyed(df: DataFrame, key_col: str, seed: int, hex_digits: int) -> DataFrame:
+    """Adds the sort key ``_me`` (hash, key) and its bucket ``_b``."""
     h = split_hash(F.col(key_col), seed)
-    return df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, hex_digits))
+    return df.withColumns({"_me": F.struct(h.alias("h"), F.when(h.isNotNull(), F.col(key_col)).alias("k")), "_b": F.substring(h, 1, hex_digits)})
 
 
 def _bucket_counts(keyed: DataFrame, label_col: str) -> DataFrame:
     """Rows per (class, hash bucket): bounded by classes x 16^hex_digits.
 
-    Checkpointed (a small table) so the offsets and the class sizes read it
-    from the shared checkpoint folder instead of each re-reading the input.
+    Checkpointed (a small table) so the cuts and the class sizes read it from
+    the shared checkpoint folder instead of each re-reading the input.
     """
     from ..session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(keyed.sparkSession)
-    return keyed.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_bn")).checkpoint(eager=True)
+    counts = keyed.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_bn")).checkpoint(eager=True)
+    lost = counts.where("_b IS NULL").agg(F.sum("_bn")).first()[0]
+    if lost:
+        raise ValueError(f"{lost} rows have no key: they cannot be split reproducibly")
+    return counts
 
 
-def _rank(keyed: DataFrame, counts: DataFrame, label_col: str, key_col: str) -> DataFrame:
-    """``_class_rank`` = rows of earlier buckets of the class + row_number in the bucket."""
-    before = Window.partitionBy(label_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(label_col, "_b", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"))
-    ranked = keyed.join(F.broadcast(offsets), [label_col, "_b"])  # bounded: classes x 16^hex_digits
-    w = Window.partitionBy(label_col, "_b").orderBy("_h", key_col)
-    return ranked.withColumn("_class_rank", F.col("_off") + F.row_number().over(w)).drop("_h", "_b", "_off")
-
+def _cuts(keyed: DataFrame, counts: DataFrame, wanted: DataFrame, label_col: str) -> DataFrame:
+    """(class, cuts): per class the sort keys at the ranks ``wanted`` (class, _rank), ascending.
 
-def ranked_in_class(df: DataFrame, label_col: str, key_col: str, seed: int = config.RANDOM_STATE,
-                    hex_digits: int = 4) -> DataFrame:
-    """Adds ``_class_rank`` (1-based rank of the row inside its class)."""
-    keyed = _keyed(df, key_col, seed, hex_digits)
-    return _rank(keyed, _bucket_counts(keyed, label_col), label_col, key_col)
+    A rank of 0 gives a key below all rows. Only the rows of the buckets that hold a
+    wanted rank are ranked; a handful of buckets per class.
+    """
+    before = Window.partitionBy(label_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
+    w = wanted.select(F.col(label_col).alias("_label"), "_rank")
+    # bounded: wanted ranks (classes x folds); the class table joins null-safely
+    held = offsets.join(F.broadcast(w), F.col(label_col).eqNullSafe(F.col("_label"))
+                        & (F.col("_rank") > F.col("_off")) & (F.col("_rank") <= F.col("_off") + F.col("_bn")))
+    held = held.select("_label", F.col("_b").alias("_wb"), (F.col("_rank") - F.col("_off")).alias("_local"))
+    spots = held.groupBy("_label", "_wb").agg(F.collect_set("_local").alias("_locals"))
+    near = keyed.join(F.broadcast(spots), F.col(label_col).eqNullSafe(F.col("_label")) & (F.col("_b") == F.col("_wb")))
+    ranked = near.select("_label", "_wb", "_locals", "_me").withColumn(
+        "_n", F.row_number().over(Window.partitionBy("_label", "_wb").orderBy("_me")))
+    found = ranked.where(F.array_contains("_locals", F.col("_n").cast("long"))).select("_label", "_me")
+    me = keyed.schema["_me"].dataType
+    lowest = F.struct(F.lit("").alias("h"), F.lit(None).cast(me["k"].dataType).alias("k"))
+    zero = w.where("_rank = 0").select("_label", lowest.cast(me).alias("_me"))
+    return found.union(zero).groupBy("_label").agg(F.sort_array(F.collect_list("_me")).alias("_cuts"))
+
+
+def _at(keyed: DataFrame, cuts: DataFrame, label_col: str) -> DataFrame:
+    """Adds ``_at``: how many cuts of its class lie below a row (compared where the row lies)."""
+    rows = keyed.join(F.broadcast(cuts), F.col(label_col).eqNullSafe(F.col("_label")), "left")
+    below = F.size(F.filter(F.coalesce("_cuts", F.array().cast(cuts.schema["_cuts"].dataType)), lambda c: c < F.col("_me")))
+    return rows.withColumn("_at", below).drop("_label", "_cuts", "_me", "_b")
+
+
+def _fold_ranks(alloc: DataFrame, label_col: str, n_splits: int, rows: str, offset: str, start) -> DataFrame:
+    """(class, _rank): the last rank of every fold but the last, folds being rank ranges.
+
+    Dealt in turn from ``offset``, fold f of a class gets the positions p in
+    [offset, offset + rows) with p mod n_splits = f.
+    """
+    k = n_splits
+    end = F.col(offset) + F.col(rows)
+    total = None
+    ranks = []
+    for f in range(k - 1):
+        size = F.floor((end - 1 - f + k) / k) - F.floor((F.col(offset) - 1 - f + k) / k)
+        total = size if total is None else total + size
+        ranks.append((start + total).cast("long"))
+    return alloc.select(label_col, F.explode(F.array(*ranks)).alias("_rank")) if ranks else alloc.select(
+        label_col, F.lit(0).cast("long").alias("_rank")).where("false")
 
 
 def class_counts(df: DataFrame, label_col: str) -> dict:
@@ -133,39 +173,35 @@ def stratified_split(df: DataFrame, label_col: str = config.TARGET_COLUMN, key_c
                      n_splits: int = config.HYPERPARAMETER_TUNING_CONFIG["cv"]) -> DataFrame:
     """E5: adds ``part`` ('train' / 'test') with exact per-class test sizes.
 
-    The input is read twice: once for the per-(class, bucket) counts (a small
-    checkpointed table from which both the bucket offsets and the class sizes
-    derive) and once to rank the rows. With ``fold_col`` the training rows
-    are also numbered into ``n_splits`` stratified folds in the same pass (null
-    for test rows): a training row's rank among the class's training rows is
-    its class rank minus the class's test size, since the test part takes each
-    class's first ranks.
+    Three reads of the input, none of which moves it: bucket counts, the rows of the
+    cuts' buckets, and the comparison. With ``fold_col`` the training rows also get
+    their stratified fold from the same cuts (null for test rows).
     """
     keyed = _keyed(df, key_col, seed, hex_digits)
     counts = _bucket_counts(keyed, label_col)
     alloc = _allocate(counts.groupBy(label_col).agg(F.sum("_bn").alias("_c")), label_col, test_size)
-    ranked = _rank(keyed, counts, label_col, key_col).join(F.broadcast(alloc), label_col)  # bounded: classes
-    is_test = F.col("_class_rank") <= F.col("class_test")
-    out = ranked.withColumn(part_col, F.when(is_test, F.lit(PART_TEST)).otherwise(F.lit(PART_TRAIN)))
+    wanted = alloc.select(label_col, F.col("class_test").cast("long").alias("_rank"))
+    if fold_col:
+        train = alloc.withColumn("_train", F.col("class_rows") - F.col("class_test"))
+        wanted = wanted.union(_fold_ranks(train, label_col, n_splits, "_train", "train_offset", F.col("class_test")))
+    out = _at(keyed, _cuts(keyed, counts, wanted, label_col), label_col)
+    out = out.withColumn(part_col, F.when(F.col("_at") == 0, F.lit(PART_TEST)).otherwise(F.lit(PART_TRAIN)))
     if fold_col:
-        fold = (F.col("train_offset") + F.col("_class_rank") - F.col("class_test") - 1) % F.lit(n_splits)
-        out = out.withColumn(fold_col, F.when(is_test, F.lit(None)).otherwise(fold).cast("int"))
-    return out.drop("_class_rank", "class_rows", "class_test", "class_offset", "train_offset")
+        out = out.withColumn(fold_col, F.when(F.col("_at") > 0, F.col("_at") - 1).cast("int"))
+    return out.drop("_at")
 
 
 def stratified_folds(df: DataFrame, n_splits: int = config.HYPERPARAMETER_TUNING_CONFIG["cv"],
                      label_col: str = config.TARGET_COLUMN, key_col: str = config.ID_COLUMN,
                      seed: int = config.RANDOM_STATE, fold_col: str = "fold", hex_digits: int = 4) -> DataFrame:
-    """fold = (class offset + rank in class - 1) mod k, the class offset being
-    the rows of smaller classes: every fold gets the library's per-class counts
+    """Folds are ranges of class ranks with the library's per-class counts
     (sizes differ by at most one, per class and overall)."""
     keyed = _keyed(df, key_col, seed, hex_digits)
     counts = _bucket_counts(keyed, label_col)
     alloc = _allocate(counts.groupBy(label_col).agg(F.sum("_bn").alias("_c")), label_col, 0)
-    ranked = _rank(keyed, counts, label_col, key_col).join(F.broadcast(alloc.select(label_col, "class_offset")),
-                                                          label_col)
-    fold = ((F.col("class_offset") + F.col("_class_rank") - 1) % F.lit(n_splits)).cast("int")
-    return ranked.withColumn(fold_col, fold).drop("class_offset", "_class_rank")
+    wanted = _fold_ranks(alloc, label_col, n_splits, "class_rows", "class_offset", F.lit(0))
+    out = _at(keyed, _cuts(keyed, counts, wanted, label_col), label_col)
+    return out.withColumn(fold_col, F.col("_at").cast("int")).drop("_at")
 
 
 def semi_join_part(df: DataFrame, split_df: DataFrame, key_col: str, part: str, part_col: str = "part") -> DataFrame:

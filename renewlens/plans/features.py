@@ -21,12 +21,15 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.features import applicable_recipes
 from ..operators.selection import select_feature_names
 
 MISSING_SENTINEL = -1.0e9
+# Largest vocabulary of a category column.
+MAX_VOCABULARY = 10_000
 FEATURES_COL = "features"
 
 
@@ -70,7 +73,10 @@ def plan_features(df: DataFrame, target_col: str = config.TARGET_COLUMN, include
             derived_cols.append(r.output)
     feats = select_feature_names(derived_cols, target_col, include, exclude)
     types = dict(df.dtypes)
-    categorical = [c for c in feats if types.get(c) == "string"]
+    categorical = [c for c in feats if c in config.CATEGORICAL_COLUMNS and types.get(c) == "string"]
+    other = [c for c in feats if types.get(c) == "string" and c not in categorical]
+    if other:
+        raise ValueError(f"text columns without a role: {', '.join(other)}; exclude them or make them numbers")
     numeric = [c for c in feats if c not in categorical]
     return FeatureSpec(feats, categorical, numeric, input_types={c: types[c] for c in df.columns if c in feats})
 
@@ -89,8 +95,20 @@ def feature_stages(df: DataFrame, spec: FeatureSpec) -> list:
     return stages
 
 
+def check_vocabularies(df: DataFrame, columns, limit: int = MAX_VOCABULARY) -> None:
+    """Raise when a category column has more than ``limit`` values: a vocabulary is held on the
+    driver and sets the trees' bins. Approximate counts, one aggregate."""
+    if not columns:
+        return
+    row = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).first()
+    wide = [c for c in columns if row[c] > limit]
+    if wide:
+        raise ValueError(f"more than {limit} categories in: {', '.join(wide)}")
+
+
 def fit_feature_model(df: DataFrame, spec: FeatureSpec) -> PipelineModel:
     """Learn the vocabularies on ``df`` (all rows, as the original does)."""
+    check_vocabularies(df, spec.categorical)
     return Pipeline(stages=feature_stages(df, spec)).fit(df)
 
 

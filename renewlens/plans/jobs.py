@@ -17,9 +17,9 @@ from .. import config
 from ..operators import analysis as A
 from ..operators import profile as P
 from ..operators.metrics import evaluation_report
-from ..operators.selection import ensure_not_empty
+from ..operators.selection import drop_missing, ensure_not_empty
 from ..operators.split import PART_TEST, PART_TRAIN, stratified_split
-from ..sources.files import write_json_row, write_predictions, write_table
+from ..sources.files import require_nonempty_batch, write_json_row, write_predictions, write_table
 from .model import RenewalModel, materialize, train_model
 from .tuning import compare_with_default, search
 
@@ -38,8 +38,11 @@ def analyses(scored: DataFrame, target_col: str = config.TARGET_COLUMN, term_col
     prob, level = config.PROBABILITY_COLUMN, config.LEVEL_COLUMN
     if target_col in cols:
         A.check_no_missing(scored, prob, target_col)
-        out["calibration_buckets"] = A.bucket_summary(scored, prob, target_col)
+        buckets = A.bucket_summary(scored, prob, target_col)
+        A.check_calibration_buckets(buckets)
+        out["calibration_buckets"] = buckets
         if term_col in cols:
+            ensure_not_empty(drop_missing(scored, [term_col, level, target_col, prob]), "scored rows with a term, level and label")
             perf = A.term_level_performance(scored, term_col, level, target_col)
             out["term_level_performance"] = perf
             out["level_summary"] = A.level_summary(perf, level)
@@ -47,6 +50,7 @@ def analyses(scored: DataFrame, target_col: str = config.TARGET_COLUMN, term_col
             out["term_trend"] = A.term_trend(scored, term_col, prob, target_col)
             out["chart_bounds"] = A.chart_bounds(scored, prob, target_col, term_col, level)
     if term_col in cols:
+        ensure_not_empty(drop_missing(scored, [term_col, level]), "scored rows with a term and level")
         mix = A.level_mix(scored, term_col, level)
         out["level_mix"] = mix
         out["level_mix_pivot"] = A.level_mix_pivot(mix, term_col, level)
@@ -93,14 +97,15 @@ def train_job(spark: SparkSession, data: DataFrame, output_dir: str | None = Non
                         target_col=target_col, overrides=overrides, early_stopping_rounds=early_stopping_rounds)
     res.model = model
     scored_test = materialize(model.score(test))
+    if output_dir:  # before the analyses: a label that they refuse must not cost the model
+        res.paths["model"] = model.save(f"{output_dir}/model")
+        res.paths["test_predictions"] = write_predictions(scored_test, f"{output_dir}/test_predictions")
     res.frames["evaluation_train"] = evaluation_report(model.score(train), config.PROBABILITY_COLUMN, target_col)
     res.frames["evaluation_test"] = evaluation_report(scored_test, config.PROBABILITY_COLUMN, target_col)
     res.frames["feature_importance"] = model.feature_importance(spark, 30)
     res.frames["test_predictions"] = scored_test
     res.frames.update(analyses(scored_test, target_col))
     if output_dir:
-        res.paths["model"] = model.save(f"{output_dir}/model")
-        res.paths["test_predictions"] = write_predictions(scored_test, f"{output_dir}/test_predictions")
         for name, df in res.frames.items():
             if name != "test_predictions":
                 res.paths[name] = write_table(df, f"{output_dir}/{name}")
@@ -112,12 +117,14 @@ def predict_job(spark: SparkSession, model_dir: str, data: DataFrame, output_dir
                 target_col: str = config.TARGET_COLUMN, partition_by=None) -> JobResult:
     """3.2: load artefacts -> score once -> write -> analyses when a label / term exists."""
     model = RenewalModel.load(spark, f"{model_dir}")
+    require_nonempty_batch(data)
     scored = materialize(model.score(data))
     res = JobResult(model=model)
     res.frames["predictions"] = scored
+    if output_dir:  # before the analyses, which may refuse the labels
+        res.paths["predictions"] = write_predictions(scored, f"{output_dir}/predictions", partition_by=partition_by)
     res.frames.update(analyses(scored, target_col))
     if output_dir:
-        res.paths["predictions"] = write_predictions(scored, f"{output_dir}/predictions", partition_by=partition_by)
         for name, df in res.frames.items():
             if name != "predictions":
                 res.paths[name] = write_table(df, f"{output_dir}/{name}")
@@ -146,10 +153,11 @@ def tune_job(spark: SparkSession, data: DataFrame, output_dir: str | None = None
     res.frames["cv_top"] = cv_results(found.summary, top_n)
     res.frames["fold_scores"] = found.fold_scores
     defaults = default_params or config.MODEL_PARAMS
-    res.frames["comparison"] = compare_with_default(train, {**defaults, **found.best_params}, defaults, tcfg["cv"],
+    best = {**found.base_params, **found.best_params}  # the model that the search scored
+    res.frames["comparison"] = compare_with_default(train, best, defaults, tcfg["cv"],
                                                     tcfg["random_state"], target_col=target_col, overrides=overrides)
     finals = []
-    for name, params in (("best", {**defaults, **found.best_params}), ("default", defaults)):
+    for name, params in (("best", best), ("default", defaults)):
         m = train_model(train, test, params, vocab_df=data, target_col=target_col, overrides=final_overrides or overrides)
         finals.append(evaluation_report(m.score(test), config.PROBABILITY_COLUMN, target_col)
                       .select(F.lit(name).alias("model"), "*"))

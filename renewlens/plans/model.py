@@ -15,9 +15,9 @@ learning_rate -> stepSize, n_estimators -> maxIter, subsample ->
 subsamplingRate, colsample_bytree -> featureSubsetStrategy (per node, not per
 tree), min_child_weight -> minInstancesPerNode (a count, not a Hessian sum),
 reg_alpha / reg_lambda / gamma have no MLlib counterpart (gamma's scale is
-not MLlib's minInfoGain scale): a warning says so. Early stopping uses MLlib's validation set
-(``validationIndicatorCol`` + ``validationTol``, log-loss based), not AUC
-with a 30-round patience.
+not MLlib's minInfoGain scale): a warning says so. Early stopping watches the
+validation part's AUC of every tree prefix, with a patience of 30 rounds, and cuts
+the fitted model after the best prefix.
 """
 
 from __future__ import annotations
@@ -25,9 +25,8 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,14 +34,16 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions.features import applicable_recipes, derive_features, sanitize_numeric
 from ..functions.levels import level_tag
+from ..operators.metrics import auc_from_counts, dealt_counts
 from ..operators.selection import check_threshold
 from ..session import ensure_checkpoint_dir
 from ..sources.files import read_json_row, write_json_row
 from .features import FEATURES_COL, FeatureSpec, fit_feature_model, plan_features, source_feature, vocabulary_sizes
 
 LABEL_COL = "__label"
-VALID_COL = "__is_valid"
 MIN_MAX_BINS = 32
+# Probability bins of the per-prefix AUC.
+AUC_BINS = 1 << 14
 
 
 def gbt_params(params: dict | None) -> dict:
@@ -151,29 +152,82 @@ class RenewalModel:
                    int(meta.get("trees", 0)))
 
 
-def _prepared_training(feature_model: PipelineModel, df: DataFrame, target_col: str, extra=()) -> DataFrame:
+def _prepared_training(feature_model: PipelineModel, df: DataFrame, target_col: str) -> DataFrame:
     out = feature_model.transform(df)
-    return out.select(FEATURES_COL, F.col(target_col).cast("double").alias(LABEL_COL), *extra)
+    return out.select(FEATURES_COL, F.col(target_col).cast("double").alias(LABEL_COL))
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: reliable checkpoint to the shared checkpoint folder, kept in memory/disk."""
+    """Cut lineage: reliable checkpoint to the shared checkpoint folder (MLlib keeps its own copy while it fits)."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
+    return df.checkpoint(eager=True)
 
 
-def patience_stop(losses, rounds: int) -> int:
-    """Trees to keep: the best prefix, scanning until ``rounds`` iterations
-    pass without a lower validation loss (then later trees are ignored)."""
-    best_i, best = 0, float("inf")
-    for i, loss in enumerate(losses):
-        if loss < best:
-            best_i, best = i, loss
+def patience_stop(values, rounds: int) -> int:
+    """Trees to keep: the best (highest) prefix, scanning until ``rounds`` iterations
+    pass without a better value (then later trees are ignored)."""
+    best_i, best = 0, float("-inf")
+    for i, value in enumerate(values):
+        if value > best:
+            best_i, best = i, value
         elif i - best_i >= rounds:
             break
     return best_i + 1
 
 
+def prefix_auc(model, data: DataFrame) -> list[float | None]:
+    """ROC-AUC on ``data`` (features, label) of every prefix of a boosted model's trees.
+
+    One pass: every tree's contribution per row, running sums over the trees, and counts per
+    (prefix, probability bin) summed in the tasks, so what is shuffled has at most trees x
+    ``AUC_BINS`` rows a task. Scores of one bin tie.
+    """
+    rows = data.select(FEATURES_COL, LABEL_COL)
+    for i, tree in enumerate(model.trees):
+        rows = tree.copy().setFeaturesCol(FEATURES_COL).setPredictionCol(f"_t{i}").transform(rows)
+    parts = F.array(*[F.col(f"_t{i}") * F.lit(float(w)) for i, w in enumerate(model.treeWeights)])
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            margin = np.cumsum(np.array(batch.column(0).to_pylist()), axis=1)
+            at = np.minimum((AUC_BINS / (1 + np.exp(-2 * margin))).astype(np.int64), AUC_BINS - 1)
+            y = batch.column(1).to_numpy() > 0.5
+            for label in (0, 1):
+                cells = at[y == bool(label)] + np.arange(at.shape[1])[None, :] * AUC_BINS
+                for cell, n in zip(*[x.tolist() for x in np.unique(cells, return_counts=True)]):
+                    total.setdefault(cell, [0, 0])[label] += n
+        keys = list(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k // AUC_BINS for k in keys], pa.int32()), pa.array([float(k % AUC_BINS) for k in keys], pa.float64()),
+             pa.array([total[k][1] for k in keys], pa.int64()), pa.array([total[k][0] for k in keys], pa.int64())],
+            names=["prefix", "score", "pos", "neg"])
+
+    cells = rows.select(parts.alias("parts"), LABEL_COL).mapInArrow(count, "prefix int, score double, pos long, neg long")
+    counts = cells.groupBy("prefix", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    got = {r["prefix"]: r["roc_auc"] for r in auc_from_counts(dealt_counts(counts, ["prefix"]), ["prefix"]).collect()}
+    return [got.get(i) for i in range(len(model.trees))]
+
+
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The fitted model cut after its first ``n`` trees."""
+    sc = SparkSession.getActiveSession().sparkContext
+    jvm, java = sc._jvm, model._java_obj
+    trees = sc._gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = sc._gateway.new_array(jvm.double, n)
+    given, weight = java.trees(), list(java.treeWeights())
+    for i in range(n):
+        trees[i], weights[i] = given[i], float(weight[i])
+    cut = jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), trees, weights, java.numFeatures(), 2)
+    java.copyValues(cut, jvm.org.apache.spark.ml.param.ParamMap())
+    return GBTClassificationModel(cut)
+
+
 def train_model(
     train_df: DataFrame,
     valid_df: DataFrame | None = None,
@@ -182,21 +236,15 @@ def train_model(
     target_col: str = config.TARGET_COLUMN,
     include=None,
     exclude=None,
-    validation_tol: float = 0.01,
     overrides: dict | None = None,
-    early_stopping_rounds: int | None = None,
+    early_stopping_rounds: int | None = config.EARLY_STOPPING_ROUNDS,
 ) -> RenewalModel:
     """Fit features (vocabulary on ``vocab_df``, default: train + valid) and GBT.
 
-    With a validation part, early stopping is either MLlib's own
-    (``validationIndicatorCol`` + ``validationTol``: stops at the first
-    round without enough gain) or, with ``early_stopping_rounds``, patience:
-    all trees are fitted, ``evaluateEachIteration`` gives the validation
-    log-loss of every prefix in one pass, and the model is refitted with the
-    best prefix's tree count (same seed and checkpointed input, so the refit
-    reproduces that prefix).
+    With a validation part, all trees are fitted, ``prefix_auc`` gives the validation AUC of
+    every prefix, and the model is cut after the best one before ``early_stopping_rounds``
+    rounds pass without a better (None: keep all trees). ``threshold`` in ``params`` is kept.
     """
-    spark = train_df.sparkSession
     train_in = prepare_input(train_df)
     vocab_in = prepare_input(vocab_df) if vocab_df is not None else (
         train_in if valid_df is None else train_in.unionByName(prepare_input(valid_df), allowMissingColumns=True)
@@ -209,37 +257,26 @@ def train_model(
     # cacheNodeIds stays MLlib's default (False): faster in our measurements at depth 4 and 8;
     # pass {"cacheNodeIds": True} in overrides for very deep trees on large data.
     kwargs = {"checkpointInterval": 10, "cacheNodeIds": False, **gbt_params(params), **(overrides or {})}
-    patience = valid_df is not None and bool(early_stopping_rounds)
-    if valid_df is not None and not patience:
-        kwargs.update(validationIndicatorCol=VALID_COL, validationTol=validation_tol)
     gbt = GBTClassifier(featuresCol=FEATURES_COL, labelCol=LABEL_COL, maxBins=max_bins, **kwargs)
-    valid_data = None
-    if valid_df is not None and not patience:
-        data = _prepared_training(feature_model, train_in.withColumn(VALID_COL, F.lit(False)), target_col, [VALID_COL])
-        data = data.unionByName(
-            _prepared_training(feature_model, prepare_input(valid_df).withColumn(VALID_COL, F.lit(True)), target_col,
-                               [VALID_COL])
-        )
-    else:
-        data = _prepared_training(feature_model, train_in, target_col)
-        if patience:
-            valid_data = materialize(_prepared_training(feature_model, prepare_input(valid_df), target_col))
-    data = materialize(data)
-    try:
-        gbt_model = gbt.fit(data)
-        if patience:
-            losses = gbt_model.evaluateEachIteration(valid_data)
-            keep = patience_stop(losses, int(early_stopping_rounds))
+    gbt_model = gbt.fit(materialize(_prepared_training(feature_model, train_in, target_col)))
+    if valid_df is not None and early_stopping_rounds:
+        valid = _prepared_training(feature_model, prepare_input(valid_df), target_col)
+        values = prefix_auc(gbt_model, valid)
+        if all(v is not None for v in values):  # one class only: no AUC, nothing to watch
+            keep = patience_stop(values, int(early_stopping_rounds))
             if keep < len(gbt_model.trees):
-                gbt_model = gbt.copy({gbt.maxIter: keep}).fit(data)
-    finally:
-        data.unpersist()
-        if valid_data is not None:
-            valid_data.unpersist()
+                gbt_model = first_trees(gbt_model, keep)
     pipeline = PipelineModel(stages=[*feature_model.stages, gbt_model])
-    return RenewalModel(pipeline, spec, config.DEFAULT_THRESHOLD, target_col, len(gbt_model.trees))
+    threshold = check_threshold((params or {}).get("threshold", config.DEFAULT_THRESHOLD))
+    return RenewalModel(pipeline, spec, threshold, target_col, len(gbt_model.trees))
 
 
 def attach_scores(df: DataFrame, scores: DataFrame, key: str = config.ID_COLUMN) -> DataFrame:
-    """Stored scores joined to their rows by key (left; sort-merge or broadcast by size)."""
+    """Stored scores joined to their rows by key (left; sort-merge or broadcast by size).
+
+    A key with several scores would multiply rows: it raises, with the number of such keys.
+    """
+    twice = scores.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").count()
+    if twice:
+        raise ValueError(f"{twice} keys have more than one score")
     return df.join(scores, key, "left")

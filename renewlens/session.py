@@ -34,8 +34,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The folder is read from the session (on a cluster it is a shared file
-    system the cluster names). Only when it is unset, as in tests, a local
-    folder is chosen.
+    system the cluster names). Only when it is unset in a local session, as in
+    tests, a local folder is chosen; elsewhere that folder would be seen by
+    one machine alone, so an unset folder is an error.
     """
     sc = spark.sparkContext
     path = sc.getCheckpointDir()
@@ -43,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return path
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         path = tempfile.mkdtemp(prefix="renewlens-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

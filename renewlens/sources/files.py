@@ -1,8 +1,8 @@
 """File sources and sinks.
 
 * CSV with header and a declared schema: every field is read as text, the
-  usual missing-value tokens become null, then each column is converted with
-  ``try_cast`` (a bad value becomes null instead of failing the job).
+  usual missing-value tokens become null, then each column is converted; values
+  that do not read are counted and raise, unless they are allowed.
 * JSON request records: one object per line; absent fields become null
   (the original dropped null fields before building its table).
 * Sinks: ``DataFrameWriter`` to parquet / CSV, optionally partitioned by a
@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +28,7 @@ NULL_TOKENS = [
 
 # training / test table (scoring input may lack is_renewal).
 TRAINING_SCHEMA = T.StructType([
-    T.StructField("user_id", T.LongType()),
+    T.StructField("user_id", T.StringType()),
     T.StructField("city", T.StringType()),
     T.StructField("district", T.StringType()),
     T.StructField("city_level", T.StringType()),
@@ -67,30 +67,46 @@ def unique_scratch(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = TRAINING_SCHEMA,
-             null_tokens=NULL_TOKENS) -> DataFrame:
+def _number(text: Column, dtype: T.DataType) -> Column:
+    """Text to a number; whole numbers may be written as floats ("5.0"), as tools do when a column has gaps."""
+    d = text.try_cast("double")
+    if isinstance(dtype, (T.IntegerType, T.LongType, T.ShortType)):
+        return F.coalesce(text.try_cast(dtype), F.when(d == F.floor(d), d).try_cast(dtype))
+    return d.cast(dtype) if isinstance(dtype, T.DoubleType) else text.try_cast(dtype)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType = TRAINING_SCHEMA, null_tokens=NULL_TOKENS,
+             multi_line: bool = True, allow_unreadable: bool = False, infer_other: bool = True) -> DataFrame:
     """A1: header CSV -> typed frame; a missing path raises.
 
-    Columns are matched by header name (not position), in file order; declared
-    columns get their declared type, other columns stay text.
+    Columns are matched by header name (not position), in file order; declared columns get
+    their declared type. Other columns become numbers where every value is one
+    (``infer_other``), else stay text. Quotes are doubled inside quotes. ``multi_line`` lets
+    quoted values hold line breaks; files are then not divided between tasks, so turn it off
+    for a few huge files without such values. Values that do not read as their type are
+    counted in the pass that infers types and raise, unless ``allow_unreadable`` makes them null.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE")
+           .option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path))
     tokens = F.array(*[F.lit(t) for t in null_tokens])
     declared = {f.name: f.dataType for f in schema.fields}
-
-    def conv(name: str):
-        c = F.col(f"`{name}`")
-        c = F.when(F.array_contains(tokens, c), F.lit(None)).otherwise(c)
-        dtype = declared.get(name, T.StringType())
-        if isinstance(dtype, T.StringType):
-            return c.alias(name)
-        return c.try_cast(dtype).alias(name)
-
-    return raw.select(*[conv(c) for c in raw.columns])
+    text = {c: F.when(~F.array_contains(tokens, F.col(f"`{c}`")), F.col(f"`{c}`")) for c in raw.columns}
+    types = {c: declared.get(c, T.DoubleType() if infer_other else T.StringType()) for c in raw.columns}
+    checked = [c for c in raw.columns if not isinstance(types[c], T.StringType)]
+    if checked:
+        bad = raw.agg(*[F.count_if(text[c].isNotNull() & _number(text[c], types[c]).isNull()).alias(f"n{i}")
+                        for i, c in enumerate(checked)]).first()
+        lost = {c: bad[i] for i, c in enumerate(checked) if bad[i]}
+        types.update({c: T.StringType() for c in lost if c not in declared})
+        lost = {c: n for c, n in lost.items() if c in declared}
+        if lost and not allow_unreadable:
+            raise ValueError("unreadable values: " + ", ".join(f"{c} ({n})" for c, n in sorted(lost.items())))
+    return raw.select(*[(text[c] if isinstance(types[c], T.StringType) else _number(text[c], types[c])).alias(c)
+                        for c in raw.columns])
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
     return path
 
 
@@ -112,7 +128,13 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType = RECORD_S
 
 def write_predictions(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None,
                       mode: str = "overwrite") -> str:
-    """A4: input columns + pred_probability, pred_label, level_tag."""
+    """A4: input columns + pred_probability, pred_label, level_tag.
+
+    Partitioned output is dealt by the partition columns first (a rebalance, so AQE splits a
+    hot value into several files), else every task would write a file per value.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -146,7 +168,7 @@ def read_json_row(spark: SparkSession, path: str) -> dict:
 def batch_response(scored: DataFrame, prob_col: str, level_col: str, keep=()) -> tuple[DataFrame, DataFrame]:
     """A10: per-row response (probability, level_tag, success) and the envelope
     counts (total, success_count). Rows stay rows; no list is gathered into one
-    record. An empty batch is refused (A3)."""
+    record. The jobs refuse an empty batch first (``require_nonempty_batch``)."""
     rows = scored.select(
         *keep,
         F.col(prob_col).cast("double").alias("probability"),

@@ -13,10 +13,8 @@ Plan shape (Spark):
     day). A customer with a third of all orders still puts at most one row per
     day into the window, and the join back is hash-partitioned on (customer,
     day), so its orders spread over many tasks.
-  * customer: broadcast onto the orders when its size estimate is small;
-    otherwise joined to the per-(customer, day) table (already partitioned by
-    customer for the window) so the orders shuffle only once. nation/region
-    are fixed-size (25 / 5 rows) broadcasts.
+  * customer: joined to the orders by key; nation/region are fixed-size (25 / 5
+    rows) broadcasts.
 """
 
 from __future__ import annotations
@@ -24,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.joins import bounded_broadcast, is_small
+from ..operators.joins import bounded_broadcast
 from .tables import read_table
 
 RENEWAL_WINDOW_DAYS = 90
@@ -75,13 +73,9 @@ def next_order_day(orders: DataFrame, key: str = "o_custkey", day: str = "o_day"
 def renewal_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Build the renewal table from the driver tables at ``sf_dir``.
 
-    When the customer table is small (size estimate under the broadcast
-    limit) it is broadcast onto the orders and the per-(customer, day) table
-    is left-joined (dropped by Catalyst when the label is unused). Otherwise
-    customer, nation and region attributes are attached to the per-(customer,
-    day) table, which the ``lead`` window already partitions by customer, so
-    the orders are shuffled once for it (on (customer, day)), plus once on the
-    order key when line counts are used.
+    One plan whatever the sizes: customer is joined to the orders by key (the
+    planner or AQE broadcasts it when it is small, splits skewed keys when
+    not), the per-(customer, day) table is left-joined.
     """
     orders = read_table(
         spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"]
@@ -103,19 +97,11 @@ def renewal_df(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
 
-    days = customer_days(orders)
-    if is_small(customer):
-        # broadcast customer straight onto the orders; the per-day table is a
-        # left join on a unique key, which Catalyst drops when the label is unused
-        o = orders.join(F.broadcast(customer), F.col("o_custkey") == F.col("c_custkey"))
-        o = o.join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
-        o = o.join(days, ["o_custkey", "o_day"], "left")
-    else:
-        # customer attributes ride on the per-day table, which the window has
-        # already partitioned by customer: the orders shuffle once, on (customer, day)
-        days = days.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        days = days.join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
-        o = orders.join(days, ["o_custkey", "o_day"])
+    o = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    o = o.join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
+    # a left join on a unique key: Catalyst drops it when the label is unused,
+    # and orders without a date stay
+    o = o.join(customer_days(orders), ["o_custkey", "o_day"], "left")
     o = o.withColumn("_next_order_day", _next_order_day_col())
     o = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
 

@@ -40,9 +40,10 @@ def score_stream(model: RenewalModel, records: DataFrame, keep=("user_id",)) ->
 
 def start_scoring(spark: SparkSession, model: RenewalModel, source_dir: str, sink_dir: str, checkpoint_dir: str,
                   fmt: str = "json", available_now: bool = True, processing_time: str | None = None,
-                  sink_format: str = "parquet") -> StreamingQuery:
-    """Start the scoring query; append mode, checkpointed."""
-    out = score_stream(model, read_record_stream(spark, source_dir, fmt))
+                  sink_format: str = "parquet", max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Start the scoring query; append mode, checkpointed. ``max_files_per_trigger`` bounds a
+    micro-batch, so a backlog is worked off in several."""
+    out = score_stream(model, read_record_stream(spark, source_dir, fmt, max_files_per_trigger=max_files_per_trigger))
     writer = out.writeStream.format(sink_format).outputMode("append").option("checkpointLocation", checkpoint_dir)
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -1,5 +1,6 @@
 """End-to-end train / predict / tune jobs (I13) on the smallest tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -61,3 +62,16 @@ def test_cli_train_and_predict_from_csv(spark, tmp_path):
     assert main(["predict", "--model", str(tmp_path / "t" / "model"), "--input", test_csv, "--format", "csv",
                  "--output", str(tmp_path / "p"), "--partition-by-term"]) == 0
     assert spark.read.parquet(str(tmp_path / "p" / "predictions")).count() == 1500
+
+
+def test_predictions_are_saved_before_labels_are_refused(spark, tmp_path):
+    from renewlens.plans.jobs import predict_job, train_job
+
+    r = renewal_df(spark, SF_SMALL)
+    res = train_job(spark, r, str(tmp_path / "t"), overrides={"maxIter": 2, "maxDepth": 2})
+    gaps = r.withColumn("is_renewal", F.when(F.col("user_id") % 5 != 0, F.col("is_renewal")))
+    with pytest.raises(ValueError):
+        predict_job(spark, res.paths["model"], gaps, str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p" / "predictions")).count() == r.count()
+    with pytest.raises(ValueError, match="empty"):
+        predict_job(spark, res.paths["model"], r.limit(0))

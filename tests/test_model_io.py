@@ -87,7 +87,7 @@ def test_batch_and_stream_equal(spark, model, planted, tmp_path):
 def test_csv_null_tokens(spark, tmp_path):
     p = tmp_path / "t.csv"
     p.write_text("user_id,city,house_price,grade,is_renewal\n1,NA,12.5,3,1\n2,x,N/A,null,0\n3,,bad,4,\n")
-    df = FS.read_csv(spark, str(p)).orderBy("user_id").collect()
+    df = FS.read_csv(spark, str(p), allow_unreadable=True).orderBy("user_id").collect()
     assert df[0].city is None and df[0].house_price == 12.5
     assert df[1].house_price is None and df[1].grade is None and df[1].city == "x"
     assert df[2].city is None and df[2].house_price is None and df[2].is_renewal is None
@@ -119,23 +119,75 @@ def test_empty_batch_refused(spark):
 def test_patience_rule():
     from renewlens.plans.model import patience_stop
 
-    assert patience_stop([5, 4, 3, 3.5, 3.6, 3.7], 2) == 3      # stops 2 rounds after the best (index 2)
-    assert patience_stop([5, 4, 3, 2, 1], 30) == 5              # still improving: keep all
-    assert patience_stop([1, 2, 3, 0.5], 2) == 1                # later gains after the stop are not seen
+    assert patience_stop([.5, .6, .7, .65, .64, .63], 2) == 3      # stops 2 rounds after the best (index 2)
+    assert patience_stop([.5, .6, .7, .8, .9], 30) == 5            # still improving: keep all
+    assert patience_stop([.9, .8, .7, .95], 2) == 1                # later gains after the stop are not seen
 
 
-def test_refit_reproduces_prefix(planted):
-    from renewlens.plans.model import train_model
+def test_cut_model_equals_a_shorter_fit(planted):
+    """The first trees of a fit are the fit with that many trees, and the prefix AUC is theirs."""
+    from renewlens.plans.model import FEATURES_COL, LABEL_COL, first_trees, prefix_auc, prepare_input
 
     train, test = planted
     full = train_model(train, None, config.MODEL_PARAMS, overrides={"maxIter": 6, "maxDepth": 3})
     short = train_model(train, None, config.MODEL_PARAMS, overrides={"maxIter": 3, "maxDepth": 3})
-    a, b = full.pipeline.stages[-1], short.pipeline.stages[-1]
-    def body(t):  # the debug text without its header line (which names the uid)
-        return t.toDebugString.split("\n", 1)[1]
+    gbt = full.pipeline.stages[-1]
+    full.pipeline.stages[-1] = first_trees(gbt, 3)
+    cols = ["user_id", config.PROBABILITY_COLUMN]
+    a, b = full.score(test).select(*cols), short.score(test).toDF(*[f"{c}_b" for c in short.score(test).columns])
+    j = a.join(b, F.col("user_id") == F.col("user_id_b"))
+    assert j.count() == test.count() and j.where(f"abs({cols[1]} - {cols[1]}_b) > 1e-12").count() == 0
+    prepared = prepare_input(test)
+    for stage in full.pipeline.stages[:-1]:
+        prepared = stage.transform(prepared)
+    data = prepared.select(FEATURES_COL, F.col("is_renewal").cast("double").alias(LABEL_COL))
+    exact = M.roc_auc(short.score(test), config.PROBABILITY_COLUMN, "is_renewal").first().roc_auc
+    values = prefix_auc(gbt, data)
+    assert len(values) == 6 and abs(values[2] - exact) < 0.005
+
+
+def test_threshold_from_parameters(planted):
+    train, _ = planted
+    m = train_model(train, None, {**config.MODEL_PARAMS, "threshold": 0.3}, overrides={"maxIter": 1, "maxDepth": 2})
+    assert m.get_threshold() == 0.3
+
+
+def test_text_columns_need_a_role(spark, planted):
+    train, _ = planted
+    with pytest.raises(ValueError, match="channel"):
+        train_model(train.withColumn("channel", F.lit("web")), None, overrides={"maxIter": 1})
+    m = train_model(train.withColumn("visits", F.col("grade") * 2.0), None, overrides={"maxIter": 1, "maxDepth": 2})
+    assert "visits" in m.spec.numeric
+
+
+def test_vocabulary_limit(spark):
+    from renewlens.plans.features import check_vocabularies
 
-    assert [body(t) for t in a.trees[:3]] == [body(t) for t in b.trees]
-    assert list(a.treeWeights[:3]) == list(b.treeWeights)
+    df = spark.range(500).selectExpr("CAST(id AS STRING) AS city")
+    check_vocabularies(df, ["city"])
+    with pytest.raises(ValueError, match="city"):
+        check_vocabularies(df, ["city"], limit=300)
+
+
+def test_repeated_scores_raise(spark):
+    from renewlens.plans.model import attach_scores
+
+    df = spark.createDataFrame([(1,), (2,)], "user_id int")
+    with pytest.raises(ValueError, match="1 keys"):
+        attach_scores(df, spark.createDataFrame([(1, .5), (1, .6), (2, .7)], "user_id int, p double"))
+
+
+def test_ordinary_csv(spark, tmp_path):
+    p = tmp_path / "t.csv"
+    p.write_text('user_id,city,grade,is_renewal,visits,note\n'
+                 'u1,"a, ""b""\nc",5.0,1.0,3,x\nu2,NA,,0,4.5,"2"\nu3,z,7,,,9\n')
+    rows = FS.read_csv(spark, str(p)).orderBy("user_id").collect()
+    assert [(r.user_id, r.city, r.grade, r.is_renewal, r.visits, r.note) for r in rows] == [
+        ("u1", 'a, "b"\nc', 5, 1, 3.0, "x"), ("u2", None, None, 0, 4.5, "2"), ("u3", "z", 7, None, None, "9")]
+    p.write_text("user_id,grade\n1,5.5\n2,x\n3,4\n")
+    with pytest.raises(ValueError, match=r"grade \(2\)"):
+        FS.read_csv(spark, str(p))
+    assert sorted(r.grade or 0 for r in FS.read_csv(spark, str(p), allow_unreadable=True).collect()) == [0, 0, 4]
 
 
 def test_patience_stopping_keeps_at_most_requested(planted):

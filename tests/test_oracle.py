@@ -7,9 +7,10 @@ from conftest import SF_ORACLE
 from oracle import compare
 
 import __spark_entry__ as E
+from renewlens.catalog import ORACLES, QUERIES
 
-ORACLE_KEYS = sorted(E.oracle_sql())
-ROWS_ONLY_KEYS = sorted(set(E.queries()) - set(E.oracle_sql()))
+ORACLE_KEYS = sorted(ORACLES)
+ROWS_ONLY_KEYS = sorted(set(QUERIES) - set(ORACLES))
 
 
 @pytest.mark.parametrize("key", ORACLE_KEYS)

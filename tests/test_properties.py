@@ -28,11 +28,35 @@ def test_split_exact_disjoint_complete(spark, renewal):
     assert got == want
 
 
-def test_two_level_rank_equals_plain_rank(spark, renewal):
-    two = S.ranked_in_class(renewal, "is_renewal", "user_id", hex_digits=2).select("user_id", "_class_rank")
+@pytest.mark.parametrize("digits", [0, 1, 4])
+def test_cuts_equal_plain_ranks(spark, renewal, digits):
     w = Window.partitionBy("is_renewal").orderBy(S.split_hash(F.col("user_id"), 42), "user_id")
-    plain = renewal.select("user_id", F.row_number().over(w).alias("plain"))
-    assert two.join(plain, "user_id").where("_class_rank <> plain").count() == 0
+    plain = renewal.select("user_id", "is_renewal", F.row_number().over(w).alias("rank"))
+    want = S.class_test_sizes(S.class_counts(renewal, "is_renewal"), 0.2)
+    got = S.stratified_split(renewal, hex_digits=digits).select("user_id", "part").join(plain, "user_id").collect()
+    assert len(got) == renewal.count()
+    assert all((r.part == "test") == (r["rank"] <= want[r.is_renewal]) for r in got)
+
+
+def test_split_moves_no_rows(spark, renewal):
+    """Rows meet their cuts in broadcast joins; nothing is joined by a shuffle."""
+    rows = spark.range(2000).selectExpr("id AS user_id", "CAST(id % 3 = 0 AS INT) AS is_renewal")
+    split = S.stratified_split(rows, fold_col="fold")
+    assert split.count() == 2000
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_split_and_folds_keep_rows_without_label(spark):
+    df = spark.range(3000).selectExpr("concat('u', id) AS user_id", "CASE WHEN id % 10 = 0 THEN NULL ELSE CAST(id % 4 = 0 AS INT) END AS is_renewal")
+    s = S.stratified_split(df)
+    assert s.count() == 3000
+    got = {r[0]: r[1] for r in s.where("part = 'test'").groupBy("is_renewal").count().collect()}
+    assert sum(got.values()) == 600 and got[None] == 60
+    f = S.stratified_folds(df, 5)
+    assert {r[0]: r[1] for r in f.groupBy("fold").count().collect()} == {i: 600 for i in range(5)}
+    with pytest.raises(ValueError, match="3 rows have no key"):
+        S.stratified_split(df.union(spark.sql("SELECT CAST(NULL AS STRING), 1 FROM range(3)")))
 
 
 def test_allocation_matches_reference_rule(spark):
@@ -121,26 +145,33 @@ def test_next_order_day_equals_plain_lead_with_hot_customer(spark):
 
 
 def test_grouped_auc_many_groups_matches_single(spark):
-    """Per-group AUC with many groups (one bucket each) equals per-group single runs."""
+    """Per-group AUC with 3,001 groups, one of them hot, equals per-group single runs."""
     from renewlens.operators import metrics as Mx
 
-    s = C.scored(spark, SF_SMALL).select("is_renewal", "fns_cnt", (F.col("user_id") % 1500).alias("g"))
-    old = (Mx.MAX_LITERAL_GROUPS, Mx.MAX_CUT_LITERALS)
-    try:
-        Mx.MAX_LITERAL_GROUPS, Mx.MAX_CUT_LITERALS = 10, 100
-        many = {r.g: r.roc_auc for r in Mx.roc_auc(s, "fns_cnt", "is_renewal", ["g"]).collect()}
-    finally:
-        Mx.MAX_LITERAL_GROUPS, Mx.MAX_CUT_LITERALS = old
+    rows = C.scored(spark, SF_SMALL).select("is_renewal", (F.col("user_id") * 31 % 997).alias("fns_cnt"), "user_id")
+    copies = rows.select("is_renewal", "fns_cnt", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"), "user_id")
+    s = copies.select("is_renewal", "fns_cnt", F.when(F.col("k") < 4, 0).otherwise((F.col("user_id") * 10 + F.col("k")) % 5000).alias("g"))
+    many = {r.g: r.roc_auc for r in Mx.roc_auc(s, "fns_cnt", "is_renewal", ["g"]).collect()}
+    assert len(many) == 3001
     some = {r.g: r.roc_auc for r in Mx.roc_auc(s.where("g < 5"), "fns_cnt", "is_renewal", ["g"]).collect()}
     for g, v in some.items():
         assert (v is None and many[g] is None) or abs(v - many[g]) < 1e-12
 
 
-def test_renewal_same_rows_for_both_customer_join_placements(spark, monkeypatch):
-    import renewlens.operators.joins as J
-
-    small = renewal_df(spark, SF_SMALL)
-    monkeypatch.setattr(J, "BROADCAST_BYTE_LIMIT", -1)
-    big = renewal_df(spark, SF_SMALL)
-    assert small.count() == big.count()
-    assert small.exceptAll(big).count() == 0 and big.exceptAll(small).count() == 0
+def test_renewal_same_rows_whatever_the_join(spark, tmp_path):
+    """Orders without a date stay, with the customer broadcast or not."""
+    import shutil
+
+    for t in ("lineitem", "customer", "nation", "region"):
+        shutil.copy(f"{SF_SMALL}/{t}.parquet", tmp_path)
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    date = F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderdate"))
+    o.withColumn("o_orderdate", date).write.parquet(str(tmp_path / "orders.parquet"))
+    rows = {}
+    for limit in ("-1", "64m"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            rows[limit] = sorted(map(str, renewal_df(spark, str(tmp_path)).collect()))
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(rows["-1"]) == o.count() and rows["-1"] == rows["64m"]

@@ -1,83 +1,60 @@
-"""Randomised checks of the term key and the level rules against plain-Python
-models written from the rules as stated (not from any other code)."""
+"""Term keys and level rules against rows written out by hand."""
 
-import math
-import random
-import re
+import pytest
 
 from renewlens import config
 from renewlens.functions.levels import level_tag
 from renewlens.functions.terms import term_sort_columns
 
-SEASONS = config.SEASON_ORDER
-
-
-def model_term_key(term):
-    if term is None:
-        return (0, len(SEASONS), 0, "")
-    m = re.search(r"20[0-9]{2}", term)
-    year = int(m.group(0)) if m else 0
-    rest = term[: m.start()] + term[m.end():] if m else term
-    season = next((i for i, s in enumerate(SEASONS) if s in rest), len(SEASONS))
-    rest = re.sub(r"20[0-9]{2}", "", rest)
-    d = re.search(r"[0-9]+", rest)
-    return (year, season, int(d.group(0)) if d else 0, term)
-
-
-def random_term(rng):
-    parts = ["20" + str(rng.randint(0, 99)).zfill(2), "19" + str(rng.randint(0, 99)).zfill(2), "年", "季", "第", "期",
-             str(rng.randint(0, 300)), "-", "x", " ", *SEASONS]
-    return "".join(rng.choice(parts) for _ in range(rng.randint(0, 7)))
-
-
-def test_term_key_random(spark):
-    rng = random.Random(11)
-    terms = [random_term(rng) for _ in range(400)] + [None, "", "2020", "20201", "202020", "秋秋寒"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "i int, t string")
+WINTER, SPRING, SUMMER, AUTUMN, NONE = range(5)
+
+TERMS = [
+    # term, year, season, period
+    ("2023年秋季第5期", 2023, AUTUMN, 5),
+    ("2024春12", 2024, SPRING, 12),
+    ("秋2023寒3", 2023, WINTER, 3),
+    ("22023026", 2023, NONE, 0),
+    ("1995年秋季第10期", 0, AUTUMN, 1995),
+    ("2023-2024暑2", 2023, SUMMER, 2),
+    ("2020", 2020, NONE, 0),
+    ("20201", 2020, NONE, 1),
+    ("202020", 2020, NONE, 20),
+    ("秋秋寒", 0, WINTER, 0),
+    ("abc", 0, NONE, 0),
+    ("x 7 春", 0, SPRING, 7),
+    ("第03期2019年", 2019, NONE, 3),
+    ("暑2001-", 2001, SUMMER, 0),
+    ("期300寒1999", 0, WINTER, 300),
+    ("", 0, NONE, 0),
+    (None, 0, NONE, 0),
+]
+
+
+def test_term_keys(spark):
+    df = spark.createDataFrame([(i, t[0]) for i, t in enumerate(TERMS)], "i int, t string")
     got = df.select("i", *term_sort_columns("t", "k")).orderBy("i").collect()
-    for row, term in zip(got, terms):
-        want = model_term_key(term)
-        assert (row.k_year, row.k_season, int(row.k_period), row.k_text) == want, term
-
-
-def model_tag(v, rules, default, missing):
-    if v is None or math.isnan(v):
-        return missing
-    for r in rules:
-        lo, hi = r.get("min_prob"), r.get("max_prob")
-        lo_inc, hi_inc = r.get("min_inclusive", True), r.get("max_inclusive", False)
-        if lo is not None and (v < lo or (v == lo and not lo_inc)):
-            continue
-        if hi is not None and (v > hi or (v == hi and not hi_inc)):
-            continue
-        return r["label"]
-    return default
-
-
-def random_rules(rng):
-    cuts = sorted(rng.sample([0.0, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0], rng.randint(1, 4)))
-    rules = []
-    for i in range(rng.randint(1, 5)):
-        r = {"label": f"L{i}"}
-        if rng.random() < 0.8:
-            r["min_prob"] = rng.choice(cuts)
-        if rng.random() < 0.8:
-            r["max_prob"] = rng.choice(cuts)
-        for k in ("min_inclusive", "max_inclusive"):
-            if rng.random() < 0.6:
-                r[k] = rng.random() < 0.5
-        rules.append(r)
-    return rules
-
-
-def test_level_rules_random(spark):
-    rng = random.Random(5)
-    values = [None, float("nan"), -0.1, 0.0, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0, 1.5] + [rng.random() for _ in range(30)]
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, p double")
-    for _ in range(15):
-        rules = random_rules(rng)
-        missing = rng.choice([None, "MISS"])
-        kw = {} if missing is None else {"missing_label": missing}
-        got = [r.t for r in df.select("i", level_tag("p", rules, "DEF", **kw).alias("t")).orderBy("i").collect()]
-        want = [model_tag(v, rules, "DEF", rules[0]["label"] if missing is None else missing) for v in values]
-        assert got == want, rules
+    for row, (term, year, season, period) in zip(got, TERMS):
+        assert (row.k_year, row.k_season, int(row.k_period), row.k_text) == (year, season, period, term or ""), term
+
+
+VALUES = [None, float("nan"), -0.1, 0.0, 0.05, 0.1, 0.15, 0.2, 0.5, 1.0, 1.5]
+
+RULE_TABLES = [
+    # rules, label of a missing value (None: the first rule's), expected labels of VALUES
+    ([{"label": "a", "min_prob": 0.1}, {"label": "b"}], None, "a a b b b a a a a a a"),
+    ([{"label": "a", "min_prob": 0.1, "min_inclusive": False}, {"label": "b", "max_prob": 0.1}], None, "a a b b b - a a a a a"),
+    ([{"label": "a", "max_prob": 0.1, "max_inclusive": True}], "m", "m m a a a a - - - - -"),
+    ([{"label": "a", "min_prob": 0.05, "max_prob": 0.2}, {"label": "b", "min_prob": 0.1, "max_prob": 1.0, "max_inclusive": True}],
+     None, "a a - - a a a b b b -"),
+    ([{"label": "a", "min_prob": 0.5, "max_prob": 0.1}, {"label": "b", "min_prob": 0.2, "max_prob": 0.2}], "m", "m m - - - - - - - - -"),
+    ([{"label": "a", "min_prob": 0.2, "max_prob": 0.2, "max_inclusive": True}], "m", "m m - - - - - a - - -"),
+    (config.LEVEL_TAG_RULES, None, "S S D D B A A S S S S"),
+]
+
+
+@pytest.mark.parametrize("rules,missing,want", RULE_TABLES)
+def test_level_rules(spark, rules, missing, want):
+    df = spark.createDataFrame(list(enumerate(VALUES)), "i int, p double")
+    told = {} if missing is None else {"missing_label": missing}
+    got = [r.t for r in df.select("i", level_tag("p", rules, "-", **told).alias("t")).orderBy("i").collect()]
+    assert got == want.split()
