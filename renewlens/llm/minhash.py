@@ -13,8 +13,8 @@ Links only matter between different components, so posting lists are merged in
 rounds: every node of a list meets the list's hub; lists that are one component by
 then are skipped; lists that still hold several components meet further hubs; in
 the end the nodes of different components in a list meet directly, unless the number
-of shingles that they share with anyone rules the similarity out. No list is cut and
-no link between components is lost.
+of shingles that they share with anyone, or with the list's hub, rules the similarity
+out. No list is cut and no link between components is lost.
 
 Rows: documents with equal sets are one node; null, empty and wordless texts have
 no shingles, no links, and are components of their own; a text of fewer words than
@@ -39,6 +39,8 @@ MATCHES = 32
 COUNTERS = 1 << 18
 #: Hub rounds before the remaining components of a list meet directly.
 HUB_ROUNDS = 3
+#: How far (in units of ``central``) hubs of later rounds may lie from the most central node.
+HUB_SPREAD = 400
 #: Positions of the filter that thins the texts before they are shuffled for confirmation.
 FILTER_POSITIONS = 1 << 20
 
@@ -76,12 +78,9 @@ def signature(shingles: np.ndarray) -> np.ndarray:
         (((shingles[None, :] * _MUL[:, None]) + _ADD[:, None]) >> _U(32)).min(axis=1).astype(np.uint32)
 
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int = 75) -> bool:
-    """100 * intersection >= percent * union, on sorted distinct hashes."""
-    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-        return False
-    both = np.intersect1d(x, y, assume_unique=True).size
-    return 100 * both >= percent * (len(x) + len(y) - both)
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Number of common members of two sorted distinct arrays."""
+    return int(np.intersect1d(x, y, assume_unique=True).size)
 
 
 def _keys(sig: np.ndarray) -> np.ndarray:
@@ -137,7 +136,11 @@ def _frequency_table(nodes: DataFrame) -> np.ndarray:
 
 
 def postings(nodes: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """(key, node): every node under the pairs of its prefix, rarest first; lists of one are dropped."""
+    """(key, node, central): every node under the pairs of its prefix, rarest first.
+
+    ``central`` grows with the frequency of the node's pairs: of copies with edits, the one
+    nearest to what they have in common has the most frequent pairs.
+    """
     freq = nodes.sparkSession.sparkContext.broadcast(_frequency_table(nodes))
     width = COORDINATES - matches + 1
 
@@ -148,12 +151,13 @@ def postings(nodes: DataFrame, matches: int = MATCHES) -> DataFrame:
             keys = _keys(_sigs(batch, "sig"))
             often = table_[_counter(keys)]
             order = np.lexsort((keys, often), axis=1)[:, :width]
-            return {"keys": list(np.take_along_axis(keys, order, 1))}
+            return {"keys": list(np.take_along_axis(keys, order, 1)),
+                    "central": (1000 * np.log2(np.maximum(often, 1)).mean(axis=1)).astype(np.int64)}
 
         return prefix
 
-    rows = python_columns(nodes.select("node", "sig"), make, "keys array<long>", text="sig", drop=("sig",))
-    return rows.select("node", F.explode("keys").alias("key"))
+    rows = python_columns(nodes.select("node", "sig"), make, "keys array<long>, central long", text="sig", drop=("sig",))
+    return rows.select("node", "central", F.explode("keys").alias("key"))
 
 
 def _count_matches(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
@@ -194,19 +198,24 @@ def _sets(need: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: in
     return written(sets.join(need.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets are similar."""
+def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ok, both): whether the full shingle sets are similar, and how many shingles they have in common."""
 
     def check():
-        def confirm(batch):
+        def compare(batch):
             xs, ys = batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()
-            return {"ok": [similar(np.frombuffer(x, _U), np.frombuffer(y, _U), percent) for x, y in zip(xs, ys)]}
+            ok, common = [], []
+            for x, y in zip(xs, ys):
+                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
+                common.append(overlap(x, y))
+                ok.append(100 * common[-1] >= percent * (len(x) + len(y) - common[-1]))
+            return {"ok": ok, "both": common}
 
-        return confirm
+        return compare
 
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b"))
-    return python_columns(both, check, "ok boolean", text="set_a", drop=("set_a", "set_b")).where("ok").select("a", "b")
+    return python_columns(both, check, "ok boolean, both long", text="set_a", drop=("set_a", "set_b"))
 
 
 def _shared_sizes(sets: DataFrame) -> DataFrame:
@@ -252,10 +261,19 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _hub(round_: int):
+    """A list's hub: its most central node, in later rounds one of the most central."""
+    shift = F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(HUB_SPREAD)) if round_ else F.lit(0).cast("long")
+    order = -(F.col("central") + shift)
+    return F.min(F.struct(order.alias("h"), F.col("node").alias("hub"), F.col("label").alias("hl")))
+
+
 def _hub_pairs(lists: DataFrame, round_: int) -> DataFrame:
-    """Each node of a list with the list's hub of this round, where their components differ."""
-    pick = F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), F.col("node").alias("hub"), F.col("label").alias("hl")))
-    hubs = (lists.groupBy("key").agg(pick.alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    """Each node of a list with the list's hub of this round, where their components differ.
+
+    Hubs are the most central nodes, which most of a group of copies is similar to.
+    """
+    hubs = (lists.groupBy("key").agg(_hub(round_).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
             .where("lo != hi").select("key", "p.hub", "p.hl"))
     met = lists.join(hubs, "key").where("label != hl")
     return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
@@ -268,19 +286,34 @@ def _rest_lists(lists: DataFrame) -> DataFrame:
     return lists.join(rest, "key")
 
 
-def _rest_pairs(lists: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Nodes of different components in one list, where the sizes allow the similarity.
+def _rest_pairs(lists: DataFrame, sizes: DataFrame, hubs: DataFrame, met: DataFrame | None, percent: int) -> DataFrame:
+    """Nodes of different components in one list, unless a bound rules the similarity out.
 
     Two sets have at most the smaller number of shingles in common that each shares with any
-    node left; a copy with enough words of its own is similar to none and meets none.
+    node left, so a copy with enough words of its own meets none. Where both met their list's
+    first hub, they have at most the smaller part of the hub in common, and outside it the
+    smaller part of what each shares with any node left. Both bounds are exact: the hub is
+    among the nodes left, so what a node alone has lies outside the hub.
     """
-    rows = lists.join(sizes, "node")
-    other = rows.select("key", *[F.col(c).alias(f"{c}_2") for c in ("node", "label", "n", "common")])
-    most = F.least("common", "common_2")
-    fits = 100 * most >= percent * (F.col("n") + F.col("n_2") - most)
-    met = rows.where(100 * F.col("common") >= percent * F.col("n")).join(
-        other, (rows["key"] == other["key"]) & (F.col("node") < F.col("node_2")) & (F.col("label") != F.col("label_2")) & fits)
-    return met.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
+    rows = lists.join(sizes, "node").where(100 * F.col("common") >= percent * F.col("n"))
+    rows = rows.join(hubs, "key")
+    if met is None:
+        rows = rows.withColumn("inside", F.lit(None).cast("long"))
+    else:
+        pair = met.select("a", "b", "both")
+        rows = (rows.withColumns({"a": F.least("node", "hub"), "b": F.greatest("node", "hub")}).join(pair, ["a", "b"], "left")
+                .withColumn("inside", F.when(F.col("node") == F.col("hub"), F.col("common")).otherwise(F.col("both"))))
+    rows = rows.select("key", "node", "label", "n", "common", "inside")
+    other = rows.select("key", *[F.col(c).alias(f"{c}_2") for c in ("node", "label", "n", "common", "inside")])
+    allows = lambda most: 100 * most >= percent * (F.col("n") + F.col("n_2") - most)
+    fits = allows(F.least("common", "common_2"))
+    by_hub = (F.least(F.col("inside"), F.col("inside_2"))
+              + F.least(F.col("common") - F.col("inside"), F.col("common_2") - F.col("inside_2")))
+    known = F.col("inside").isNotNull() & F.col("inside_2").isNotNull()
+    near = F.when(known, allows(by_hub)).otherwise(F.lit(True))
+    pairs = rows.join(other, (rows["key"] == other["key"]) & (F.col("node") < F.col("node_2"))
+                      & (F.col("label") != F.col("label_2")) & fits & near)
+    return pairs.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS,
@@ -292,19 +325,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     post = postings(nodes, matches)
     shared = post.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     lists = written(post.join(shared, "key"), "lists")
-    edges, labels = None, None
+    edges, labels, first_met = None, None, None
 
-    def link(found: DataFrame, sets: DataFrame | None) -> None:
+    def link(found: DataFrame, sets: DataFrame | None) -> DataFrame | None:
         nonlocal edges, labels
         likely = written(_count_matches(found, nodes, matches), "likely")
         if likely.isEmpty():
-            return
+            return None
         if sets is None:
             ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
             sets = _sets(written(ends.join(nodes.select("node", "rep"), "node"), "need"), docs, id_col, text_col, size)
-        links = written(_confirm(likely, sets, percent), "links")
+        compared = written(_compare(likely, sets, percent), "compared")
+        links = compared.where("ok").select("a", "b")
         edges = links if edges is None else edges.union(links)
         labels = components(edges)
+        return compared
 
     def marked() -> DataFrame:
         if labels is None:
@@ -312,12 +347,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
     for round_ in range(HUB_ROUNDS):
-        link(_hub_pairs(marked(), round_), None)
+        met = link(_hub_pairs(marked(), round_), None)
+        first_met = met if round_ == 0 else first_met
     rest = written(_rest_lists(marked()), "rest")
     if not rest.isEmpty():
         need = written(rest.select("node").distinct().join(nodes.select("node", "rep"), "node"), "need")
         sets = _sets(need, docs, id_col, text_col, size)
-        link(_rest_pairs(rest, _shared_sizes(sets), percent), sets)
+        hubs = rest.groupBy("key").agg(_hub(0).alias("p")).select("key", "p.hub")
+        link(_rest_pairs(rest, _shared_sizes(sets), hubs, first_met, percent), sets)
     result = signed.select("_id", "n_shingles", "node", "text_hash")
     if labels is not None:
         result = result.join(labels, "node", "left")
