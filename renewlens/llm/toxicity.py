@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from renewlens.llm.common import fold, named, python_columns, select_as, table, texts_of
 
-PER_CLASS = 4000
+PER_CLASS = 1500
 SAMPLE_WORDS = 4096
 #: Texts of the sample that must hold a word before it is a feature.
 MIN_TEXTS = 4
@@ -214,13 +214,13 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_
                 if len(words) > SAMPLE_WORDS:
                     words = sorted(words, key=xxhash.xxh3_64_intdigest)[:SAMPLE_WORDS]
                 out.append(words)
-            return {"words": out}
+            return {"words": [b"\n".join(w) for w in out]}
 
         return run
 
-    got = python_columns(texts, make, "words array<binary>", drop=("_text",)).collect()
-    got = sorted((str(r["_id"]), r["_y"], [bytes(w) for w in r["words"]]) for r in got)
-    return [y for _, y, _ in got], [w for _, _, w in got]
+    got = python_columns(texts, make, "words binary", drop=("_text",)).collect()
+    got = sorted((str(r["_id"]), r["_y"], bytes(r["words"])) for r in got)
+    return [y for _, y, _ in got], [w.split(b"\n") if w else [] for _, _, w in got]
 
 
 def learned(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
