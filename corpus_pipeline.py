@@ -15,6 +15,8 @@ from renewlens.llm.common import fold, table, written
 
 #: A text whose largest language share is below this has no language of its own and is rejected.
 MIN_SHARE = 0.4
+#: A byte of a word, as the near-duplicate operator splits words.
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def _columns(docs: DataFrame) -> tuple[str, ...]:
@@ -36,15 +38,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    number = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    found = minhash.near_duplicates(docs).where("kept")
-    # Rows of one id in one group are one document: the one whose text hash is smallest.
-    found = found.groupBy(number.alias("_number"), "component_id", (F.col("n_shingles") == 0).alias("_empty")).agg(
-        F.min("text_hash").alias("_hash")).select("_number", "_hash").distinct()
-    rows = docs.withColumns({"_number": number, "_hash": F.xxhash64("text")}).join(found, ["_number", "_hash"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("_number", "_hash").orderBy("_number"))
-    return rows.withColumn("_first", first).where("_first = 1").select(*_columns(docs))
+    """One row of each group of near-duplicates: the smallest id (a null one last), then the smallest
+    text hash; and every document without words."""
+    found = minhash.near_duplicates(docs).where("label is not null")
+    # Groups go by the component's label: ids may be null or repeated under unrelated texts.
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("p")
+    one = found.groupBy("label").agg(smallest).select(F.col("p.doc_id").alias("_id"), F.col("p.text_hash").alias("_hash"))
+    worded = F.coalesce("text", F.lit("")).rlike(WORD)
+    rows = docs.where(worded).withColumn("_hash", F.xxhash64("text")).alias("d")
+    rows = rows.join(one.alias("o"), F.col("d.doc_id").eqNullSafe(F.col("o._id")) & (F.col("d._hash") == F.col("o._hash")), "left_semi")
+    # Rows of one id and one text are the same document.
+    first = F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("doc_id"))
+    rows = rows.withColumn("_first", first).where("_first = 1").select(*_columns(docs))
+    return rows.union(docs.where(~worded))
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

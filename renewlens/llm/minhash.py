@@ -318,7 +318,11 @@ def _rest_pairs(lists: DataFrame, sizes: DataFrame, hubs: DataFrame, met: DataFr
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS,
                     percent: int = 75, matches: int = MATCHES) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept, text_hash`` per document."""
+    """``doc_id, n_shingles, component_id, kept, text_hash, label`` per document.
+
+    ``component_id`` is an id and may be shared by unrelated components (repeated and null ids);
+    ``label`` is the component's own: its smallest node, null without words.
+    """
     signed = written(signatures(docs, id_col, text_col, size), "signed")
     nodes = written(signed.where("node is not null").groupBy("node").agg(
         F.min("_id").alias("rep"), F.first("sig").alias("sig")), "nodes")
@@ -367,11 +371,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = named_by.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("rep").alias("name"))
     result = result.join(names, "label", "left").withColumn("component_id", F.coalesce("name", "_id"))
     return result.select(F.col("_id").alias(id_col), "n_shingles", "component_id",
-                         F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
+                         F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash", "label")
 
 
 def query(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "label")
 
 
 #: All pairs that share a shingle, counted on the full sets, then components by reachability.

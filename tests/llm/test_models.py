@@ -251,3 +251,16 @@ def test_repeated_and_null_rows_through_the_stages(spark, docs, rows):
     assert len(seen) == len(set(seen))
     assert {0, 1, 2, 3, 5, 12, 13, 14, 15, 16, 17, 18} <= {r["doc_id"] for r in kept}
     assert 10 not in {r["doc_id"] for r in kept}
+
+
+def test_near_duplicates_keep_unrelated_texts_under_null_and_repeated_ids(spark):
+    """Null ids and repeated ids do not make one group of unrelated texts; wordless rows all stay."""
+    rng = random.Random(12)
+    a, b, c, d = (sentence(rng, 60) for _ in range(4))
+    rows = [(None, a), (None, a + " end"), (None, b), (None, b), (7, c), (7, d), (9, d), (12, c + " end"), (None, None), (None, ""), (5, " \n"), (5, " \n")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, SMALL).collect()]
+    with_words = [(i, t) for i, t in kept if t and t.split()]
+    assert sorted(t[:60] for i, t in with_words if i is None) == sorted([a[:60], b[:60]])
+    assert sorted(t for i, t in with_words if i is not None) == sorted([c, d]) and {i for i, _ in with_words} == {None, 7}
+    assert sorted(map(str, (x for x in kept if x not in with_words))) == sorted(map(str, rows[-4:]))
