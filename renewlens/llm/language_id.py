@@ -5,7 +5,9 @@ affixes (first and last one to four bytes), byte n-grams (two and three, with wo
 edges) and of the word itself (lexicon); learned transitions between the languages
 of neighbouring words let a text switch. Forward-backward gives each word's
 marginals; a text's language is the one with the largest share of them, its score
-that share.
+that share. A word over ``WORD_BYTES`` is as many positions of the chain as it has
+pieces of that size, in training and in prediction, so text without blanks counts
+by all its bytes.
 
 The field is fitted on a bounded sample: at most ``PER_LANGUAGE`` documents a
 language, of each at most ``SEGMENT`` neighbouring words. Half of the training
@@ -36,8 +38,10 @@ WEIGHTS = 1 << 17
 EPOCHS = 4
 BATCH = 32
 RATE = 0.15
-#: Longest word (bytes) whose features are taken whole; longer ones use both ends.
+#: Longest position of the chain (bytes); longer words are cut into several.
 WORD_BYTES = 64
+#: Bytes of words whose features are taken at once.
+FEATURE_BYTES = 500_000
 #: Words per step of the forward-backward scan.
 STEP = 64
 
@@ -45,9 +49,22 @@ _LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = re.compile(rb"[a-z\x80-\xff]")
 
 
+def pieces(word: bytes) -> list[bytes]:
+    """A word in consecutive pieces of nearly equal size and at most WORD_BYTES, cut between characters."""
+    k = -(-len(word) // (WORD_BYTES - 3))
+    cuts = [len(word) * i // k for i in range(k + 1)]
+    for i in range(1, k):
+        while word[cuts[i]] & 0xC0 == 0x80:
+            cuts[i] -= 1
+    return [word[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def split_words(text: bytes) -> list[bytes]:
-    """Lower-cased words at blanks; lower-casing follows Unicode."""
-    return text.decode("utf-8", "replace").lower().encode("utf-8").split()
+    """Lower-cased words at blanks, long ones in pieces; lower-casing follows Unicode."""
+    words = text.decode("utf-8", "replace").lower().encode("utf-8").split()
+    if not words or max(map(len, words)) <= WORD_BYTES:
+        return words
+    return [p for w in words for p in (pieces(w) if len(w) > WORD_BYTES else (w,))]
 
 
 def has_letter(word: bytes) -> bool:
@@ -64,12 +81,11 @@ def _hash(x: np.ndarray, seed: int) -> np.ndarray:
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Weight indices of all words' features, flat, and the number of features of each word."""
-    cut = [w if len(w) <= WORD_BYTES else w[: WORD_BYTES // 2] + w[-WORD_BYTES // 2 :] for w in words]
-    buf = b"".join(b"\x01" + w + b"\x02" for w in cut) + bytes(8)
-    lens = np.fromiter(map(len, cut), np.int64, len(cut)) + 2
-    begin = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64) if len(cut) else np.zeros(0, np.int64)
+    buf = b"".join(b"\x01" + w + b"\x02" for w in words) + bytes(8)
+    lens = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    begin = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64) if len(words) else np.zeros(0, np.int64)
     blocks = np.ndarray((len(buf) - 7,), "<u8", buf, 0, (1,))
-    owner = np.repeat(np.arange(len(cut)), lens)
+    owner = np.repeat(np.arange(len(words)), lens)
     pos = np.arange(len(owner))
     left = (begin + lens)[owner] - pos
     idx, own = [], []
@@ -82,25 +98,27 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         mask = np.uint64((1 << 8 * n) - 1)
         idx += [_hash(blocks[begin[ok] + 1] & mask, 10 + n), _hash(blocks[begin[ok] + lens[ok] - 1 - n] & mask, 20 + n)]
         own += [ok, ok]
-    whole = np.fromiter((hash_word(w) for w in cut), np.uint64, len(cut))
+    whole = np.fromiter((hash_word(w) for w in words), np.uint64, len(words))
     idx.append(_hash(whole, 30))
-    own.append(np.arange(len(cut)))
+    own.append(np.arange(len(words)))
     idx, own = np.concatenate(idx).astype(np.int64), np.concatenate(own)
     order = np.argsort(own, kind="stable")
-    return idx[order], np.bincount(own, minlength=len(cut))
+    return idx[order], np.bincount(own, minlength=len(words))
 
 
 def hash_word(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-def emissions(words: list[bytes], weights: np.ndarray, chunk: int = 50_000) -> np.ndarray:
+def emissions(words: list[bytes], weights: np.ndarray, chunk: int = FEATURE_BYTES) -> np.ndarray:
     """(words, languages) emission scores."""
     out = np.zeros((len(words), weights.shape[1]), np.float32)
-    for a in range(0, len(words), chunk):
-        idx, n = features(words[a : a + chunk])
+    at = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) // chunk
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(words)]
+    for a, b in zip(cuts, cuts[1:]):
+        idx, n = features(words[a:b])
         starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-        out[a : a + len(n)] = np.add.reduceat(weights[idx], starts, axis=0) / np.sqrt(n)[:, None]
+        out[a:b] = np.add.reduceat(weights[idx], starts, axis=0) / np.sqrt(n)[:, None]
     return out
 
 
@@ -280,7 +298,7 @@ def sample(docs: DataFrame, lang_col: str, id_col: str, text_col: str, learn: Co
             for t, h in zip(texts_of(batch, "_text"), batch.column("h").to_pylist()):
                 words = [w for w in split_words(t) if has_letter(w)]
                 a = (h % max(1, len(words) - segment + 1)) if len(words) > segment else 0
-                out.append([w[:WORD_BYTES] for w in words[a : a + segment]])
+                out.append(words[a : a + segment])
             return {"words": out}
 
         return cut

@@ -68,6 +68,25 @@ def test_language_held_out_accuracy(spark):
     assert right >= 0.97 * n
 
 
+def test_long_words_count_by_all_their_bytes(spark):
+    """Text without blanks is judged by its inside too, and learned from whole."""
+    docs = spark.read.parquet(f"{SF_ORACLE}/documents.parquet")
+    field = language_id.learned_field(docs, F.col("doc_id") % 2 == 0)
+    en, de = (docs.where((F.col("lang") == x) & (F.col("n_chars") > 900) & (F.col("doc_id") % 2 == 1)).orderBy("doc_id").first()["text"].encode() for x in ("en", "de"))
+    for sep in (b"", b"_"):
+        end = sep.join(de.split())[:40].decode("utf-8", "ignore").encode()
+        inside = sep.join(en.split())
+        pred, _ = field.predict([end + inside + end, sep.join(de.split()), inside])
+        assert pred == ["en", "de", "en"]
+    word = "grüße中文".encode() * 40
+    cut = language_id.split_words(b"a " + word + b" " + b"x" * 64)
+    assert b"".join(cut) == b"a" + word + b"x" * 64 and cut[-1] == b"x" * 64
+    assert all(len(p) <= language_id.WORD_BYTES and p.decode() for p in cut)
+    one = spark.createDataFrame([(1, word.decode(), "xx")], "doc_id long, text string, lang string")
+    (_, learned), = language_id.sample(one, "lang", "doc_id", "text", F.lit(True))
+    assert b"".join(learned) == word
+
+
 def test_language_rows(spark, docs, rows, no_docs):
     labelled = docs.withColumn("lang", F.when(F.col("doc_id") < 3, "en").when(F.col("doc_id") < 6, "xx"))
     field = language_id.learned_field(labelled, F.lit(True))
