@@ -13,8 +13,9 @@ get a weight; a text's logit is the bias plus the weights of its distinct words,
 toxic word shows in a text of any length.
 
 The classifier is fitted on a bounded sample: at most ``PER_CLASS`` texts of either
-label, of each at most ``SAMPLE_WORDS`` distinct words, both chosen by hash. Scoring
-reads every word of every text.
+label, of each at most ``SAMPLE_WORDS`` distinct words, both chosen by hash. Tasks count
+the sample's features and cut the texts down to those with a weight, so words do not
+pass through the driver. Scoring reads every word of every text.
 
 Rows: null and empty texts get the score of a text without words; rows with a null
 label are not learned from; a document labelled several times is learned from as
@@ -25,13 +26,14 @@ a document and documents without a label are fine.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from renewlens.llm.common import fold, named, python_columns, select_as, table, texts_of
+from renewlens.llm.common import fold, named, python_columns, select_as, table, text_slices, texts_of, written
 
-PER_CLASS = 1500
+PER_CLASS = 4000
 SAMPLE_WORDS = 4096
 #: Texts of the sample that must hold a word before it is a feature.
 MIN_TEXTS = 4
@@ -137,29 +139,60 @@ def fit(labels, words: list[list[bytes]], groups=IDENTITY_GROUPS, fairness: floa
     """AdaGrad on log-loss plus the counterfactual penalty; ``words`` holds each text's distinct words."""
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.5
-        share = min(max(share, 1e-6), 1 - 1e-6)
-        return Classifier(np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share))))
+        return constant(y)
+    terms, of = swaps(groups), feature_rows()
+    used = np.union1d(selected(y, [of(ws) for ws in words], min_texts), term_features(terms))
+    data, other = zip(*[placed(ws, used, terms, of) for ws in words])
+    return descend(y, used, data, other, fairness, seed)
+
+
+def constant(y: np.ndarray) -> Classifier:
+    """The share of the only label as everyone's score."""
+    share = float(y.mean()) if len(y) else 0.5
+    share = min(max(share, 1e-6), 1 - 1e-6)
+    return Classifier(np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share))))
+
+
+def swaps(groups) -> dict[bytes, bytes]:
+    """Each identity term's counterpart."""
     terms = {}
     for group in groups:
         g = [t.lower().encode("utf-8") for t in group]
         terms.update(zip(g, g[1:] + g[:1]))
+    return terms
+
+
+def term_features(terms: dict[bytes, bytes]) -> np.ndarray:
+    return np.array([x for t in terms for x in features(t)], np.int64)
+
+
+def feature_rows():
+    """A function from words to all their features; it remembers at most CACHE words."""
     made: dict[bytes, np.ndarray] = {}
 
     def of(w):
-        if w not in made:
-            made[w] = np.array(features(w), np.int64)
-        return made[w]
-
-    def row(ws):
-        return np.concatenate([of(w) for w in ws]) if ws else np.zeros(0, np.int64)
-
-    rows = [row(ws) for ws in words]
-    used = np.union1d(selected(y, rows, min_texts), np.array([x for t in terms for x in features(t)], np.int64))
-    place = lambda f: np.searchsorted(used, f[np.isin(f, used)])
-    data = [place(r) for r in rows]
-    other = [place(row([terms.get(w, w) for w in ws])) if any(w in terms for w in ws) else None for ws in words]
-    del rows, made
+        got = made.get(w)
+        if got is None:
+            got = np.array(features(w), np.int64)
+            if len(made) < CACHE:
+                made[w] = got
+        return got
+
+    return lambda ws: np.concatenate([of(w) for w in ws]) if ws else np.zeros(0, np.int64)
+
+
+def placed(words: list[bytes], used: np.ndarray, terms: dict[bytes, bytes], of) -> tuple[np.ndarray, np.ndarray | None]:
+    """Places in ``used`` of a text's features, and of its counterfactual's if it has identity terms."""
+
+    def place(f):
+        at = np.minimum(np.searchsorted(used, f), max(len(used) - 1, 0)).astype(np.int32)
+        return at[used[at] == f] if len(used) else at[:0]
+
+    return place(of(words)), place(of([terms.get(w, w) for w in words])) if any(w in terms for w in words) else None
+
+
+def descend(y: np.ndarray, used: np.ndarray, data, other, fairness: float, seed: int) -> Classifier:
+    """The descent over the texts' places (and their counterfactuals') in ``used``."""
     # Labels are weighed evenly, so the limit of one half does not depend on how many of each were sampled.
     share = y.mean()
     prior = float(np.log(share / (1 - share)))
@@ -193,8 +226,8 @@ def fit(labels, words: list[list[bytes]], groups=IDENTITY_GROUPS, fairness: floa
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str,
-           per_class: int = PER_CLASS) -> tuple[list[int], list[list[bytes]]]:
-    """Labels and distinct words of at most ``per_class`` labelled texts of either label, chosen by hash."""
+           per_class: int = PER_CLASS) -> DataFrame:
+    """(_id, _y, words) of at most ``per_class`` labelled texts of either label, chosen by hash; words are distinct."""
     known = (labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
              .where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull()))
     known = known.where(learn)
@@ -218,16 +251,62 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_
 
         return run
 
-    got = python_columns(texts, make, "words binary", drop=("_text",)).collect()
-    got = sorted((str(r["_id"]), r["_y"], bytes(r["words"])) for r in got)
-    return [y for _, y, _ in got], [w.split(b"\n") if w else [] for _, _, w in got]
+    return python_columns(texts, make, "words binary", drop=("_text",))
+
+
+def _words(batch) -> list[list[bytes]]:
+    return [w.split(b"\n") if w else [] for w in batch.column("words").to_pylist()]
+
+
+def selected_of(texts: DataFrame, min_texts: int = MIN_TEXTS) -> np.ndarray:
+    """``selected`` for a sample in a table: counts per batch, sums by feature; at most MAX_FEATURES come back."""
+
+    def count(batches):
+        of = feature_rows()
+        for batch in batches:
+            for part in text_slices(batch, "words"):
+                y = part.column("_y").to_numpy()
+                sets = [np.unique(of(ws)) for ws in _words(part)]
+                found, inverse, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+                toxic = np.bincount(inverse, np.repeat(y, [len(s) for s in sets]), len(found)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n), pa.array(toxic)], names=["f", "n", "toxic"])
+
+    size = texts.agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("toxic")).first()
+    share = size["toxic"] / size["n"]
+    n = F.col("n").cast("double")
+    z = F.abs(F.col("toxic") - n * share) / F.sqrt(n * share * (1 - share))
+    sums = (texts.select("_y", "words").mapInArrow(count, "f long, n long, toxic long").groupBy("f")
+            .agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")))
+    best = sums.where(F.col("n") >= min_texts).withColumn("z", z).where(F.col("z") >= DEVIATIONS).orderBy(F.desc("z"), "f").limit(MAX_FEATURES)
+    return np.sort(np.array([r["f"] for r in best.select("f").collect()], np.int64))
 
 
 def learned(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
             label_col: str = "toxic", groups=IDENTITY_GROUPS) -> Classifier:
     """The classifier fitted on the labelled rows that ``learn`` (a condition on ``_id``) allows."""
-    y, words = sample(docs, labels, F.lit(True) if learn is None else learn, id_col, text_col, label_col)
-    return fit(y, words, groups)
+    texts = written(sample(docs, labels, F.lit(True) if learn is None else learn, id_col, text_col, label_col), "toxic-sample")
+    present = [r["_y"] for r in texts.select("_y").distinct().collect()]
+    if len(present) < 2:
+        return constant(np.array(present, float))
+    terms = swaps(groups)
+    used = np.union1d(selected_of(texts), term_features(terms))
+    shared = docs.sparkSession.sparkContext.broadcast((used, terms))  # at most MAX_FEATURES and the terms' features
+
+    def make():
+        used, terms = shared.value
+        of = feature_rows()
+
+        def run(batch):
+            data, other = zip(*[placed(ws, used, terms, of) for ws in _words(batch)])
+            return {"data": list(data), "other": list(other)}
+
+        return run
+
+    got = python_columns(texts, make, "data array<int>, other array<int>", text="words", drop=("words",)).collect()
+    got = sorted(((str(r["_id"]), r["_y"], r["data"], r["other"]) for r in got), key=lambda r: r[:3])
+    array = lambda x: None if x is None else np.array(x, np.int32)
+    return descend(np.array([r[1] for r in got], float), used, [array(r[2]) for r in got], [array(r[3]) for r in got],
+                   FAIRNESS, 5)
 
 
 def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text",

@@ -204,6 +204,20 @@ def test_toxicity_rows(spark, docs, rows, no_docs):
     assert toxicity.score(no_docs, model).count() == 0
 
 
+def test_toxicity_learns_rare_words_of_all_sampled_labels(spark):
+    """Words of 24 among 6,000 labelled texts reach a weight; the table form fits as the plain one does."""
+    rng = random.Random(6)
+    rows = [(i, sentence(rng, 8) + (f" women vile{'qwertyuiop'[i % 125]}x" if i % 2 and i % 125 < 10 else "")) for i in range(6000)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.learned(texts, labels)
+    order = sorted(rows, key=lambda r: str(r[0]))
+    plain = toxicity.fit([i % 2 for i, _ in order], [sorted(toxicity.word_list(t.encode())) for _, t in order])
+    assert (model.features == plain.features).all() and np.allclose(model.weights, plain.weights) and np.isclose(model.bias, plain.bias)
+    words = {w for _, t in rows for w in t.encode().split() if w.startswith(b"vile")}
+    assert len(words) > 5 and {toxicity.feature(w) for w in words} <= set(model.features.tolist())
+
+
 # -- the pipeline -----------------------------------------------------------
 
 
