@@ -54,9 +54,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark windows do not contaminate."""
+    """Documents that benchmark windows, those of items without an id too, do not contaminate."""
     columns = _columns(docs)
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=columns)
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=columns, unnamed=True)
     return _kept(found, columns, ~F.col("contaminated"))
 
 

@@ -157,13 +157,16 @@ class Searcher:
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text",
-                      size: int = WINDOW) -> DataFrame:
-    """(window, item_ids): each distinct window of the benchmark with the ids of its items."""
+                      size: int = WINDOW, unnamed: bool = False) -> DataFrame:
+    """(window, item_ids): each distinct window of the benchmark with the ids of its items.
+
+    With ``unnamed``, the windows of rows without an id count too; they bring no id.
+    """
 
     def make():
         return lambda batch: {"w": [sorted(set(windows_of(words_of(t), size))) for t in texts_of(batch, "_text")]}
 
-    items = select_as(benchmark, item_col, text_col).where("_id is not null")
+    items = select_as(benchmark, item_col, text_col).where(F.lit(unnamed) | F.col("_id").isNotNull())
     pairs = (python_columns(items, make, "w array<binary>", drop=("_text",))
              .select(F.col("_id").cast("string").alias("i"), F.explode("w").alias("w")).distinct())
     return pairs.groupBy("w").agg(F.sort_array(F.collect_list("i")).alias("items"))
@@ -171,7 +174,7 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW,
-                  keep: tuple[str, ...] = (), pass_windows: int = PASS_WINDOWS) -> DataFrame:
+                  keep: tuple[str, ...] = (), pass_windows: int = PASS_WINDOWS, unnamed: bool = False) -> DataFrame:
     """Search all windows of ``benchmark`` in all documents.
 
     Returns per document ``doc_id``, ``n_words``, ``n_hit``, ``n_items``,
@@ -180,7 +183,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     in passes of at most ``pass_windows``; a benchmark beyond that is searched in
     several passes whose findings are merged per document.
     """
-    windows = benchmark_windows(benchmark, item_col, item_text_col, size)
+    windows = benchmark_windows(benchmark, item_col, item_text_col, size, unnamed)
     n = windows.count()
     # The windows of a pass travel in the task's closure: at most ``pass_windows`` strings.
     if n <= pass_windows:

@@ -297,3 +297,15 @@ def test_near_duplicates_keep_unrelated_texts_under_null_and_repeated_ids(spark)
     assert sorted(t[:60] for i, t in with_words if i is None) == sorted([a[:60], b[:60]])
     assert sorted(t for i, t in with_words if i is not None) == sorted([c, d]) and {i for i, _ in with_words} == {None, 7}
     assert sorted(map(str, (x for x in kept if x not in with_words))) == sorted(map(str, rows[-4:]))
+
+
+def test_benchmark_items_without_an_id_contaminate(spark, tmp_path):
+    rng = random.Random(15)
+    passage, clean = sentence(rng, 30), sentence(rng, 30)
+    spark.createDataFrame([(None, passage), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    df = spark.createDataFrame([(1, passage), (2, clean)], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.clean_of_benchmark(spark, df, str(tmp_path)).collect()] == [2]
+    bench = spark.read.parquet(str(tmp_path / "benchmark.parquet"))
+    found = {r["doc_id"]: r for r in decontaminate.decontaminate(df, bench, unnamed=True).collect()}
+    assert (found[1]["n_hit"], found[1]["n_items"], found[1]["contaminated"]) == (30, 0, True)
+    assert found[1]["items_sha256"] == hashlib.sha256(b"").hexdigest()
