@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from renewlens.llm import decontaminate, hnsw, language_id, lm_scoring, minhash, pii, prefix_trie, resharding, structure_repair, token_files, toxicity, tree_bpe
+from renewlens.llm import decontaminate, hnsw, language_id, lm_scoring, minhash, pii, prefix_trie, resharding, size_join, structure_repair, token_files, toxicity, tree_bpe
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_resharding": resharding.query,
     "op9_decontaminate": decontaminate.query,
     "op10_toxicity": toxicity.query,
+    "op11_size_join": size_join.query,
     "op12_prefix_trie": prefix_trie.query,
     "op13_structure_repair": structure_repair.query,
 }
@@ -22,5 +23,6 @@ QUERIES = {
 ORACLES = {
     "op4_minhash": minhash.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
+    "op11_size_join": size_join.ORACLE,
     "op12_prefix_trie": prefix_trie.ORACLE,
 }
