@@ -10,8 +10,10 @@ of each size.
 An inverted list of a large set is not one shingle's (those of common passages would hold
 unrelated texts) but a part's: shingles are dealt by hash to a number of parts fixed by size
 class, and linked sets differ in at most d = a + b - 2 need(a, b) shingles, so in at most d
-parts. Of the first parts up to the one that makes d + 1 non-empty, one at least is
-then equal in both and not empty, so each set is posted under its first d + 1 non-empty parts.
+parts. A set with p non-empty parts has at least p - d of them in common with any set it
+links with, so of its rarest d + 1 (in one order of all parts, by how many documents hold
+them) one is common too. Parts that no other set holds are the rarest: a set with more than
+d of these, as of own words around a common passage, is in no list at all.
 
 Links only matter between different components. Each set of a list first meets the list's
 hub, its most central set; then those outside the hub's component meet the most central of
@@ -85,7 +87,7 @@ def subset_plan(n: int, bound: int, percent: int = PERCENT) -> tuple[tuple[int,
 
 @lru_cache(1 << 14)
 def part_plan(n: int, percent: int = PERCENT) -> tuple[tuple[int, int, int], ...]:
-    """(class, parts of the class, entries to post) for each class of the smaller size of a pair that n takes part in."""
+    """(class, parts of the class, most parts that differ) for each class of the smaller size of a pair that n takes part in."""
     low, high = _sizes(n, percent)
     differ = lambda total: total * (100 - percent) // (100 + percent)  # noqa: E731  at most, for a + b = total
     out = []
@@ -93,7 +95,7 @@ def part_plan(n: int, percent: int = PERCENT) -> tuple[tuple[int, int, int], ...
     for j in range(bisect_right(_CLASSES, max(low, 1)) - 1, own + 1):
         last = _CLASSES[j + 1] - 1
         parts = int(SPARE_PARTS * differ(last + 100 * last // percent)) + 3
-        out.append((j, parts, differ(n + (high if j == own else last)) + 1))
+        out.append((j, parts, differ(n + (high if j == own else last))))
     return tuple(out)
 
 
@@ -101,7 +103,7 @@ def boundary(counts: dict[int, int], percent: int = PERCENT) -> int:
     """The size below which sets are small, least in cost over ``counts`` (sets of each size up to MOST_SMALL)."""
     def cost(x):
         small = sum(k * sum(comb(n, s) for *_, s in subset_plan(n, x, percent)) for n, k in counts.items() if n < x)
-        large = sum(k * sum(e for *_, e in part_plan(n, percent)) for n, k in counts.items() if n >= _sizes(x, percent)[0])
+        large = sum(k * sum(min(n, parts) for _, parts, _ in part_plan(n, percent)) for n, k in counts.items() if n >= _sizes(x, percent)[0])
         return small + SCAN_COST * large
 
     return min(range(1, MOST_SMALL + 2), key=lambda x: (cost(x), x))
@@ -125,18 +127,21 @@ def subset_keys(shingles: np.ndarray, bound: int, percent: int = PERCENT):
     return tuple(np.concatenate(x) for x in (first, second, small))
 
 
-def part_keys(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The entries of a set: a hash of (class, part, the part's shingles) for its first non-empty parts."""
-    out = []
-    for j, parts, entries in part_plan(len(shingles), percent):
+def part_keys(shingles: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of (class, part, the part's shingles), class << 40 | least number in common) of a set's non-empty parts."""
+    out, least = [], []
+    for j, parts, differ in part_plan(len(shingles), percent):
         part = (_mix(shingles + _U(j + 1)) % _U(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         at, start = np.unique(part[order], return_index=True)
-        content = np.add.reduceat(_mix(shingles[order]), start)[:entries]
-        out.append(_mix(content + _mix((at[:entries] + (j << 32)).astype(_U))))
-        if len(at) < entries:  # two such sets may only have empty parts in common
-            out.append(_mix(np.array([(1 << 60) + j], _U)))
-    return np.concatenate(out).view(np.int64)
+        content = np.add.reduceat(_mix(shingles[order]), start)
+        keys = _mix(content + _mix((at + (j << 32)).astype(_U)))
+        common = max(len(at) - differ, 0)
+        if not common:  # two such sets may only have empty parts in common
+            keys = np.append(keys, _mix(np.array([(1 << 60) + j], _U)))
+        out.append(keys)
+        least.append(np.full(len(keys), (j << 40) + common, np.int64))
+    return np.concatenate(out).view(np.int64), np.concatenate(least)
 
 
 def _node(s: np.ndarray):
@@ -144,18 +149,19 @@ def _node(s: np.ndarray):
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """(_id, n_shingles, node, keys, small) per document; ``small`` holds the shingles of a set of at most MOST_SMALL."""
+    """(_id, n_shingles, node, keys, least, small) per document; ``small`` holds the shingles of a set of at most MOST_SMALL."""
 
     def make():
         def sign(batch):
             sets = [shingle_set(t, size) for t in texts_of(batch, "_text")]
+            keys = [part_keys(s, percent) if len(s) else (None, None) for s in sets]
             return {"n_shingles": [len(s) for s in sets], "node": [_node(s) for s in sets],
-                    "keys": [part_keys(s, percent) if len(s) else None for s in sets],
+                    "keys": [k for k, _ in keys], "least": [x for _, x in keys],
                     "small": [s.view(np.int64) if 0 < len(s) <= MOST_SMALL else None for s in sets]}
 
         return sign
 
-    return python_columns(select_as(docs, id_col, text_col), make, "n_shingles long, node long, keys array<long>, small array<long>", drop=("_text",))
+    return python_columns(select_as(docs, id_col, text_col), make, "n_shingles long, node long, keys array<long>, least array<long>, small array<long>", drop=("_text",))
 
 
 def _small_links(nodes: DataFrame, bound: int, percent: int) -> DataFrame:
@@ -175,13 +181,18 @@ def _small_links(nodes: DataFrame, bound: int, percent: int) -> DataFrame:
     return rows.join(hubs, ["first", "second"]).where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def _lists(nodes: DataFrame) -> DataFrame:
-    """(key, node, n, central): entries that at least two sets share. A set is central by how many share its entries."""
-    post = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = post.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    lists = post.join(shared, "key")
-    often = F.sum(F.log2("k")).over(Window.partitionBy("node"))  # at most the set's own entries
-    return written(lists.select("key", "node", "n", (1000 * often / F.col("n")).cast("long").alias("central")), "lists")
+def _lists(signed: DataFrame) -> DataFrame:
+    """(key, node, n, central): the rarest parts of each set that decide, of those that at least two sets
+    share. A set is central by how many documents hold its parts."""
+    post = signed.select("node", F.col("n_shingles").alias("n"), F.explode(F.arrays_zip("keys", "least")).alias("k")).select("node", "n", "k.keys", "k.least")
+    shared = (post.groupBy("keys").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+              .where("lo != hi").select("keys", "k"))
+    rows = post.join(shared, "keys").groupBy("node", "least", "keys").agg(F.max("n").alias("n"), F.max("k").alias("k"))
+    # A set's own parts: as many as its size has.
+    own, mine = Window.partitionBy("node", "least"), F.col("least") % (1 << 40)
+    rows = rows.withColumns({"at": F.row_number().over(own.orderBy("k", "keys")), "all": F.count(F.lit(1)).over(own), "sum": F.sum(F.log2("k")).over(own)})
+    rows = rows.where(F.col("at") <= F.col("all") - F.greatest(mine, F.lit(1)) + 1)
+    return written(rows.select(F.col("keys").alias("key"), "node", "n", (1000 * F.col("sum") / F.col("n")).cast("long").alias("central")), "lists")
 
 
 def _sets(lists: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -298,12 +309,12 @@ def _rest_pairs(lists: DataFrame, hubs: DataFrame, sets: DataFrame, percent: int
     return pairs.select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
 
 
-def links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+def links(nodes: DataFrame, signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """(node, label) of all nodes that link with another: their components."""
     counts = {r["n"]: r["k"] for r in nodes.where(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
     bound = boundary(counts, percent)
     edges = written(_small_links(nodes.where(F.col("n") < bound), bound, percent), "links")
-    lists = _lists(nodes.where(F.col("n") >= _sizes(bound, percent)[0]))
+    lists = _lists(signed.where(F.col("n_shingles") >= _sizes(bound, percent)[0]))
     if lists.isEmpty():
         return components(edges)
     sets = _sets(lists, nodes, docs, id_col, text_col, size)
@@ -333,8 +344,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``doc_id, n_shingles, component_id`` per document."""
     signed = written(_signed(docs, id_col, text_col, size, percent), "signed")
     nodes = written(signed.where("node is not null").groupBy("node").agg(
-        F.min("_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("small").alias("small")), "nodes")
-    labels = links(nodes, docs, id_col, text_col, size, percent)
+        F.min("_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("small").alias("small")), "nodes")
+    labels = links(nodes, signed, docs, id_col, text_col, size, percent)
     marked = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = marked.groupBy("label").agg(F.min("rep").alias("name"))
     marked = marked.join(names, "label").select("node", "name")
