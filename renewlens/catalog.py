@@ -720,6 +720,7 @@ def q_cv_top_n(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 from .sources import files as FS  # noqa: E402
+from .sources import requests as RQ  # noqa: E402
 
 
 @register("scan_csv", f"""WITH {RENEWAL_CTE_SQL}
@@ -750,7 +751,44 @@ def q_records_source(spark, sf_dir):
     r = renewal_df(spark, sf_dir).withColumn("user_id", F.col("user_id").cast("string"))
     path = FS.unique_scratch(spark, "records")
     FS.records_to_json(r, RECORD_FIELDS).write.mode("overwrite").text(path)
-    return FS.read_records(spark, path)
+    return RQ.read_records(spark, path)
+
+
+#: How the records of ``records_source_refused`` are given, by id modulo 9 (0: sound).
+_GIVEN = {1: """concat('{"user_id":"u', user_id, '","grade":', grade, ',')""",
+          2: """concat('{"user_id":"u', user_id, '","grade":"three","fns_cnt":', fns_cnt, '}')""",
+          3: """concat('{"user_id":', user_id, ',"grade":', grade, '}')""",
+          4: """concat('{"user_id":"u', user_id, '","grade":"', grade, '","fns_cnt":', fns_cnt, '.0,"is_enable":true}')""",
+          5: """concat('[{"user_id":"u', user_id, '"}]')""",
+          6: """concat('{"user_id":"u', user_id, '","house_price":"much","fns_cnt":', fns_cnt, '.5}')""",
+          7: """concat('{"user_id":"u', user_id, '","grade":99999999999,"other":[1]}')""",
+          8: """concat('{"user_id":"u', user_id, '"} {"grade":1}')"""}
+_SOUND = """concat('{"user_id":"u', user_id, '","grade":', grade, ',"fns_cnt":', fns_cnt, ',"is_enable":null}')"""
+_GIVEN_SQL = f"CASE user_id % 9 {' '.join(f'WHEN {k} THEN {v}' for k, v in _GIVEN.items())} ELSE {_SOUND} END"
+
+
+@register("records_source_refused", f"""WITH {RENEWAL_CTE_SQL},
+r AS (SELECT user_id % 9 AS k, 'u' || CAST(user_id AS VARCHAR) AS u, grade, fns_cnt, {_GIVEN_SQL} AS value
+      FROM (SELECT user_id, COALESCE(grade, 0) AS grade, COALESCE(fns_cnt, 0) AS fns_cnt FROM renewal)),
+s AS (SELECT *, CASE k WHEN 1 THEN 'malformed JSON' WHEN 2 THEN 'grade: not a number' WHEN 3 THEN 'user_id: not text'
+                       WHEN 5 THEN 'not an object' WHEN 6 THEN 'house_price: not a number; fns_cnt: not a whole number'
+                       WHEN 7 THEN 'grade: out of range' WHEN 8 THEN 'malformed JSON' END AS reason FROM r)
+SELECT value, reason, CASE WHEN reason IS NULL THEN u END AS user_id, CAST(CASE WHEN reason IS NULL THEN grade END AS INTEGER) AS grade,
+       CAST(CASE WHEN reason IS NULL THEN fns_cnt END AS INTEGER) AS fns_cnt, CAST(CASE WHEN k = 4 THEN 1 END AS INTEGER) AS is_enable FROM s""")
+def q_records_source_refused(spark, sf_dir):
+    """A2: request records of all kinds, the refused ones with raw text and reason, the accepted ones typed."""
+    r = renewal_df(spark, sf_dir).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("grade", "fns_cnt")})
+    path = FS.unique_scratch(spark, "records-mixed")
+    r.select(F.expr(_GIVEN_SQL).alias("value")).write.mode("overwrite").text(path)
+    kept = f"{path}-refused"
+    fields = ["user_id", "grade", "fns_cnt", "is_enable"]
+    sound = RQ.read_records(spark, path, refused_to=kept).select(F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("reason"), *fields)
+    checked = RQ.read_checked(spark, path)
+    # The accepted rows once more with their raw text, the refused ones as they were kept.
+    told = RQ.accepted(checked.withColumn("value", F.col(RQ.RAW))).select("value", F.lit(None).cast("string").alias("reason"), *fields)
+    told = told.join(sound.select("user_id"), "user_id", "left_semi").select("value", "reason", *fields)
+    none = [F.lit(None).cast(t).alias(c) for c, t in zip(fields, ("string", "int", "int", "int"))]
+    return told.union(spark.read.parquet(kept).select("value", "reason", *none))
 
 
 @register("prediction_sink", f"""WITH {SCORED_CTE}
@@ -761,6 +799,22 @@ def q_prediction_sink(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+_AWKWARD = "city || ', \"' || lower(city) || '\" ' || chr(10) || ' second line '"
+
+
+@register("prediction_csv_sink", f"""WITH {SCORED_CTE}
+SELECT user_id, {_AWKWARD} AS city, pred_probability, {LEVEL} FROM scored""")
+def q_prediction_csv_sink(spark, sf_dir):
+    """A4: scored rows written as CSV (quotes, commas, line breaks and blanks at the ends in a text column), read back."""
+    from pyspark.sql import types as T
+
+    s = scored(spark, sf_dir).select("user_id", F.expr(_AWKWARD).alias("city"), PROB, LEVEL)
+    path = FS.write_predictions(s, FS.unique_scratch(spark, "predictions-csv"), fmt="csv")
+    schema = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("city", T.StringType()),
+                           T.StructField(PROB, T.DoubleType()), T.StructField(LEVEL, T.StringType())])
+    return FS.read_csv(spark, path, schema)
+
+
 @register("term_level_pivot_sink", PIVOT_SQL)
 def q_term_level_pivot_sink(spark, sf_dir):
     """A5: the term x level pivot written as a header CSV and read back typed."""
@@ -974,7 +1028,7 @@ def q_cv_results_sink(spark, sf_dir):
 def q_stream_score(spark, sf_dir):
     """Test-part records arriving as JSON files scored by a Structured
     Streaming query (availableNow, checkpointed), read from its sink."""
-    from .streaming.scoring import start_scoring
+    from .streaming.scoring import read_scores, start_scoring
 
     m, _, test = _small_model(spark, sf_dir, early_stop=False)
     base = FS.unique_scratch(spark, "stream")
@@ -982,4 +1036,4 @@ def q_stream_score(spark, sf_dir):
     FS.records_to_json(records, RECORD_FIELDS).repartition(4).write.mode("overwrite").text(f"{base}/in")
     q = start_scoring(spark, m, f"{base}/in", f"{base}/out", f"{base}/ckpt")
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return read_scores(spark, f"{base}/out").drop("batch")

@@ -14,11 +14,12 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path
+from .requests import RECORD_SCHEMA, parse_records, read_records  # noqa: F401  the record half of A2
 
 # fixed values: text tokens read as missing (the common CSV reader defaults)
 NULL_TOKENS = [
@@ -45,24 +46,6 @@ TRAINING_SCHEMA = T.StructType([
     T.StructField("is_renewal", T.IntegerType()),
 ])
 
-# one scoring request record; every field optional.
-RECORD_SCHEMA = T.StructType([
-    T.StructField("city", T.StringType()),
-    T.StructField("city_level", T.StringType()),
-    T.StructField("city_score", T.DoubleType()),
-    T.StructField("house_price", T.DoubleType()),
-    T.StructField("grade", T.IntegerType()),
-    T.StructField("refresh_num", T.IntegerType()),
-    T.StructField("device", T.StringType()),
-    T.StructField("is_enable", T.IntegerType()),
-    T.StructField("fns_cnt", T.IntegerType()),
-    T.StructField("user_id", T.StringType()),
-    T.StructField("b2c_term_name", T.StringType()),
-    T.StructField("l1_term_name", T.StringType()),
-    T.StructField("l1_term_renewal_end_date", T.StringType()),
-])
-
-
 def unique_scratch(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
@@ -105,8 +88,15 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = TRAINING_SCH
                         for c in raw.columns])
 
 
+def _save(writer: DataFrameWriter, path: str, fmt: str) -> None:
+    """CSV as ``read_csv`` reads it: a header, quotes doubled inside quotes, text kept as it is."""
+    if fmt == "csv":
+        writer = writer.options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    writer.format(fmt).save(path)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    _save(df.write.mode(mode), path, "csv")
     return path
 
 
@@ -116,16 +106,6 @@ def records_to_json(df: DataFrame, columns=None) -> DataFrame:
     return df.select(F.to_json(F.struct(*[F.col(c) for c in cols])).alias("value"))
 
 
-def parse_records(df: DataFrame, value_col: str = "value", schema: T.StructType = RECORD_SCHEMA) -> DataFrame:
-    """A2: JSON text column -> typed columns; absent fields become null."""
-    return df.select(F.from_json(F.col(value_col), schema).alias("_r")).select("_r.*")
-
-
-def read_records(spark: SparkSession, path: str, schema: T.StructType = RECORD_SCHEMA) -> DataFrame:
-    """A2: JSON-lines request records -> typed frame."""
-    return spark.read.schema(schema).json(path)
-
-
 def write_predictions(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None,
                       mode: str = "overwrite") -> str:
     """A4: input columns + pred_probability, pred_label, level_tag.
@@ -138,18 +118,13 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "parquet", partition_
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    if fmt == "csv":
-        w = w.option("header", True)
-    w.format(fmt).save(path)
+    _save(w, path, fmt)
     return path
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
     """Small result tables (pivots, search results)."""
-    w = df.write.mode(mode)
-    if fmt == "csv":
-        w = w.option("header", True)
-    w.format(fmt).save(path)
+    _save(df.write.mode(mode), path, fmt)
     return path
 
 
