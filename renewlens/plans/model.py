@@ -22,6 +22,7 @@ the fitted model after the best prefix.
 
 from __future__ import annotations
 
+import re
 import warnings
 from dataclasses import dataclass
 
@@ -42,8 +43,8 @@ from .features import FEATURES_COL, FeatureSpec, fit_feature_model, plan_feature
 
 LABEL_COL = "__label"
 MIN_MAX_BINS = 32
-# Probability bins of the per-prefix AUC.
-AUC_BINS = 1 << 14
+# Up to so many prefixes the trees between two of them are summed as one.
+MANY_PREFIXES = 64
 
 
 def gbt_params(params: dict | None) -> dict:
@@ -175,43 +176,47 @@ def patience_stop(values, rounds: int) -> int:
     return best_i + 1
 
 
-def prefix_auc(model, data: DataFrame) -> list[float | None]:
-    """ROC-AUC on ``data`` (features, label) of every prefix of a boosted model's trees.
+def leaf_values(model) -> list[list[float]]:
+    """Per tree, its weight times the prediction of each leaf, in the order of the leaf numbers
+    that ``leafCol`` gives (left before right, as the printed tree has them)."""
+    return [[weight * float(x) for x in re.findall(r"Predict: (\S+)", tree.toDebugString)]
+            for tree, weight in zip(model.trees, model.treeWeights)]
 
-    One pass: every tree's contribution per row, running sums over the trees, and counts per
-    (prefix, probability bin) summed in the tasks, so what is shuffled has at most trees x
-    ``AUC_BINS`` rows a task. Scores of one bin tie.
+
+def prefix_margins(model, data: DataFrame, prefixes: list[int]) -> DataFrame:
+    """``data`` with ``margins``: the margin after each of the (ascending) numbers of trees.
+
+    One transform finds the leaf of every tree; its value is looked up in one array of the model's
+    leaves (trees x leaves, whatever the data) and summed up to each prefix. No Python.
+    """
+    spark = data.sparkSession
+    values = spark.createDataFrame([(leaf_values(model),)], "v array<array<double>>")
+    rows = model.copy({model.leafCol: "_leaf"}).transform(data.select(FEATURES_COL, LABEL_COL))
+    rows = rows.select(LABEL_COL, vector_to_array("_leaf").alias("_leaf"), values.scalar().alias("_values"))
+    rows = rows.select(LABEL_COL, F.zip_with("_leaf", "_values", lambda leaf, v: F.get(v, leaf.cast("int"))).alias("_parts"))
+    steps = F.array(*[F.aggregate(F.slice("_parts", a + 1, b - a), F.lit(0.0), lambda x, y: x + y)
+                      for a, b in zip([0, *prefixes[:-1]], prefixes)]) if len(prefixes) <= MANY_PREFIXES else F.col("_parts")
+    grow = lambda got, x: F.array_append(got, F.coalesce(F.try_element_at(got, F.lit(-1)), F.lit(0.0)) + x)
+    margins = F.aggregate(steps, F.array().cast("array<double>"), grow)
+    if len(prefixes) > MANY_PREFIXES:  # all sums once, then those asked for
+        margins = F.transform(F.array(*[F.lit(n) for n in prefixes]), lambda n: F.get(F.col("_margins"), n - 1))
+        rows = rows.withColumn("_margins", F.aggregate(steps, F.array().cast("array<double>"), grow))
+    return rows.select(LABEL_COL, margins.alias("margins"))
+
+
+def prefix_auc(model, data: DataFrame, prefixes: list[int] | None = None) -> list[float | None]:
+    """Exact ROC-AUC (ties half) on ``data`` (features, label) of the model's first n trees, for every n
+    or those in ``prefixes``; None where only one class is there.
+
+    Every (prefix, distinct margin) is counted, dealt by range and summed up like any other
+    score (``operators.metrics``): nothing is binned and nothing but the result is gathered.
     """
-    rows = data.select(FEATURES_COL, LABEL_COL)
-    for i, tree in enumerate(model.trees):
-        rows = tree.copy().setFeaturesCol(FEATURES_COL).setPredictionCol(f"_t{i}").transform(rows)
-    parts = F.array(*[F.col(f"_t{i}") * F.lit(float(w)) for i, w in enumerate(model.treeWeights)])
-
-    def count(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        total: dict = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            margin = np.cumsum(np.array(batch.column(0).to_pylist()), axis=1)
-            at = np.minimum((AUC_BINS / (1 + np.exp(-2 * margin))).astype(np.int64), AUC_BINS - 1)
-            y = batch.column(1).to_numpy() > 0.5
-            for label in (0, 1):
-                cells = at[y == bool(label)] + np.arange(at.shape[1])[None, :] * AUC_BINS
-                for cell, n in zip(*[x.tolist() for x in np.unique(cells, return_counts=True)]):
-                    total.setdefault(cell, [0, 0])[label] += n
-        keys = list(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k // AUC_BINS for k in keys], pa.int32()), pa.array([float(k % AUC_BINS) for k in keys], pa.float64()),
-             pa.array([total[k][1] for k in keys], pa.int64()), pa.array([total[k][0] for k in keys], pa.int64())],
-            names=["prefix", "score", "pos", "neg"])
-
-    cells = rows.select(parts.alias("parts"), LABEL_COL).mapInArrow(count, "prefix int, score double, pos long, neg long")
-    counts = cells.groupBy("prefix", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    got = {r["prefix"]: r["roc_auc"] for r in auc_from_counts(dealt_counts(counts, ["prefix"]), ["prefix"]).collect()}
-    return [got.get(i) for i in range(len(model.trees))]
+    wanted = sorted(set(prefixes or range(1, len(model.trees) + 1)))
+    rows = prefix_margins(model, data, wanted).select(LABEL_COL, F.posexplode("margins").alias("prefix", "score"))
+    positive = F.col(LABEL_COL) > 0.5
+    counts = rows.groupBy("prefix", "score").agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
+    got = {wanted[r["prefix"]]: r["roc_auc"] for r in auc_from_counts(dealt_counts(counts, ["prefix"]), ["prefix"]).collect()}
+    return [got.get(n) for n in prefixes or wanted]
 
 
 def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
