@@ -7,10 +7,12 @@ size n - n_test is shared among classes in proportion to their counts (floors,
 then the largest remainders), and each class's test size is what remains. Fold
 sizes are the library's, too: training rows dealt in turn, class after class.
 
-Scale: no row is moved. The first ``hex_digits`` of the hash give up to 16^d
-buckets; a count per (class, bucket) tells the one bucket that holds each cut.
-Only rows of those buckets are ranked, to find the row at the cut; every row
-is then compared with its class's cuts (a few values per class) where it lies.
+Scale: no row is moved and the input is computed twice. The first pass writes (label, key);
+cuts are found there by radix selection: counts per (class, first ``hex_digits`` of the hash)
+tell the one bucket that holds each cut, that bucket alone is counted by further digits, and
+once it has at most ``SMALL_BUCKET`` rows (or the digits part every key from the next) by key.
+Nothing but counts is ever sorted, and a key that is repeated in a third of the rows is one
+count. The second pass compares every row with its class's cuts (a few values) where it lies.
 
 Missing values: a null label is a class of its own; null keys raise with their
 number, as no order would hold them in place. Rows of one key stay together, so a
@@ -20,14 +22,22 @@ part can miss its size by their number.
 from __future__ import annotations
 
 import math
+import uuid
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
+from ..session import ensure_checkpoint_dir, scratch_path
 
 PART_TRAIN, PART_TEST = "train", "test"
+#: A bucket of at most so many rows is counted by key.
+SMALL_BUCKET = 50_000
+#: Hash digits that a further count adds, and those that part any keys there are.
+STEP_DIGITS, MOST_DIGITS = 4, 16
+#: Tables of wanted ranks and of classes up to this size are broadcast.
+BROADCAST_ROWS = 10_000
 
 
 def split_hash(key: Column, seed: int) -> Column:
@@ -54,57 +64,88 @@ def class_test_sizes(class_counts: dict, test_size: float) -> dict:
     return {c: class_counts[c] - floors[c] for c in classes}
 
 
-def _keyed(df: DataFrame, key_col: str, seed: int, hex_digits: int) -> DataFrame:
-    """Adds the sort key ``_me`` (hash, key) and its bucket ``_b``."""
-    h = split_hash(F.col(key_col), seed)
-    return df.withColumns({"_me": F.struct(h.alias("h"), F.when(h.isNotNull(), F.col(key_col)).alias("k")), "_b": F.substring(h, 1, hex_digits)})
+def _keys(df: DataFrame, label_col: str, key_col: str, seed: int) -> DataFrame:
+    """(_label, _me) of every row, written once; ``_me`` is the sort key (hash, key)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"split-{uuid.uuid4().hex}")
+    slim = df.select(F.col(label_col).alias("_label"), F.col(key_col).alias("_key"))
+    slim.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(slim.schema).parquet(path).select("_label", _sort_key(F.col("_key"), seed).alias("_me"))
 
 
-def _bucket_counts(keyed: DataFrame, label_col: str) -> DataFrame:
-    """Rows per (class, hash bucket): bounded by classes x 16^hex_digits.
+def _sort_key(key: Column, seed: int) -> Column:
+    h = split_hash(key, seed)
+    return F.struct(h.alias("h"), F.when(h.isNotNull(), key).alias("k"))
+
+
+def _digits(n: int) -> Column:
+    return F.substring("_me.h", 1, n)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A table of counts, kept in the shared checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    Checkpointed (a small table) so the cuts and the class sizes read it from
-    the shared checkpoint folder instead of each re-reading the input.
-    """
-    from ..session import ensure_checkpoint_dir
 
-    ensure_checkpoint_dir(keyed.sparkSession)
-    counts = keyed.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_bn")).checkpoint(eager=True)
-    lost = counts.where("_b IS NULL").agg(F.sum("_bn")).first()[0]
+def _met(df: DataFrame, few: DataFrame, n: int, on) -> DataFrame:
+    """Inner join with a table of ``n`` rows (wanted ranks or classes); broadcast while they are few."""
+    return df.join(F.broadcast(few) if n <= BROADCAST_ROWS else few, on)
+
+
+def _bucket_counts(keys: DataFrame, hex_digits: int) -> DataFrame:
+    """(_label, _q, _n): rows per (class, hash bucket), at most classes x 16^hex_digits."""
+    counts = _small(keys.groupBy("_label", _digits(hex_digits).alias("_q")).agg(F.count(F.lit(1)).alias("_n")))
+    lost = counts.where("_q IS NULL").agg(F.sum("_n")).first()[0]
     if lost:
         raise ValueError(f"{lost} rows have no key: they cannot be split reproducibly")
     return counts
 
 
-def _cuts(keyed: DataFrame, counts: DataFrame, wanted: DataFrame, label_col: str) -> DataFrame:
-    """(class, cuts): per class the sort keys at the ranks ``wanted`` (class, _rank), ascending.
+def _locate(counts: DataFrame, wanted: DataFrame, n: int, within: list[str]) -> DataFrame:
+    """The row of ``counts`` (_label, within, _q, _n) that holds each wanted (_label, within, _rank), as
+    (_label, _id, _q, _n, _rank inside it)."""
+    before = Window.partitionBy("_label", *within).orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumnsRenamed({c: f"{c}_c" for c in ("_label", *within)})
+    on = (F.col("_rank") > F.col("_off")) & (F.col("_rank") <= F.col("_off") + F.col("_n"))
+    for c in ("_label", *within):
+        on = on & F.col(c).eqNullSafe(F.col(f"{c}_c"))
+    return _met(placed, wanted, n, on).select("_label", "_id", "_q", "_n", (F.col("_rank") - F.col("_off")).alias("_rank"))
+
+
+def _cuts(keys: DataFrame, counts: DataFrame, wanted: DataFrame, label_col: str, digits: int) -> tuple[DataFrame, int]:
+    """((_cl, _cuts) per class: the sort keys at the ranks ``wanted`` (class, _rank), ascending; number of classes).
 
-    A rank of 0 gives a key below all rows. Only the rows of the buckets that hold a
-    wanted rank are ranked; a handful of buckets per class.
+    A rank of 0 gives a key below all rows.
     """
-    before = Window.partitionBy(label_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
-    w = wanted.select(F.col(label_col).alias("_label"), "_rank")
-    # bounded: wanted ranks (classes x folds); the class table joins null-safely
-    held = offsets.join(F.broadcast(w), F.col(label_col).eqNullSafe(F.col("_label"))
-                        & (F.col("_rank") > F.col("_off")) & (F.col("_rank") <= F.col("_off") + F.col("_bn")))
-    held = held.select("_label", F.col("_b").alias("_wb"), (F.col("_rank") - F.col("_off")).alias("_local"))
-    spots = held.groupBy("_label", "_wb").agg(F.collect_set("_local").alias("_locals"))
-    near = keyed.join(F.broadcast(spots), F.col(label_col).eqNullSafe(F.col("_label")) & (F.col("_b") == F.col("_wb")))
-    ranked = near.select("_label", "_wb", "_locals", "_me").withColumn(
-        "_n", F.row_number().over(Window.partitionBy("_label", "_wb").orderBy("_me")))
-    found = ranked.where(F.array_contains("_locals", F.col("_n").cast("long"))).select("_label", "_me")
-    me = keyed.schema["_me"].dataType
-    lowest = F.struct(F.lit("").alias("h"), F.lit(None).cast(me["k"].dataType).alias("k"))
-    zero = w.where("_rank = 0").select("_label", lowest.cast(me).alias("_me"))
-    return found.union(zero).groupBy("_label").agg(F.sort_array(F.collect_list("_me")).alias("_cuts"))
-
-
-def _at(keyed: DataFrame, cuts: DataFrame, label_col: str) -> DataFrame:
+    wanted = _small(wanted.select(F.col(label_col).alias("_label"), "_rank").withColumn("_id", F.monotonically_increasing_id()))
+    n, classes = wanted.count(), wanted.select("_label").distinct().count()
+    held = _small(_locate(counts, wanted.where("_rank > 0"), n, []))
+    while (held.agg(F.max("_n")).first()[0] or 0) > SMALL_BUCKET and digits < MOST_DIGITS:
+        inside = _inside(keys, held, n, digits)
+        digits = min(digits + STEP_DIGITS, MOST_DIGITS)
+        finer = inside.groupBy("_label", "_p", _digits(digits).alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
+        held = _small(_locate(finer, held.select("_label", F.col("_q").alias("_p"), "_rank", "_id"), n, ["_p"]))
+    by_key = _inside(keys, held, n, digits).groupBy("_label", "_p", F.col("_me").alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
+    found = _locate(by_key, held.select("_label", F.col("_q").alias("_p"), "_rank", "_id"), n, ["_p"]).select("_label", F.col("_q").alias("_me"))
+    me = keys.schema["_me"].dataType
+    lowest = F.struct(F.lit("").alias("h"), F.lit(None).cast(me["k"].dataType).alias("k")).cast(me)
+    found = found.union(wanted.where("_rank = 0").select("_label", lowest.alias("_me")))
+    return _small(found.groupBy(F.col("_label").alias("_cl")).agg(F.sort_array(F.collect_list("_me")).alias("_cuts"))), classes
+
+
+def _inside(keys: DataFrame, held: DataFrame, n: int, digits: int) -> DataFrame:
+    """The rows of the held buckets, with the bucket ``_p``."""
+    spots = held.select(F.col("_label").alias("_hl"), F.col("_q").alias("_p")).distinct()
+    return _met(keys, spots, n, F.col("_label").eqNullSafe(F.col("_hl")) & (_digits(digits) == F.col("_p")))
+
+
+def _at(df: DataFrame, cuts: DataFrame, classes: int, label_col: str, key_col: str, seed: int) -> DataFrame:
     """Adds ``_at``: how many cuts of its class lie below a row (compared where the row lies)."""
-    rows = keyed.join(F.broadcast(cuts), F.col(label_col).eqNullSafe(F.col("_label")), "left")
+    few = F.broadcast(cuts) if classes <= BROADCAST_ROWS else cuts
+    rows = df.join(few, F.col(label_col).eqNullSafe(F.col("_cl")), "left").withColumn("_me", _sort_key(F.col(key_col), seed))
     below = F.size(F.filter(F.coalesce("_cuts", F.array().cast(cuts.schema["_cuts"].dataType)), lambda c: c < F.col("_me")))
-    return rows.withColumn("_at", below).drop("_label", "_cuts", "_me", "_b")
+    return rows.withColumn("_at", below).drop("_cl", "_cuts", "_me")
 
 
 def _fold_ranks(alloc: DataFrame, label_col: str, n_splits: int, rows: str, offset: str, start) -> DataFrame:
@@ -173,18 +214,18 @@ def stratified_split(df: DataFrame, label_col: str = config.TARGET_COLUMN, key_c
                      n_splits: int = config.HYPERPARAMETER_TUNING_CONFIG["cv"]) -> DataFrame:
     """E5: adds ``part`` ('train' / 'test') with exact per-class test sizes.
 
-    Three reads of the input, none of which moves it: bucket counts, the rows of the
-    cuts' buckets, and the comparison. With ``fold_col`` the training rows also get
-    their stratified fold from the same cuts (null for test rows).
+    The input is computed twice: for the labels and keys, and for the comparison. With
+    ``fold_col`` the training rows also get their stratified fold from the same cuts (null
+    for test rows).
     """
-    keyed = _keyed(df, key_col, seed, hex_digits)
-    counts = _bucket_counts(keyed, label_col)
-    alloc = _allocate(counts.groupBy(label_col).agg(F.sum("_bn").alias("_c")), label_col, test_size)
+    keys = _keys(df, label_col, key_col, seed)
+    counts = _bucket_counts(keys, hex_digits)
+    alloc = _allocate(counts.groupBy(F.col("_label").alias(label_col)).agg(F.sum("_n").alias("_c")), label_col, test_size)
     wanted = alloc.select(label_col, F.col("class_test").cast("long").alias("_rank"))
     if fold_col:
         train = alloc.withColumn("_train", F.col("class_rows") - F.col("class_test"))
         wanted = wanted.union(_fold_ranks(train, label_col, n_splits, "_train", "train_offset", F.col("class_test")))
-    out = _at(keyed, _cuts(keyed, counts, wanted, label_col), label_col)
+    out = _at(df, *_cuts(keys, counts, wanted, label_col, hex_digits), label_col, key_col, seed)
     out = out.withColumn(part_col, F.when(F.col("_at") == 0, F.lit(PART_TEST)).otherwise(F.lit(PART_TRAIN)))
     if fold_col:
         out = out.withColumn(fold_col, F.when(F.col("_at") > 0, F.col("_at") - 1).cast("int"))
@@ -196,11 +237,11 @@ def stratified_folds(df: DataFrame, n_splits: int = config.HYPERPARAMETER_TUNING
                      seed: int = config.RANDOM_STATE, fold_col: str = "fold", hex_digits: int = 4) -> DataFrame:
     """Folds are ranges of class ranks with the library's per-class counts
     (sizes differ by at most one, per class and overall)."""
-    keyed = _keyed(df, key_col, seed, hex_digits)
-    counts = _bucket_counts(keyed, label_col)
-    alloc = _allocate(counts.groupBy(label_col).agg(F.sum("_bn").alias("_c")), label_col, 0)
+    keys = _keys(df, label_col, key_col, seed)
+    counts = _bucket_counts(keys, hex_digits)
+    alloc = _allocate(counts.groupBy(F.col("_label").alias(label_col)).agg(F.sum("_n").alias("_c")), label_col, 0)
     wanted = _fold_ranks(alloc, label_col, n_splits, "class_rows", "class_offset", F.lit(0))
-    out = _at(keyed, _cuts(keyed, counts, wanted, label_col), label_col)
+    out = _at(df, *_cuts(keys, counts, wanted, label_col, hex_digits), label_col, key_col, seed)
     return out.withColumn(fold_col, F.col("_at").cast("int")).drop("_at")
 
 
