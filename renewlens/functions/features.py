@@ -76,33 +76,62 @@ class Recipe:
     output: str
     build: Callable[[], Column]
     sql: Callable[[], str]
+    #: The builder as Spark SQL text; what a saved model keeps of a recipe.
+    expression: str | None = None
 
 
 def _c(name: str) -> Column:
     return F.col(name)
 
 
-# The recipe list is an extension point: append (inputs, output, builders).
+def _stored_divide(n: str, d: str) -> str:
+    n, d = f"CAST({n} AS DOUBLE)", f"({d})"
+    return (f"CASE WHEN {d} = 0 THEN CASE WHEN {n} > 0 THEN DOUBLE('Infinity') WHEN {n} < 0 THEN DOUBLE('-Infinity') "
+            f"WHEN {n} IS NOT NULL THEN DOUBLE('NaN') END ELSE try_divide({n}, {d}) END")
+
+
+def _stored_log1p(x: str) -> str:
+    v = f"CAST({x} AS DOUBLE)"
+    return f"CASE WHEN {v} = -1 THEN DOUBLE('-Infinity') WHEN {v} < -1 THEN DOUBLE('NaN') ELSE log1p({v}) END"
+
+
+def stored_recipes(recipes) -> list[dict]:
+    """Recipes as plain values, to be kept with a model."""
+    without = [r.output for r in recipes if not r.expression]
+    if without:
+        raise ValueError(f"recipes without an expression cannot be saved: {', '.join(without)}")
+    return [{"inputs": list(r.inputs), "output": r.output, "expression": r.expression} for r in recipes]
+
+
+def rebuilt_recipes(stored: list[dict]) -> list[Recipe]:
+    """The recipes that ``stored_recipes`` gave."""
+    return [Recipe(tuple(d["inputs"]), d["output"], lambda e=d["expression"]: F.expr(e), lambda e=d["expression"]: e, d["expression"]) for d in stored]
+
+
+# The recipe list is an extension point: append (inputs, output, builders, expression).
 RECIPES: list[Recipe] = [
     Recipe(("house_price",), "house_price_log",
            lambda: ieee_log1p(_c("house_price")),
-           lambda: _sql_ieee_log1p("house_price")),
+           lambda: _sql_ieee_log1p("house_price"), _stored_log1p("house_price")),
     Recipe(("city_score", "house_price"), "city_score_house_price_ratio",
            lambda: ieee_divide(_c("city_score"), _c("house_price").cast("double") + 1.0),
-           lambda: _sql_ieee_divide("city_score", "CAST(house_price AS DOUBLE) + 1")),
+           lambda: _sql_ieee_divide("city_score", "CAST(house_price AS DOUBLE) + 1"),
+           _stored_divide("city_score", "CAST(house_price AS DOUBLE) + 1D")),
     Recipe(("fns_cnt", "grade"), "fns_cnt_per_grade",
            lambda: ieee_divide(_c("fns_cnt"), _c("grade").cast("double") + 1.0),
-           lambda: _sql_ieee_divide("fns_cnt", "CAST(grade AS DOUBLE) + 1")),
+           lambda: _sql_ieee_divide("fns_cnt", "CAST(grade AS DOUBLE) + 1"),
+           _stored_divide("fns_cnt", "CAST(grade AS DOUBLE) + 1D")),
     Recipe(("is_enable", "fns_cnt"), "is_enable_fns_interaction",
            lambda: _c("is_enable").cast("double") * _c("fns_cnt").cast("double"),
-           lambda: "CAST(is_enable AS DOUBLE) * CAST(fns_cnt AS DOUBLE)"),
+           lambda: "CAST(is_enable AS DOUBLE) * CAST(fns_cnt AS DOUBLE)", "CAST(is_enable AS DOUBLE) * CAST(fns_cnt AS DOUBLE)"),
     Recipe(("refresh_num", "fns_cnt"), "refresh_fns_interaction",
            lambda: _c("refresh_num").cast("double") * _c("fns_cnt").cast("double"),
-           lambda: "CAST(refresh_num AS DOUBLE) * CAST(fns_cnt AS DOUBLE)"),
+           lambda: "CAST(refresh_num AS DOUBLE) * CAST(fns_cnt AS DOUBLE)", "CAST(refresh_num AS DOUBLE) * CAST(fns_cnt AS DOUBLE)"),
     # Runs last so the ratios and interactions above use the raw count: >= 5 -> 4.
     Recipe(("fns_cnt",), "fns_cnt",
            lambda: F.when(_c("fns_cnt") >= 5, F.lit(4.0)).otherwise(_c("fns_cnt").cast("double")),
-           lambda: "CASE WHEN fns_cnt >= 5 THEN CAST(4 AS DOUBLE) ELSE CAST(fns_cnt AS DOUBLE) END"),
+           lambda: "CASE WHEN fns_cnt >= 5 THEN CAST(4 AS DOUBLE) ELSE CAST(fns_cnt AS DOUBLE) END",
+           "CASE WHEN fns_cnt >= 5 THEN 4D ELSE CAST(fns_cnt AS DOUBLE) END"),
 ]
 
 
@@ -110,7 +139,7 @@ def applicable_recipes(columns, recipes=None) -> list[Recipe]:
     """Recipes whose inputs exist, evaluated on the growing column set (B2)."""
     have = set(columns)
     out = []
-    for r in recipes or RECIPES:
+    for r in RECIPES if recipes is None else recipes:
         if all(c in have for c in r.inputs):
             out.append(r)
             have.add(r.output)

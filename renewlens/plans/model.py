@@ -22,9 +22,10 @@ the fitted model after the best prefix.
 
 from __future__ import annotations
 
+import copy
 import re
 import warnings
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -33,12 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions import features
 from ..functions.features import applicable_recipes, derive_features, sanitize_numeric
 from ..functions.levels import level_tag
 from ..operators.metrics import auc_from_counts, dealt_counts
 from ..operators.selection import check_threshold
 from ..session import ensure_checkpoint_dir
 from ..sources.files import read_json_row, write_json_row
+from .artefacts import find_version, save_version
 from .features import FEATURES_COL, FeatureSpec, fit_feature_model, plan_features, source_feature, vocabulary_sizes
 
 LABEL_COL = "__label"
@@ -69,12 +72,12 @@ def gbt_params(params: dict | None) -> dict:
     return out
 
 
-def prepare_input(df: DataFrame) -> DataFrame:
+def prepare_input(df: DataFrame, recipes=None) -> DataFrame:
     """Recipes + sanitizing; columns a recipe overwrites keep their input value
     under ``__in_<name>`` so scored output shows the input as given."""
-    overwritten = [r.output for r in applicable_recipes(df.columns) if r.output in df.columns]
+    overwritten = [r.output for r in applicable_recipes(df.columns, recipes) if r.output in df.columns]
     kept = df.select("*", *[F.col(c).alias(f"__in_{c}") for c in overwritten])
-    return sanitize_numeric(derive_features(kept))
+    return sanitize_numeric(derive_features(kept, recipes))
 
 
 def restore_input_columns(df: DataFrame, input_cols) -> list:
@@ -89,6 +92,9 @@ class RenewalModel:
     threshold: float = config.DEFAULT_THRESHOLD
     target_col: str = config.TARGET_COLUMN
     trees: int = 0
+    # What the model was trained with; later changes of the lists do not reach it.
+    recipes: list = field(default_factory=lambda: list(features.RECIPES))
+    rules: list = field(default_factory=lambda: copy.deepcopy(config.LEVEL_TAG_RULES))
 
     # -- B10 ------------------------------------------------------------------
     def set_threshold(self, t: float) -> None:
@@ -99,7 +105,7 @@ class RenewalModel:
 
     # -- I4 / I5 / B3 / B9 / H12 ------------------------------------------------
     def _features_frame(self, df: DataFrame) -> DataFrame:
-        prepared = prepare_input(df)
+        prepared = prepare_input(df, self.recipes)
         missing = [c for c in self.spec.features if c not in prepared.columns]
         for c in missing:  # B3: absent feature columns become typed nulls
             dtype = "string" if c in self.spec.categorical else "double"
@@ -115,7 +121,7 @@ class RenewalModel:
             *restore_input_columns(out, df.columns),
             p.alias(config.PROBABILITY_COLUMN),
             (p >= F.lit(t)).cast("int").alias(config.PRED_LABEL_COLUMN),
-            level_tag(p, rules).alias(config.LEVEL_COLUMN),
+            level_tag(p, self.rules if rules is None else rules).alias(config.LEVEL_COLUMN),
         )
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
@@ -136,21 +142,29 @@ class RenewalModel:
 
     # -- A7 / A8 / A9 -----------------------------------------------------------
     def save(self, path: str) -> str:
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        """A new version under ``path`` (``plans.artefacts``); what was saved before stays."""
+        spark = SparkSession.getActiveSession()
         meta = {"spec": self.spec.to_json(), "threshold": self.threshold, "target_col": self.target_col,
-                "trees": self.trees}
-        write_json_row(SparkSession.getActiveSession(), meta, f"{path}/meta")
+                "trees": self.trees, "recipes": features.stored_recipes(self.recipes), "rules": self.rules}
+
+        def write(folder: str) -> None:
+            self.pipeline.write().save(f"{folder}/pipeline")
+            write_json_row(spark, meta, f"{folder}/meta")
+
+        save_version(spark, path, write)
         return path
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> "RenewalModel":
+    def load(cls, spark: SparkSession, path: str, version: str | None = None) -> "RenewalModel":
+        """The newest whole version under ``path``, or the one named."""
         try:
-            pipeline = PipelineModel.load(f"{path}/pipeline")
-            meta = read_json_row(spark, f"{path}/meta")
+            folder = find_version(spark, path, version)
+            pipeline = PipelineModel.load(f"{folder}/pipeline")
+            meta = read_json_row(spark, f"{folder}/meta")
         except Exception as exc:  # one clear error whatever part is missing
             raise FileNotFoundError(f"model artefacts missing or unreadable under {path}: {exc}") from exc
         return cls(pipeline, FeatureSpec.from_json(meta["spec"]), float(meta["threshold"]), meta["target_col"],
-                   int(meta.get("trees", 0)))
+                   int(meta.get("trees", 0)), features.rebuilt_recipes(meta["recipes"]), meta["rules"])
 
 
 def _prepared_training(feature_model: PipelineModel, df: DataFrame, target_col: str) -> DataFrame:
