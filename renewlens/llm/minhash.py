@@ -5,16 +5,12 @@ posted under (coordinate, value) pairs. Two nodes whose sets have the wanted
 similarity agree on at least ``MATCHES`` of them (expected 48 of 64 at 0.75; the
 chance of fewer than 32 is below 1 in 100,000), so with any one order of all pairs
 they share one among the first ``COORDINATES - MATCHES + 1`` of each: the prefix.
-The order puts rare pairs first (a fixed-size count table), so frequent passages
-rarely reach a prefix. Collisions on the full signatures are then counted, pairs
-under the threshold skipped, and the rest confirmed on the full shingle sets.
-
-Links only matter between different components, so posting lists are merged in
-rounds: every node of a list meets the list's hub; lists that are one component by
-then are skipped; lists that still hold several components meet further hubs; in
-the end the nodes of different components in a list meet directly, unless the number
-of shingles that they share with anyone, or with the list's hub, rules the similarity
-out. No list is cut and no link between components is lost.
+The order puts rare pairs first, by how many nodes have them, so a node of whose pairs fewer
+than ``MATCHES`` are anyone else's, as of own text around a common passage, is in no list. Nodes of
+a list meet its hub first and others only where that may still join components (``linking``);
+collisions on the full signatures are counted, pairs under the threshold skipped, and the
+rest confirmed on the full shingle sets. No list is cut and no link between components is lost.
+(``size_join.jaccard_join`` with 5 words and 75 percent finds links at exactly 0.75 for certain.)
 
 Rows: documents with equal sets are one node; null, empty and wordless texts have
 no shingles, no links, and are components of their own; a text of fewer words than
@@ -25,52 +21,25 @@ null. Repeated rows give repeated rows.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from renewlens.llm.common import python_columns, select_as, table, texts_of, written
+from renewlens.llm.linking import components, connect, with_labels  # noqa: F401
+from renewlens.llm.shingles import node_of, overlap, shingle_set  # noqa: F401
 
 WORDS = 5
 COORDINATES = 64
 MATCHES = 32
-#: Counters of the table that orders pairs by frequency.
-COUNTERS = 1 << 18
 #: Hub rounds before the remaining components of a list meet directly.
-HUB_ROUNDS = 3
-#: How far (in units of ``central``) hubs of later rounds may lie from the most central node.
-HUB_SPREAD = 400
-#: Positions of the filter that thins the texts before they are shuffled for confirmation.
-FILTER_POSITIONS = 1 << 20
+HUB_ROUNDS = 2
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240501)
-_WORD_MUL = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
 _MUL = _RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) * _U(2) + _U(1)
 _ADD = _RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def shingle_set(text: bytes, size: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a UTF-8 text (A-Z lower-cased)."""
-    words = text.lower().split()
-    n = len(words)
-    if n == 0:
-        return np.zeros(0, _U)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, n)
-    k = min(size, n)
-    total = h[: n - k + 1] * _WORD_MUL[0]
-    for j in range(1, k):
-        total = total + h[j : n - k + 1 + j] * _WORD_MUL[j % 64]
-    return np.unique(_mix(total + _U(k)))
-
-
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The COORDINATES minimum hashes (upper 32 bits of a multiply-add) of a non-empty set."""
     return np.array([(((shingles * a) + b) >> _U(32)).min() for a, b in zip(_MUL, _ADD)], np.uint32) \
@@ -78,20 +47,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
         (((shingles[None, :] * _MUL[:, None]) + _ADD[:, None]) >> _U(32)).min(axis=1).astype(np.uint32)
 
 
-def overlap(x: np.ndarray, y: np.ndarray) -> int:
-    """Number of common members of two sorted distinct arrays."""
-    return int(np.intersect1d(x, y, assume_unique=True).size)
-
-
 def _keys(sig: np.ndarray) -> np.ndarray:
     """(rows, COORDINATES) long keys of (coordinate, value) pairs."""
     return (np.arange(COORDINATES, dtype=np.int64) << 32)[None, :] | sig.astype(np.int64)
 
 
-def _counter(keys: np.ndarray) -> np.ndarray:
-    return (_mix(keys.astype(_U)) % _U(COUNTERS)).astype(np.int64)
-
-
 def _sigs(batch, column: str) -> np.ndarray:
     data = b"".join(batch.column(column).to_pylist())
     return np.frombuffer(data, np.uint32).reshape(-1, COORDINATES)
@@ -106,7 +66,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int = WORDS) -
             for t in texts_of(batch, "_text"):
                 s = shingle_set(t, size)
                 out["n_shingles"].append(len(s))
-                out["node"].append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
+                out["node"].append(node_of(s))
                 out["sig"].append(signature(s).tobytes() if len(s) else None)
             return out
 
@@ -117,47 +77,26 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int = WORDS) -
                           drop=("_text",))
 
 
-def _frequency_table(nodes: DataFrame) -> np.ndarray:
-    """How often the pairs that fall on each of COUNTERS counters occur: COUNTERS numbers, whatever the input."""
-
-    def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                total += np.bincount(_counter(_keys(_sigs(batch, "sig"))).ravel(), minlength=COUNTERS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
-
-    sums = nodes.select("sig").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    got = sums.toPandas()
-    out = np.zeros(COUNTERS, np.int64)
-    out[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return out
-
-
 def postings(nodes: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """(key, node, central): every node under the pairs of its prefix, rarest first.
+    """(key, node, n, central): the pairs of each node's prefix that other nodes share too.
 
+    Pairs are ordered by how many nodes have them, rarest first. Of a node's pairs, those that it
+    alone has come first and are in no list; of s shared ones the first s - matches + 1 decide.
     ``central`` grows with the frequency of the node's pairs: of copies with edits, the one
     nearest to what they have in common has the most frequent pairs.
     """
-    freq = nodes.sparkSession.sparkContext.broadcast(_frequency_table(nodes))
-    width = COORDINATES - matches + 1
 
     def make():
-        table_ = freq.value
+        return lambda batch: {"keys": list(_keys(_sigs(batch, "sig")))}
 
-        def prefix(batch):
-            keys = _keys(_sigs(batch, "sig"))
-            often = table_[_counter(keys)]
-            order = np.lexsort((keys, often), axis=1)[:, :width]
-            return {"keys": list(np.take_along_axis(keys, order, 1)),
-                    "central": (1000 * np.log2(np.maximum(often, 1)).mean(axis=1)).astype(np.int64)}
-
-        return prefix
-
-    rows = python_columns(nodes.select("node", "sig"), make, "keys array<long>, central long", text="sig", drop=("sig",))
-    return rows.select("node", "central", F.explode("keys").alias("key"))
+    post = python_columns(nodes.select("node", "n", "sig"), make, "keys array<long>", text="sig", drop=("sig",))
+    post = post.select("node", "n", F.explode("keys").alias("key"))
+    shared = post.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    own = Window.partitionBy("node")  # at most COORDINATES rows
+    rows = post.join(shared, "key").withColumns({"at": F.row_number().over(own.orderBy("k", "key")), "s": F.count(F.lit(1)).over(own),
+                                                 "often": F.sum(F.log2("k")).over(own)})
+    rows = rows.where(F.col("at") <= F.col("s") - matches + 1)
+    return rows.select("key", "node", "n", (1000 * F.col("often") / COORDINATES).cast("long").alias("central"))
 
 
 def _count_matches(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
@@ -177,145 +116,6 @@ def _count_matches(pairs: DataFrame, nodes: DataFrame, matches: int) -> DataFram
             .where(F.col("same") >= matches).select("a", "b"))
 
 
-def _sets(need: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(node, set): the full shingle sets of the nodes ``need`` (node, rep), made anew from their texts alone."""
-    spot = F.pmod(F.xxhash64("rep"), F.lit(FILTER_POSITIONS))
-    spots = need.select(spot.alias("spot")).distinct()  # at most FILTER_POSITIONS longs
-    texts = select_as(docs, id_col, text_col).withColumn("rep", F.col("_id"))
-    texts = texts.withColumn("spot", spot).join(F.broadcast(spots), "spot", "left_semi")
-    texts = (texts.join(need.select("rep").distinct().withColumnRenamed("rep", "_rep"),
-                        F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").select("_text"))
-
-    def make():
-        def build(batch):
-            sets = [shingle_set(t, size) for t in texts_of(batch, "_text")]
-            return {"node": [xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None for s in sets],
-                    "set": [s.tobytes() for s in sets]}
-
-        return build
-
-    sets = python_columns(texts, make, "node long, set binary", drop=("_text",))
-    return written(sets.join(need.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-
-
-def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, ok, both): whether the full shingle sets are similar, and how many shingles they have in common."""
-
-    def check():
-        def compare(batch):
-            xs, ys = batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()
-            ok, common = [], []
-            for x, y in zip(xs, ys):
-                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
-                common.append(overlap(x, y))
-                ok.append(100 * common[-1] >= percent * (len(x) + len(y) - common[-1]))
-            return {"ok": ok, "both": common}
-
-        return compare
-
-    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b"))
-    return python_columns(both, check, "ok boolean, both long", text="set_a", drop=("set_a", "set_b"))
-
-
-def _shared_sizes(sets: DataFrame) -> DataFrame:
-    """(node, n, common): set sizes, and how many of its shingles any other of these nodes has."""
-
-    def make():
-        return lambda batch: {"h": [np.frombuffer(x, np.int64) for x in batch.column("set").to_pylist()]}
-
-    each = python_columns(sets, make, "h array<long>", text="set", drop=("set",)).select("node", F.explode("h").alias("h"))
-    alone = (each.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
-             .groupBy("node").agg(F.count(F.lit(1)).alias("own")))
-    n = (F.length("set") / 8).cast("long")
-    return sets.select("node", n.alias("n")).join(alone, "node", "left").select(
-        "node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each component, by alternating large-star and small-star steps.
-
-    A hub's neighbours are never gathered: minima are aggregated, then joined back.
-    """
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        around = e.union(e.select("b", "a")) if large else e.select(F.greatest("a", "b"), F.least("a", "b")).toDF("a", "b")
-        low = around.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        met = around.join(low, "a")
-        out = met.where("b > a" if large else "b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        if not large:
-            out = out.union(low.select("a", F.col("m").alias("b")))
-        return out.where("a != b").distinct()
-
-    def mark(e: DataFrame):
-        r = e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 30)))).first()
-        return tuple(r)
-
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    before = None
-    while True:
-        e = written(star(star(e, True), False), "star")
-        now = mark(e)
-        if now == before:
-            return e.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")
-        before = now
-
-
-def _hub(round_: int):
-    """A list's hub: its most central node, in later rounds one of the most central."""
-    shift = F.pmod(F.xxhash64("node", F.lit(round_)), F.lit(HUB_SPREAD)) if round_ else F.lit(0).cast("long")
-    order = -(F.col("central") + shift)
-    return F.min(F.struct(order.alias("h"), F.col("node").alias("hub"), F.col("label").alias("hl")))
-
-
-def _hub_pairs(lists: DataFrame, round_: int) -> DataFrame:
-    """Each node of a list with the list's hub of this round, where their components differ.
-
-    Hubs are the most central nodes, which most of a group of copies is similar to.
-    """
-    hubs = (lists.groupBy("key").agg(_hub(round_).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-            .where("lo != hi").select("key", "p.hub", "p.hl"))
-    met = lists.join(hubs, "key").where("label != hl")
-    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-
-
-def _rest_lists(lists: DataFrame) -> DataFrame:
-    """The lists that still hold several components and more than a pair (a pair has met its hub)."""
-    rest = (lists.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-            .where("lo != hi and n > 2").select("key"))
-    return lists.join(rest, "key")
-
-
-def _rest_pairs(lists: DataFrame, sizes: DataFrame, hubs: DataFrame, met: DataFrame | None, percent: int) -> DataFrame:
-    """Nodes of different components in one list, unless a bound rules the similarity out.
-
-    Two sets have at most the smaller number of shingles in common that each shares with any
-    node left, so a copy with enough words of its own meets none. Where both met their list's
-    first hub, they have at most the smaller part of the hub in common, and outside it the
-    smaller part of what each shares with any node left. Both bounds are exact: the hub is
-    among the nodes left, so what a node alone has lies outside the hub.
-    """
-    rows = lists.join(sizes, "node").where(100 * F.col("common") >= percent * F.col("n"))
-    rows = rows.join(hubs, "key")
-    if met is None:
-        rows = rows.withColumn("inside", F.lit(None).cast("long"))
-    else:
-        pair = met.select("a", "b", "both")
-        rows = (rows.withColumns({"a": F.least("node", "hub"), "b": F.greatest("node", "hub")}).join(pair, ["a", "b"], "left")
-                .withColumn("inside", F.when(F.col("node") == F.col("hub"), F.col("common")).otherwise(F.col("both"))))
-    rows = rows.select("key", "node", "label", "n", "common", "inside")
-    other = rows.select("key", *[F.col(c).alias(f"{c}_2") for c in ("node", "label", "n", "common", "inside")])
-    allows = lambda most: 100 * most >= percent * (F.col("n") + F.col("n_2") - most)
-    fits = allows(F.least("common", "common_2"))
-    by_hub = (F.least(F.col("inside"), F.col("inside_2"))
-              + F.least(F.col("common") - F.col("inside"), F.col("common_2") - F.col("inside_2")))
-    known = F.col("inside").isNotNull() & F.col("inside_2").isNotNull()
-    near = F.when(known, allows(by_hub)).otherwise(F.lit(True))
-    pairs = rows.join(other, (rows["key"] == other["key"]) & (F.col("node") < F.col("node_2"))
-                      & (F.col("label") != F.col("label_2")) & fits & near)
-    return pairs.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS,
                     percent: int = 75, matches: int = MATCHES) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, text_hash, label`` per document.
@@ -325,51 +125,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     signed = written(signatures(docs, id_col, text_col, size), "signed")
     nodes = written(signed.where("node is not null").groupBy("node").agg(
-        F.min("_id").alias("rep"), F.first("sig").alias("sig")), "nodes")
-    post = postings(nodes, matches)
-    shared = post.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    lists = written(post.join(shared, "key"), "lists")
-    edges, labels, first_met = None, None, None
-
-    def link(found: DataFrame, sets: DataFrame | None) -> DataFrame | None:
-        nonlocal edges, labels
-        likely = written(_count_matches(found, nodes, matches), "likely")
-        if likely.isEmpty():
-            return None
-        if sets is None:
-            ends = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-            sets = _sets(written(ends.join(nodes.select("node", "rep"), "node"), "need"), docs, id_col, text_col, size)
-        compared = written(_compare(likely, sets, percent), "compared")
-        links = compared.where("ok").select("a", "b")
-        edges = links if edges is None else edges.union(links)
-        labels = components(edges)
-        return compared
-
-    def marked() -> DataFrame:
-        if labels is None:
-            return lists.withColumn("label", F.col("node"))
-        return lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    for round_ in range(HUB_ROUNDS):
-        met = link(_hub_pairs(marked(), round_), None)
-        first_met = met if round_ == 0 else first_met
-    rest = written(_rest_lists(marked()), "rest")
-    if not rest.isEmpty():
-        need = written(rest.select("node").distinct().join(nodes.select("node", "rep"), "node"), "need")
-        sets = _sets(need, docs, id_col, text_col, size)
-        hubs = rest.groupBy("key").agg(_hub(0).alias("p")).select("key", "p.hub")
-        link(_rest_pairs(rest, _shared_sizes(sets), hubs, first_met, percent), sets)
-    result = signed.select("_id", "n_shingles", "node", "text_hash")
-    if labels is not None:
-        result = result.join(labels, "node", "left")
-    else:
-        result = result.withColumn("label", F.lit(None).cast("long"))
-    result = result.withColumn("label", F.coalesce("label", "node"))
-    named_by = (nodes.select("node", "rep") if labels is None else nodes.select("node", "rep").join(labels, "node", "left"))
-    if labels is None:
-        named_by = named_by.withColumn("label", F.col("node"))
-    names = named_by.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("rep").alias("name"))
-    result = result.join(names, "label", "left").withColumn("component_id", F.coalesce("name", "_id"))
+        F.min("_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig")), "nodes")
+    lists = written(postings(nodes, matches), "lists")
+    labels = connect(lists, nodes, docs, id_col, text_col, size, percent, hub_rounds=HUB_ROUNDS,
+                     likely=lambda pairs: _count_matches(pairs, nodes, matches))
+    marked = with_labels(nodes.select("node", "rep"), labels)
+    names = marked.groupBy("label").agg(F.min("rep").alias("name"))
+    marked = marked.join(names, "label").select("node", "label", "name")
+    result = signed.select("_id", "n_shingles", "node", "text_hash").join(marked, "node", "left")
+    result = result.withColumn("component_id", F.coalesce("name", "_id"))
     return result.select(F.col("_id").alias(id_col), "n_shingles", "component_id",
                          F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash", "label")
 

@@ -15,12 +15,9 @@ links with, so of its rarest d + 1 (in one order of all parts, by how many docum
 them) one is common too. Parts that no other set holds are the rarest: a set with more than
 d of these, as of own words around a common passage, is in no list at all.
 
-Links only matter between different components. Each set of a list first meets the list's
-hub, its most central set; then those outside the hub's component meet the most central of
-their own; then sets of different components in a list meet unless a bound rules the link
-out: what both have of the hub, less the parts of it that either lacks, and what they have
-outside it, less the buckets only one of them has. Every link of large sets is
-confirmed on the full sets; no list, set or partner is cut.
+Links only matter between different components, so a list's sets meet its hub first, and others
+only where a link may still join components (``linking``). Every link of large sets is confirmed
+on the full sets; no list, set or partner is cut.
 
 Rows: equal sets are one node (a 64-bit digest of the set). Null, empty and wordless texts
 have no shingles and no links and are components of their own; a text of fewer words than
@@ -37,12 +34,12 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from renewlens.llm.common import python_columns, select_as, table, texts_of, written
-from renewlens.llm.minhash import components, overlap, shingle_set
+from renewlens.llm.linking import connect, with_labels
+from renewlens.llm.shingles import node_of, shingle_set
 
 WORDS = 4
 PERCENT = 85
@@ -53,10 +50,6 @@ SCAN_COST = 6
 #: Ratio of neighbouring size classes, and parts beyond the differences of a class's largest pair.
 CLASS_RATIO = 1.4
 SPARE_PARTS = 1.25
-#: 64-bit words of the bucket masks that bound a pair's overlap.
-MASKS = 8
-#: Positions of the filter that thins the texts before they are shuffled for confirmation.
-FILTER_POSITIONS = 1 << 20
 
 _U = np.uint64
 _CLASSES = sorted({int(CLASS_RATIO**j) for j in range(120)})
@@ -144,10 +137,6 @@ def part_keys(shingles: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray,
     return np.concatenate(out).view(np.int64), np.concatenate(least)
 
 
-def _node(s: np.ndarray):
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None
-
-
 def _signed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """(_id, n_shingles, node, keys, least, small) per document; ``small`` holds the shingles of a set of at most MOST_SMALL."""
 
@@ -155,7 +144,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
         def sign(batch):
             sets = [shingle_set(t, size) for t in texts_of(batch, "_text")]
             keys = [part_keys(s, percent) if len(s) else (None, None) for s in sets]
-            return {"n_shingles": [len(s) for s in sets], "node": [_node(s) for s in sets],
+            return {"n_shingles": [len(s) for s in sets], "node": [node_of(s) for s in sets],
                     "keys": [k for k, _ in keys], "least": [x for _, x in keys],
                     "small": [s.view(np.int64) if 0 < len(s) <= MOST_SMALL else None for s in sets]}
 
@@ -195,149 +184,13 @@ def _lists(signed: DataFrame) -> DataFrame:
     return written(rows.select(F.col("keys").alias("key"), "node", "n", (1000 * F.col("sum") / F.col("n")).cast("long").alias("central")), "lists")
 
 
-def _sets(lists: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(node, set): full shingle sets of the listed nodes, made anew from their texts."""
-    wanted = written(lists.select("node").distinct().join(nodes.select("node", "rep"), "node"), "wanted")
-    spot = F.pmod(F.xxhash64("rep"), F.lit(FILTER_POSITIONS))
-    spots = wanted.select(spot.alias("spot")).distinct()  # at most FILTER_POSITIONS longs
-    texts = select_as(docs, id_col, text_col).withColumn("rep", F.col("_id")).withColumn("spot", spot)
-    texts = texts.join(F.broadcast(spots), "spot", "left_semi")
-    reps = wanted.select(F.col("rep").alias("_rep")).distinct()
-    texts = texts.join(reps, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").select("_text")
-
-    def make():
-        def build(batch):
-            sets = [shingle_set(t, size) for t in texts_of(batch, "_text")]
-            return {"node": [_node(s) for s in sets], "set": [s.tobytes() for s in sets]}
-
-        return build
-
-    built = python_columns(texts, make, "node long, set binary", drop=("_text",))
-    return written(built.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-
-
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    return (pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b"))
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-
-    def make():
-        def compare(batch):
-            ok = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                both = overlap(x, y)
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            return {"ok": ok}
-
-        return compare
-
-    return python_columns(_with_sets(pairs, sets), make, "ok boolean", text="set_a", drop=("set_a", "set_b")).where("ok").select("a", "b")
-
-
-def _mask(shingles: np.ndarray) -> list[int]:
-    bits = np.zeros(64 * MASKS, bool)
-    bits[(_mix(shingles) % _U(64 * MASKS)).astype(np.int64)] = True
-    return np.packbits(bits).view(np.int64).tolist()
-
-
-_MASKED = [f"{side}{i}" for side in ("lack", "own") for i in range(MASKS)]
-
-
-def _against_hubs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, inside, hub_n, masks): for a set a and its hub b, how much it has of the hub, and the buckets of
-    what it lacks of it and of what it has besides."""
-
-    def make():
-        def measure(batch):
-            out = {n: [] for n in ("inside", "hub_n", *_MASKED)}
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                lack, own = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
-                out["inside"].append(len(x) - len(own))
-                out["hub_n"].append(len(y))
-                for n, v in zip(_MASKED, _mask(lack) + _mask(own)):
-                    out[n].append(v)
-            return out
-
-        return measure
-
-    return python_columns(_with_sets(pairs, sets), make, "inside long, hub_n long, " + ", ".join(f"{n} long" for n in _MASKED),
-                          text="set_a", drop=("set_a", "set_b"))
-
-
-def _labelled(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return lists.withColumn("label", F.col("node"))
-    return lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-
-def _several(lists: DataFrame) -> DataFrame:
-    """The lists whose sets are not all in one component."""
-    rest = lists.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-    return lists.join(rest, "key")
-
-
-def _hubs(lists: DataFrame) -> DataFrame:
-    return lists.groupBy("key").agg(F.max(F.struct("central", "node", "n", "label")).alias("h"))
-
-
-def _with_hub(lists: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each set with its list's hub, where their components differ and their sizes allow a link."""
-    met = lists.join(hubs, "key").where("label != h.label")
-    met = met.where(100 * F.least("n", "h.n") >= percent * F.greatest("n", "h.n"))
-    return met.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
-
-
-def _rest_pairs(lists: DataFrame, hubs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): sets of different components in one list that may link by what they share with its hub."""
-    rows = lists.join(hubs.select("key", F.col("h.node").alias("hub")), "key").select("key", "node", "n", "label", "hub")
-    rows = written(rows, "rest")
-    measured = written(_against_hubs(rows.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), sets), "measured")
-    rows = rows.join(measured.withColumnsRenamed({"a": "node", "b": "hub"}), ["node", "hub"]).drop("hub")
-    other = rows.select("key", *[F.col(c).alias(f"{c}_") for c in rows.columns if c != "key"])
-    bits = lambda side, f: sum((F.bit_count(f(F.col(f"{side}{i}"), F.col(f"{side}{i}_"))) for i in range(MASKS)), F.lit(0))
-    inside = F.least(F.col("inside"), F.col("inside_"), F.col("hub_n") - bits("lack", lambda x, y: x.bitwiseOR(y)))
-    alone = lambda x, y: x.bitwiseAND(F.bitwise_not(y))
-    outside = F.least(F.col("n") - F.col("inside") - bits("own", alone), F.col("n_") - F.col("inside_") - bits("own", lambda x, y: alone(y, x)))
-    both, total = inside + outside, F.col("n") + F.col("n_")
-    pairs = rows.join(other, (rows["key"] == other["key"]) & (F.col("node") < F.col("node_")) & (F.col("label") != F.col("label_"))
-                      & ((100 + percent) * both >= percent * total))
-    return pairs.select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
-
-
-def links(nodes: DataFrame, signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """(node, label) of all nodes that link with another: their components."""
+def links(nodes: DataFrame, signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame | None:
+    """(node, label) of all nodes that link with another (their components), or None."""
     counts = {r["n"]: r["k"] for r in nodes.where(F.col("n") <= MOST_SMALL).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
     bound = boundary(counts, percent)
     edges = written(_small_links(nodes.where(F.col("n") < bound), bound, percent), "links")
     lists = _lists(signed.where(F.col("n_shingles") >= _sizes(bound, percent)[0]))
-    if lists.isEmpty():
-        return components(edges)
-    sets = _sets(lists, nodes, docs, id_col, text_col, size)
-
-    def found(pairs: DataFrame) -> None:
-        nonlocal edges, labels
-        new = written(_confirmed(written(pairs, "pairs"), sets, percent), "links")
-        if not new.isEmpty():
-            edges = edges.union(new)
-            labels = components(edges)
-
-    labels = None if edges.isEmpty() else components(edges)
-    here = _labelled(lists, labels)
-    found(_with_hub(here, _hubs(here), percent))
-    # Those outside the first hub's component, with the most central of them.
-    rest = written(_several(_labelled(lists, labels)), "several")
-    if not rest.isEmpty():
-        apart = rest.join(_hubs(rest), "key").where("label != h.label").drop("h")
-        apart = written(_several(apart), "apart")
-        found(_with_hub(apart, _hubs(apart), percent))
-        rest = _several(_labelled(rest.drop("label"), labels))
-        found(_rest_pairs(rest, _hubs(rest), sets, percent))
-    return components(edges) if labels is None else labels
+    return connect(lists, nodes, docs, id_col, text_col, size, percent, edges)
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -346,7 +199,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = written(signed.where("node is not null").groupBy("node").agg(
         F.min("_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("small").alias("small")), "nodes")
     labels = links(nodes, signed, docs, id_col, text_col, size, percent)
-    marked = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    marked = with_labels(nodes.select("node", "rep"), labels)
     names = marked.groupBy("label").agg(F.min("rep").alias("name"))
     marked = marked.join(names, "label").select("node", "name")
     found = signed.select("_id", "n_shingles", "node").join(marked, "node", "left")
