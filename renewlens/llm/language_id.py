@@ -45,8 +45,7 @@ FEATURE_BYTES = 500_000
 #: Words per step of the forward-backward scan.
 STEP = 64
 
-_LETTER = re.compile(r"[^\W\d_]")
-_ASCII_LETTER = re.compile(rb"[a-z\x80-\xff]")
+_ASCII_LETTER = re.compile(rb"[a-z]")
 
 
 def pieces(word: bytes) -> list[bytes]:
@@ -68,10 +67,10 @@ def split_words(text: bytes) -> list[bytes]:
 
 
 def has_letter(word: bytes) -> bool:
-    """Whether a lower-cased UTF-8 word has a letter."""
-    if not _ASCII_LETTER.search(word):
-        return False
-    return _LETTER.search(word.decode("utf-8", "replace")) is not None
+    """Whether a lower-cased UTF-8 word has a letter (Unicode category L; numerals and digits of any script are none)."""
+    if _ASCII_LETTER.search(word):
+        return True
+    return not word.isascii() and any(map(str.isalpha, word.decode("utf-8", "replace")))
 
 
 def _hash(x: np.ndarray, seed: int) -> np.ndarray:
