@@ -43,14 +43,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = minhash.near_duplicates(docs).where("label is not null")
     # Groups go by the component's label: ids may be null or repeated under unrelated texts.
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("p")
-    one = found.groupBy("label").agg(smallest).select(F.col("p.doc_id").alias("_id"), F.col("p.text_hash").alias("_hash"))
-    worded = F.coalesce("text", F.lit("")).rlike(WORD)
-    rows = docs.where(worded).withColumn("_hash", F.xxhash64("text")).alias("d")
-    rows = rows.join(one.alias("o"), F.col("d.doc_id").eqNullSafe(F.col("o._id")) & (F.col("d._hash") == F.col("o._hash")), "left_semi")
-    # Rows of one id and one text are the same document.
-    first = F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("doc_id"))
-    rows = rows.withColumn("_first", first).where("_first = 1").select(*_columns(docs))
-    return rows.union(docs.where(~worded))
+    one = found.groupBy("label").agg(smallest).select(F.col("p.doc_id").alias("_id"), F.col("p.text_hash").alias("_one"))
+    columns = _columns(docs)
+    named = docs.toDF(*[f"_c{i}" for i in range(len(columns))])  # whatever the columns are called
+    id_, text = (F.col(f"_c{columns.index(c)}") for c in ("doc_id", "text"))
+    worded = F.coalesce(text, F.lit("")).rlike(WORD)
+    rows = named.where(worded).withColumn("_hash", F.xxhash64(text))
+    rows = rows.join(one, id_.eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_one")), "left_semi")
+    # Rows of one id and one text are the same document: the smallest in its other columns stays.
+    ties = [F.col(n) for n, kind in named.dtypes if not kind.startswith(("map", "variant"))]
+    first = F.row_number().over(Window.partitionBy(id_, "_hash").orderBy(*ties))
+    rows = rows.withColumn("_first", first).where("_first = 1").drop("_first", "_hash")
+    return rows.union(named.where(~worded)).toDF(*columns)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
