@@ -135,10 +135,13 @@ def predict_job(spark: SparkSession, model_dir: str, data: DataFrame, output_dir
 def tune_job(spark: SparkSession, data: DataFrame, output_dir: str | None = None, space: dict | None = None,
              tuning: dict | None = None, target_col: str = config.TARGET_COLUMN, key_col: str = config.ID_COLUMN,
              default_params: dict | None = None, overrides: dict | None = None, final_overrides: dict | None = None,
-             top_n: int = 10) -> JobResult:
+             top_n: int = 10, resume_dir: str | None = None) -> JobResult:
     """3.4: split -> search on the training part -> top N -> comparison with
     the defaults on the same folds -> best and default fitted on the training
-    part (early stop on the test part) and evaluated on the test part."""
+    part (early stop on the test part) and evaluated on the test part.
+
+    ``resume_dir`` (a folder all executors share) keeps the search's fold scores: a job that was
+    stopped goes on there with the fits that are missing."""
     from .tuning import cv_results
 
     tcfg = {**config.HYPERPARAMETER_TUNING_CONFIG, **(tuning or {})}
@@ -148,7 +151,7 @@ def tune_job(spark: SparkSession, data: DataFrame, output_dir: str | None = None
     test = split.where(F.col("part") == PART_TEST).drop("part")
     found = search(train, space or config.HYPERPARAMETER_SEARCH_SPACE, tcfg["search_method"], tcfg["n_iter"],
                    tcfg["cv"], tcfg["random_state"], target_col=target_col, overrides=overrides,
-                   return_train_score=True)
+                   return_train_score=True, store=resume_dir)
     res.frames["cv_results"] = found.summary
     res.frames["cv_top"] = cv_results(found.summary, top_n)
     res.frames["fold_scores"] = found.fold_scores
