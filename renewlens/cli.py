@@ -64,6 +64,7 @@ def main(argv=None) -> int:
             s.add_argument("--method", default=config.HYPERPARAMETER_TUNING_CONFIG["search_method"])
             s.add_argument("--n-iter", type=int, default=config.HYPERPARAMETER_TUNING_CONFIG["n_iter"])
             s.add_argument("--cv", type=int, default=config.HYPERPARAMETER_TUNING_CONFIG["cv"])
+            s.add_argument("--resume", default=None, help="shared folder of fold scores; a stopped search goes on there")
     args = p.parse_args(argv)
 
     from renewlens.plans.jobs import predict_job, train_job, tune_job
@@ -79,7 +80,8 @@ def main(argv=None) -> int:
     else:
         over = {"maxIter": args.trees} if args.trees else None
         res = tune_job(spark, data, args.output, tuning={"search_method": args.method, "n_iter": args.n_iter,
-                                                        "cv": args.cv}, overrides=over)
+                                                        "cv": args.cv}, overrides=over,
+                       resume_dir=args.resume)
     print(json.dumps({"command": args.cmd, "outputs": res.paths}, ensure_ascii=False))
     return 0
 
