@@ -1,9 +1,13 @@
 """op5 and op7: exact ids against the libraries, exact round trips."""
 
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -13,6 +17,7 @@ from tokenizers import Tokenizer
 from renewlens.llm import token_files, tree_bpe
 from renewlens.llm.common import scratch_path
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 WORDS = P.path("word_bpe_49k.json")
 
@@ -68,7 +73,8 @@ def test_pieces_equal_library():
     tok.encode_special_tokens = True
     enc = token_files.Encoder(WORDS)
     texts = random_texts(5, 4000, ODD + ["’", "É", "İ", "한", "ㅏ", "Ǆ"])
-    for t, ids in zip(texts, enc.encode([t.encode() for t in texts])):
+    texts += random_texts(9, 4000, ODD + ["'", "×", "÷", "ı", "ŉ", "=", "\u0338", "²", "½", "\x00", "S", "'S", ",", "ª", "ſ", "K"])
+    for t, ids in zip(texts, enc.encode(pa.array(texts)).to_pylist()):
         assert np.frombuffer(ids, enc.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids + [1], repr(t)
 
 
@@ -109,3 +115,38 @@ def test_query_offsets(spark):
     for r in got[:50]:
         ids = tok.encode(texts[r["doc_id"]], add_special_tokens=False).ids + [1]
         assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_files_decode_in_a_fresh_process(spark, docs, rows):
+    """The folder alone suffices: no object of the writer, no tokenizer."""
+    out = scratch_path(spark, "test-files")
+    token_files.write_tokens(docs, WORDS, out)
+    code = """
+import sys, glob, numpy as np, pyarrow.parquet as pq
+from renewlens.llm.token_files import unpack
+out = sys.argv[1]
+ranks = pq.read_table(out + "/ranks").sort_by("rank").column("id").to_numpy()
+for row in pq.read_table(out + "/blocks").to_pylist():
+    ids, at = ranks[unpack(row["control"], row["data"], sum(row["n"]))], 0
+    for i, n in zip(row["docs"], row["n"]):
+        print(i, *ids[at:at + n]); at += n
+"""
+    done = subprocess.run([sys.executable, "-c", code, out.removeprefix("file:")], capture_output=True, text=True, check=True, cwd=ROOT)
+    tok = Tokenizer.from_file(WORDS)
+    tok.encode_special_tokens = True
+    want = sorted(" ".join(map(str, [i, *tok.encode(t or "", add_special_tokens=False).ids, 1])) for i, t in rows)
+    assert sorted(done.stdout.splitlines()) == want
+
+
+def test_hot_and_text_ids(spark):
+    """An id that holds most rows, null ids and text ids: parts ascend, nothing is lost, a hot id is split."""
+    data = [(None, f"none {i}") for i in range(300)] + [("m", f"hot {i}") for i in range(500)] + [(f"k{i}", "x") for i in range(100)]
+    numbers = [(None if i is None else 7 if i == "m" else 100 + int(i[1:]) if i[1:] < "50" else -int(i[1:]), t) for i, t in data]
+    for given, kind in ((data, "string"), (numbers, "long")):
+        got = token_files.write_tokens(spark.createDataFrame(given, f"doc_id {kind}, text string"), WORDS,
+                                       scratch_path(spark, "test-files")).read(spark).collect()
+        got.sort(key=lambda r: (r["part"], r["off"]))
+        ids = [r["_id"] for r in got]
+        assert ids == sorted((i for i, _ in given), key=lambda i: (i is not None, i if i is not None else 0))
+        hot = "m" if kind == "string" else 7
+        assert len({r["part"] for r in got if r["_id"] == hot}) > 2 and len({r["part"] for r in got if r["_id"] is None}) > 1
