@@ -452,6 +452,20 @@ def q_categorical_encode(spark, sf_dir):
     return model.transform(r).select("user_id", *[f"{c}_index" for c in config.CATEGORICAL_COLUMNS])
 
 
+@register("categorical_encode_table", f"""WITH {RENEWAL_CTE_SQL}
+SELECT r.user_id, {', '.join(f"CAST(COALESCE(v_{c}.idx, (SELECT count(DISTINCT {c}) FROM renewal)) AS DOUBLE) AS {c}_index" for c in config.CATEGORICAL_COLUMNS)}
+FROM renewal r
+{' '.join(f"LEFT JOIN (SELECT {c} AS v, dense_rank() OVER (ORDER BY {c}) - 1 AS idx FROM (SELECT DISTINCT {c} FROM renewal WHERE {c} IS NOT NULL) d) v_{c} ON v_{c}.v = r.{c}" for c in config.CATEGORICAL_COLUMNS)}""")
+def q_categorical_encode_table(spark, sf_dir):
+    """H8 by a vocabulary table: numbered by ranges of values, joined by shuffle but for common values."""
+    from .plans.vocabulary import encode_by_table, vocabulary_table
+
+    r = renewal_df(spark, sf_dir)
+    vocabulary = vocabulary_table(r, config.CATEGORICAL_COLUMNS)
+    rows = r.select("user_id", *config.CATEGORICAL_COLUMNS)
+    return encode_by_table(rows, vocabulary, config.CATEGORICAL_COLUMNS, broadcast_values=0).drop(*config.CATEGORICAL_COLUMNS)
+
+
 # ---------------------------------------------------------------------------
 # profile (D1, D2, D11)
 # ---------------------------------------------------------------------------
@@ -856,6 +870,21 @@ def q_attach_scores(spark, sf_dir):
     return attach_scores(renewal_df(spark, sf_dir).select("user_id", "city", LABEL), scores)
 
 
+@register("attach_stored_scores", f"""WITH {SPLIT_CTE},
+{SCORED_PART.replace('FROM renewal', 'FROM split WHERE part = ' + chr(39) + 'test' + chr(39))}
+SELECT r.user_id, r.city, r.is_renewal, s.pred_probability
+FROM renewal r LEFT JOIN (SELECT user_id, pred_probability FROM scored) s USING (user_id)""")
+def q_attach_stored_scores(spark, sf_dir):
+    """C1 with scores stored first, bucketed and sorted by key, each key once; the stored side is not dealt again."""
+    from .plans.stored_scores import attach_stored_scores, store_scores
+
+    test = split_df(spark, sf_dir).where(F.col("part") == S.PART_TEST)
+    path = FS.unique_scratch(spark, "scores")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    store_scores(test.select("user_id", pseudo_score().alias(PROB)), name, path, buckets=16)
+    return attach_stored_scores(renewal_df(spark, sf_dir).select("user_id", "city", LABEL), name)
+
+
 # ---------------------------------------------------------------------------
 # model, search, streaming (I1-I12, A6-A9, D18, F5, J1): rows-only checks
 # ---------------------------------------------------------------------------

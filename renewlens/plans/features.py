@@ -10,6 +10,9 @@ persistable:
      sentinel fill below any real value (MLlib trees reject NaN), so the
      trees can still send missing rows their own way;
   3. VectorAssembler.
+Category columns of more than ``MAX_VOCABULARY`` values are no indexer's: before the stages
+they are encoded by a joined table (``plans.vocabulary``). The trees take such a column's
+positions as one ordered number with quantile bins, not as categories.
 The feature list is resolved once, from the training frame's columns, and
 stored with the model.
 """
@@ -26,10 +29,12 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions.features import applicable_recipes
 from ..operators.selection import select_feature_names
+from .vocabulary import encode_by_table, vocabulary_table
 
 MISSING_SENTINEL = -1.0e9
-# Largest vocabulary of a category column.
+# Largest vocabulary of an indexer, about (values are counted approximately).
 MAX_VOCABULARY = 10_000
+WIDE_SUFFIX = "__code"
 FEATURES_COL = "features"
 
 
@@ -55,14 +60,16 @@ class FeatureSpec:
     numeric: list[str]
     assembled: list[str] = field(default_factory=list)
     input_types: dict = field(default_factory=dict)
+    wide: list[str] = field(default_factory=list)  # category columns encoded by a table
 
     def to_json(self) -> dict:
         return {"features": self.features, "categorical": self.categorical, "numeric": self.numeric,
-                "assembled": self.assembled, "input_types": self.input_types}
+                "assembled": self.assembled, "input_types": self.input_types, "wide": self.wide}
 
     @classmethod
     def from_json(cls, d: dict) -> "FeatureSpec":
-        return cls(d["features"], d["categorical"], d["numeric"], d.get("assembled", []), d.get("input_types", {}))
+        return cls(d["features"], d["categorical"], d["numeric"], d.get("assembled", []), d.get("input_types", {}),
+                   d.get("wide", []))
 
 
 def plan_features(df: DataFrame, target_col: str = config.TARGET_COLUMN, include=None, exclude=None) -> FeatureSpec:
@@ -90,22 +97,40 @@ def feature_stages(df: DataFrame, spec: FeatureSpec) -> list:
         for c in spec.numeric
     )
     stages.append(SQLTransformer(statement=f"SELECT *{', ' + fill if fill else ''} FROM __THIS__"))
-    spec.assembled = [f"{c}__idx" for c in spec.categorical] + [x for c in spec.numeric for x in (f"{c}__val", f"{c}__missing")]
+    spec.assembled = [f"{c}__idx" for c in spec.categorical] + [f"{c}{WIDE_SUFFIX}" for c in spec.wide] + [x for c in spec.numeric for x in (f"{c}__val", f"{c}__missing")]
     stages.append(VectorAssembler(inputCols=spec.assembled, outputCol=FEATURES_COL, handleInvalid="error"))
     return stages
 
 
-def check_vocabularies(df: DataFrame, columns, limit: int = MAX_VOCABULARY) -> None:
-    """Raise when a category column has more than ``limit`` values: a vocabulary is held on the
-    driver and sets the trees' bins. Approximate counts, one aggregate."""
+def wide_columns(df: DataFrame, columns, limit: int = MAX_VOCABULARY) -> list[str]:
+    """The columns with more than ``limit`` values (approximate counts, one aggregate)."""
     if not columns:
-        return
+        return []
     row = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).first()
-    wide = [c for c in columns if row[c] > limit]
+    return [c for c in columns if row[c] > limit]
+
+
+def check_vocabularies(df: DataFrame, columns, limit: int = MAX_VOCABULARY) -> None:
+    """Raise when a category column has more than ``limit`` values: an indexer's vocabulary is held
+    on the driver and sets the trees' bins."""
+    wide = wide_columns(df, columns, limit)
     if wide:
         raise ValueError(f"more than {limit} categories in: {', '.join(wide)}")
 
 
+def fit_wide_columns(df: DataFrame, spec: FeatureSpec, limit: int | None = None) -> DataFrame | None:
+    """Take the wide category columns out of the indexer's: they are noted in ``spec.wide`` and
+    their vocabulary table is returned (None: there are none)."""
+    spec.wide = wide_columns(df, spec.categorical, MAX_VOCABULARY if limit is None else limit)
+    spec.categorical = [c for c in spec.categorical if c not in spec.wide]
+    return vocabulary_table(df, spec.wide) if spec.wide else None
+
+
+def with_wide_codes(df: DataFrame, spec: FeatureSpec, vocabulary: DataFrame | None) -> DataFrame:
+    """``df`` with the positions of its wide category columns, as the stages take them."""
+    return encode_by_table(df, vocabulary, spec.wide, WIDE_SUFFIX) if spec.wide else df
+
+
 def fit_feature_model(df: DataFrame, spec: FeatureSpec) -> PipelineModel:
     """Learn the vocabularies on ``df`` (all rows, as the original does)."""
     check_vocabularies(df, spec.categorical)
@@ -124,7 +149,7 @@ def vocabulary_sizes(model: PipelineModel) -> dict:
 
 def source_feature(assembled_name: str) -> str:
     """Map an assembled slot back to its feature name (value + indicator -> feature)."""
-    for suffix in ("__idx", "__val", "__missing"):
+    for suffix in ("__idx", WIDE_SUFFIX, "__val", "__missing"):
         if assembled_name.endswith(suffix):
             return assembled_name[: -len(suffix)]
     return assembled_name

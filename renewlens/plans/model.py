@@ -42,7 +42,8 @@ from ..operators.selection import check_threshold
 from ..session import ensure_checkpoint_dir
 from ..sources.files import read_json_row, write_json_row
 from .artefacts import find_version, save_version
-from .features import FEATURES_COL, FeatureSpec, fit_feature_model, plan_features, source_feature, vocabulary_sizes
+from .features import (FEATURES_COL, FeatureSpec, fit_feature_model, fit_wide_columns, plan_features, source_feature,
+                       vocabulary_sizes, with_wide_codes)
 
 LABEL_COL = "__label"
 MIN_MAX_BINS = 32
@@ -95,6 +96,7 @@ class RenewalModel:
     # What the model was trained with; later changes of the lists do not reach it.
     recipes: list = field(default_factory=lambda: list(features.RECIPES))
     rules: list = field(default_factory=lambda: copy.deepcopy(config.LEVEL_TAG_RULES))
+    vocabulary: DataFrame | None = None  # of the wide category columns
 
     # -- B10 ------------------------------------------------------------------
     def set_threshold(self, t: float) -> None:
@@ -108,9 +110,9 @@ class RenewalModel:
         prepared = prepare_input(df, self.recipes)
         missing = [c for c in self.spec.features if c not in prepared.columns]
         for c in missing:  # B3: absent feature columns become typed nulls
-            dtype = "string" if c in self.spec.categorical else "double"
+            dtype = "string" if c in self.spec.categorical + self.spec.wide else "double"
             prepared = prepared.withColumn(c, F.lit(None).cast(dtype))
-        return prepared
+        return with_wide_codes(prepared, self.spec, self.vocabulary)
 
     def score(self, df: DataFrame, threshold: float | None = None, rules=None) -> DataFrame:
         """Input columns + pred_probability, pred_label, level_tag (one transform)."""
@@ -149,6 +151,8 @@ class RenewalModel:
 
         def write(folder: str) -> None:
             self.pipeline.write().save(f"{folder}/pipeline")
+            if self.vocabulary is not None:
+                self.vocabulary.write.parquet(f"{folder}/vocabulary")
             write_json_row(spark, meta, f"{folder}/meta")
 
         save_version(spark, path, write)
@@ -163,8 +167,10 @@ class RenewalModel:
             meta = read_json_row(spark, f"{folder}/meta")
         except Exception as exc:  # one clear error whatever part is missing
             raise FileNotFoundError(f"model artefacts missing or unreadable under {path}: {exc}") from exc
-        return cls(pipeline, FeatureSpec.from_json(meta["spec"]), float(meta["threshold"]), meta["target_col"],
-                   int(meta.get("trees", 0)), features.rebuilt_recipes(meta["recipes"]), meta["rules"])
+        spec = FeatureSpec.from_json(meta["spec"])
+        vocabulary = spark.read.parquet(f"{folder}/vocabulary") if spec.wide else None
+        return cls(pipeline, spec, float(meta["threshold"]), meta["target_col"], int(meta.get("trees", 0)),
+                   features.rebuilt_recipes(meta["recipes"]), meta["rules"], vocabulary)
 
 
 def _prepared_training(feature_model: PipelineModel, df: DataFrame, target_col: str) -> DataFrame:
@@ -269,7 +275,8 @@ def train_model(
         train_in if valid_df is None else train_in.unionByName(prepare_input(valid_df), allowMissingColumns=True)
     )
     spec = plan_features(train_df, target_col, include, exclude)
-    feature_model = fit_feature_model(vocab_in, spec)
+    vocabulary = fit_wide_columns(vocab_in, spec)
+    feature_model = fit_feature_model(vocab_in if vocabulary is None else with_wide_codes(vocab_in, spec, vocabulary), spec)
     sizes = vocabulary_sizes(feature_model)
     max_bins = max([MIN_MAX_BINS] + [n + 1 for n in sizes.values()])
 
@@ -277,9 +284,9 @@ def train_model(
     # pass {"cacheNodeIds": True} in overrides for very deep trees on large data.
     kwargs = {"checkpointInterval": 10, "cacheNodeIds": False, **gbt_params(params), **(overrides or {})}
     gbt = GBTClassifier(featuresCol=FEATURES_COL, labelCol=LABEL_COL, maxBins=max_bins, **kwargs)
-    gbt_model = gbt.fit(materialize(_prepared_training(feature_model, train_in, target_col)))
+    gbt_model = gbt.fit(materialize(_prepared_training(feature_model, with_wide_codes(train_in, spec, vocabulary), target_col)))
     if valid_df is not None and early_stopping_rounds:
-        valid = _prepared_training(feature_model, prepare_input(valid_df), target_col)
+        valid = _prepared_training(feature_model, with_wide_codes(prepare_input(valid_df), spec, vocabulary), target_col)
         values = prefix_auc(gbt_model, valid)
         if all(v is not None for v in values):  # one class only: no AUC, nothing to watch
             keep = patience_stop(values, int(early_stopping_rounds))
@@ -287,7 +294,7 @@ def train_model(
                 gbt_model = first_trees(gbt_model, keep)
     pipeline = PipelineModel(stages=[*feature_model.stages, gbt_model])
     threshold = check_threshold((params or {}).get("threshold", config.DEFAULT_THRESHOLD))
-    return RenewalModel(pipeline, spec, threshold, target_col, len(gbt_model.trees))
+    return RenewalModel(pipeline, spec, threshold, target_col, len(gbt_model.trees), vocabulary=vocabulary)
 
 
 def attach_scores(df: DataFrame, scores: DataFrame, key: str = config.ID_COLUMN) -> DataFrame:
