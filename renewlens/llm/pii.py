@@ -1,16 +1,21 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
 Seeds are the spans of four base patterns (email, ip, card with Luhn, phone). The
-words around seeds, and around identifier-like tokens that no base pattern covers,
-are lexical patterns; patterns and instances form a graph that is scored in turns:
-a pattern's confidence in a kind is the share of its occurrences taken by instances
-of that kind, an instance's score the mean confidence of the patterns it occurs in.
-Only patterns seen with several different seeds count. Tokens whose score reaches
+words around seeds, and around candidates that no base pattern covers, are lexical
+patterns. Candidates are written-out or bracketed at-forms (with or without digits),
+runs of digit groups joined by blanks, dots, slashes, hyphens and brackets, groups of
+hexadecimal digits joined by colons, and single tokens with three digits. Patterns and
+instances form a graph that is scored in turns: a pattern's confidence in a kind is the
+share of its occurrences taken by instances of that kind, among seeds and candidates of
+the kind's shape; an instance's score the mean
+confidence of the patterns it occurs in, for the kinds whose shape it has (SHAPES).
+Only patterns seen with several different seeds count. Candidates whose score reaches
 the limit after the last turn are added as spans of the kind; base spans stay.
 
 Offsets are code points, from the lengths of the pieces between matches. Rows: a
 null text counts as empty; repeated rows give repeated rows; a text without a match
-gives empty strings; with no seeds at all nothing is added. Patterns are possessive
+gives empty strings; with no seeds at all nothing is added; an empty table gives no
+rows; very long texts are searched whole. Patterns are possessive
 where that cannot change a match, so long runs are read in linear time.
 """
 
@@ -31,9 +36,23 @@ REGEX = {
     "card": r"[0-9](?:[ -]?+[0-9]){15,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Identifier-like tokens: 6 to 40 characters with three digits between blanks, without closing punctuation.
-SLOT = r"(?<!\S)(?=(?:[^\s0-9]{0,40}[0-9]){3})[A-Za-z0-9+][A-Za-z0-9+@._%()/:#=-]{4,38}(?<=[A-Za-z0-9])(?=[.,;:!?)]{0,3}(?:\s|$))"
-SLOT_DIGITS = 3
+_AT = r"(?: ?[(\[{<] ?(?i:at|@) ?[)\]}>] ?| (?i:at) |@)"
+_DOT = r"(?:\.| ?[(\[{<] ?(?i:dot|punkt|punto|point) ?[)\]}>] ?| (?i:dot) )"
+_NAME = r"[\p{L}0-9_%+-]"
+#: An at-form; a blank " at " counts only with a domain of two parts behind it.
+_MAIL = rf"{_NAME}{{1,64}}+(?:{_DOT}{_NAME}{{1,64}}+){{0,8}}(?:{_AT})[\p{{L}}0-9-]{{1,63}}+(?:{_DOT}[\p{{L}}0-9-]{{1,63}}+){{0,8}}+"
+_HEX = r"[0-9A-Fa-f]{1,4}+(?::{1,2}[0-9A-Fa-f]{1,4}+){2,7}+"
+_RUN = r"[+(]?[0-9](?:[ ()./-]{0,2}+[0-9]){5,30}+"
+_TOKEN = r"(?=(?:[^\s0-9]{0,40}[0-9]){3})[A-Za-z0-9+][A-Za-z0-9+@._%()/:#=-]{4,38}(?<=[A-Za-z0-9])"
+#: Candidates, each after a blank, an opening mark or a colon, and before a blank or closing marks.
+SLOT = rf"(?<![^\s(<\[\"':=])(?:{_MAIL}|{_HEX}|{_RUN}|{_TOKEN})(?=[.,;:!?)>\]\"']{{0,3}}(?:\s|$))"
+#: What a candidate must look like to be taken for a kind: a form, and how many digits.
+SHAPES = {
+    "email": (rf"[@(\[{{<]| (?i:at) .*{_DOT}|\.\p{{L}}{{2,}}$", 0, 64),
+    "ip": (rf"^[0-9]{{1,3}}(?:[ ._:-][0-9]{{1,3}}){{2,3}}(?:/[0-9]{{1,2}})?$|^{_HEX}(?:/[0-9]{{1,3}})?$", 1, 64),
+    "card": (r"^[0-9][0-9 ./-]*$", 12, 19),
+    "phone": (r"^[+(0-9][0-9 ()./-]*$", 6, 15),
+}
 CONTEXT = 24
 TURNS = 3
 #: Different seeds a pattern needs before it counts for a kind.
@@ -76,8 +95,8 @@ def _placed(parts: Column, matches: Column, lens: Column, sums: Column) -> Colum
         right = F.lower(F.substring(F.get(parts, i + 1), 1, 64))
         return F.struct(
             start.alias("s"), (start + F.length(m)).alias("e"), m.alias("m"),
-            F.regexp_extract(left, rf"(\S{{1,{CONTEXT}}}+)\s+$", 1).alias("l"),
-            F.regexp_extract(right, rf"^\S?\s+(\S{{1,{CONTEXT}}}+)", 1).alias("r"))
+            F.regexp_extract(left, rf"(\S{{1,{CONTEXT}}}+)(?:\s+|(?<=[:=]))[(<\[\"']?$", 1).alias("l"),
+            F.regexp_extract(right, rf"^[^\s\p{{L}}0-9]{{0,3}}\s+(\S{{1,{CONTEXT}}}+)", 1).alias("r"))
 
     return F.when((F.size(lens) > 0) & (F.size(sums) > 0), F.transform(matches, place))
 
@@ -116,10 +135,11 @@ def _named_span(kind: str):
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """``_text`` with the columns ``email, ip, card, phone`` (valid spans) and ``slot`` (other tokens)."""
+    """``_text`` with the columns ``email, ip, card, phone`` (valid spans) and ``slot`` (candidates)."""
     text = F.coalesce("_text", F.lit(""))
     digit = text.rlike("[0-9]")
-    guard = {"email": text.contains("@"), "ip": digit, "card": digit, "phone": text.contains("+"), "slot": digit}
+    guard = {"email": text.contains("@"), "ip": digit, "card": digit, "phone": text.contains("+"),
+             "slot": digit | text.rlike(r"@|(?i:\bat\b)")}
     kinds = (*KINDS, "slot")
     raw = docs
     for kind, regex in [*REGEX.items(), ("slot", SLOT)]:
@@ -130,8 +150,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     at = {k: _placed(*[F.col(f"_{k}_{x}") for x in "pmls"]) for k in kinds}
     placed = raw.withColumns({k: F.filter(at[k], _check(k)) if k in KINDS else at[k] for k in kinds})
     placed = placed.drop(*[f"_{k}_{x}" for k in kinds for x in "pmls"])
-    free = F.filter("slot", lambda x: (F.length(_digits(x["m"])) >= SLOT_DIGITS) & ~_overlaps(x))
-    return placed.withColumn("slot", free)
+    return placed.withColumn("slot", F.filter("slot", lambda x: ~_overlaps(x)))
 
 
 def _overlaps(x: Column) -> Column:
@@ -142,19 +161,27 @@ def _overlaps(x: Column) -> Column:
     return hit
 
 
+def _shaped(kind: str, m: Column) -> Column:
+    form, low, high = SHAPES[kind]
+    return m.rlike(form) & F.length(_digits(m)).between(low, high)
+
+
 def _edges(spans: DataFrame) -> DataFrame:
-    """(pat, inst, seed, n): how often each instance occurs in each pattern; seed is the kind or null."""
+    """(pat, inst, seed, n, ok_*): how often each instance occurs in each pattern; seed is the kind or null,
+    ok_* tells whether a candidate has the kind's shape."""
     seen = None
     for kind in (*KINDS, "slot"):
         one = (spans.select(F.explode(kind).alias("x"))
                .select(F.xxhash64(F.lower("x.m")).alias("inst"), F.lit(kind if kind != "slot" else None).cast("string").alias("seed"),
-                       F.col("x.l").alias("l"), F.col("x.r").alias("r")))
+                       F.col("x.l").alias("l"), F.col("x.r").alias("r"),
+                       *[(_shaped(k, F.lower("x.m")) if kind == "slot" else F.lit(False)).alias(f"ok_{k}") for k in KINDS]))
         seen = one if seen is None else seen.union(one)
     pats = F.array(
         F.when(F.col("l") != "", F.xxhash64(F.lit("L"), "l")), F.when(F.col("r") != "", F.xxhash64(F.lit("R"), "r")),
         F.when((F.col("l") != "") & (F.col("r") != ""), F.xxhash64(F.lit("B"), "l", "r")))
-    return (seen.select("inst", "seed", F.explode(pats).alias("pat")).where("pat is not null")
-            .groupBy("pat", "inst", "seed").agg(F.count(F.lit(1)).alias("n")))
+    oks = [f"ok_{k}" for k in KINDS]
+    return (seen.select("inst", "seed", *oks, F.explode(pats).alias("pat")).where("pat is not null")
+            .groupBy("pat", "inst", "seed", *oks).agg(F.count(F.lit(1)).alias("n")))
 
 
 def discovered(spans: DataFrame, turns: int = TURNS, min_seeds: int = MIN_SEEDS, limit: float = LIMIT) -> DataFrame:
@@ -165,16 +192,19 @@ def discovered(spans: DataFrame, turns: int = TURNS, min_seeds: int = MIN_SEEDS,
               .where(F.col("seeds") >= min_seeds).select("pat").distinct())
     live = written(edges.join(strong, "pat", "left_semi").select(
         "pat", "inst", "n", *[F.when(F.col("seed") == k, 1.0).otherwise(0.0).alias(f"seed_{k}") for k in KINDS],
-        F.col("seed").isNotNull().alias("is_seed")), "pii-graph")
+        F.col("seed").isNotNull().alias("is_seed"), *[f"ok_{k}" for k in KINDS]), "pii-graph")
     scores = None
     for _ in range(turns):
         now = live if scores is None else live.join(scores, "inst", "left")
         part = [(F.when(F.col("is_seed"), F.col(f"seed_{k}")).otherwise(
             F.lit(0.0) if scores is None else F.coalesce(f"i_{k}", F.lit(0.0)))).alias(f"v_{k}") for k in KINDS]
-        conf = now.select("pat", "n", *part).groupBy("pat").agg(
-            *[(F.sum(F.col("n") * F.col(f"v_{k}")) / (F.sum("n") + SMOOTH)).alias(f"p_{k}") for k in KINDS])
+        conf = now.select("pat", "n", "is_seed", *[f"ok_{k}" for k in KINDS], *part).groupBy("pat").agg(
+            *[(F.sum(F.col("n") * F.col(f"v_{k}"))
+               / (F.sum(F.when(F.col("is_seed") | F.col(f"ok_{k}"), F.col("n")).otherwise(0)) + SMOOTH)).alias(f"p_{k}")
+              for k in KINDS])
         scores = (live.where("not is_seed").join(conf, "pat").groupBy("inst").agg(
-            *[(F.sum(F.col("n") * F.col(f"p_{k}")) / F.sum("n")).alias(f"i_{k}") for k in KINDS]))
+            *[(F.sum(F.when(F.col(f"ok_{k}"), F.col("n") * F.col(f"p_{k}")).otherwise(0.0)) / F.sum("n")).alias(f"i_{k}")
+              for k in KINDS]))
         scores = written(scores, "pii-scores")
     best = F.greatest(*[F.col(f"i_{k}") for k in KINDS])
     kind = F.coalesce(*[F.when(F.col(f"i_{k}") == best, F.lit(k)) for k in KINDS])
