@@ -15,7 +15,7 @@ one shard and one block.
 
 Rows: vectors that are null, empty, zero or hold a null or non-finite number take no
 part, nor do null ids; vectors of different lengths are indexed apart and never meet;
-equal rows count once; equal vectors keep as many of their smallest ids as any result
+equal rows count once; components keep the column's type (single or double precision); equal vectors keep as many of their smallest ids as any result
 can hold; ties go to the smaller id; with fewer candidates all are returned.
 """
 
@@ -113,6 +113,12 @@ def _return_links(x: np.ndarray, links: np.ndarray, a: int, b: int, m: int) -> N
     links[touched] = _diverse(x, cand, sims, m) if width > m else np.pad(cand, ((0, 0), (0, m - width)), constant_values=-1)
 
 
+def _single(x: np.ndarray) -> np.ndarray:
+    """Single precision for the walk; vectors beyond its comfortable range are scaled, which keeps the order."""
+    top = float(np.abs(x).max(initial=0))
+    return (x if 1e-15 < top < 1e15 or not top else x / top).astype(np.float32)
+
+
 class Graph:
     """One shard: vectors, and per level the nodes' neighbour rows (flat arrays)."""
 
@@ -197,12 +203,26 @@ def _usable(v: Column) -> Column:
     return v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
 
 
+def _rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(_id, v) of the rows that take part; v stays in single precision if it is, all else is double."""
+    kind = vectors.schema[vector_col].dataType.elementType.simpleString()
+    v = F.col(vector_col).cast(f"array<{'float' if kind == 'float' else 'double'}>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("_id"), v.alias("v"))
+    return rows.where(F.col("_id").isNotNull() & _usable(F.col("v")))
+
+
+def _type(vectors: DataFrame) -> tuple[str, type]:
+    """Spark's and numpy's type of the components of ``v``."""
+    kind = vectors.schema["v"].dataType.elementType.simpleString()
+    return kind, np.float32 if kind == "float" else np.float64
+
+
 def nodes_of(vectors: DataFrame, id_col: str, vector_col: str, keep: int) -> DataFrame:
     """(node, v, members): distinct vectors, named by their smallest id, with at most ``keep`` smallest ids."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<float>").alias("v"))
-    rows = rows.where(F.col("_id").isNotNull() & _usable(F.col("v")))
+    rows = _rows(vectors, id_col, vector_col).distinct()
+    # A limit on the row number is applied in every task before the exchange, so a common vector is a few rows there.
     w = Window.partitionBy("v").orderBy("_id")
-    few = rows.withColumn("r", F.dense_rank().over(w)).where(F.col("r") <= keep)
+    few = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= keep)
     return few.groupBy("v").agg(F.sort_array(F.collect_set("_id")).alias("members")).select(
         F.element_at("members", 1).alias("node"), "v", "members")
 
@@ -211,32 +231,34 @@ def build_index(nodes: DataFrame, shard_size: int = SHARD) -> DataFrame:
     """(dim, shard, node, v, levels): per node its neighbour row on each of its levels (nodes' positions)."""
     n = nodes.count()
     shards = max(1, -(-n // shard_size))
+    exact = _type(nodes)[1]
     rows = nodes.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", "v")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", kind="stable").reset_index(drop=True)
-        graph = Graph.build(np.array(pdf["v"].tolist(), np.float32), int(pdf["shard"].iloc[0]))
+        graph = Graph.build(_single(np.array(pdf["v"].tolist(), exact)), int(pdf["shard"].iloc[0]))
         levels: list[list[bytes]] = [[] for _ in range(len(pdf))]
         for ids, links in graph.levels:
             for i, row in zip(ids.tolist(), links):
                 levels[i].append(row.tobytes())
         return pd.DataFrame({"dim": pdf["dim"], "shard": pdf["shard"], "node": pdf["node"], "pos": np.arange(len(pdf)),
-                             "v": [np.asarray(v, np.float32).tobytes() for v in pdf["v"]], "levels": levels})
+                             "v": [np.asarray(v, exact).tobytes() for v in pdf["v"]], "levels": levels})
 
     return rows.groupBy("dim", "shard").applyInPandas(
         build, "dim int, shard int, node long, pos int, v binary, levels array<binary>")
 
 
-def _graph(pdf: pd.DataFrame) -> tuple[Graph, np.ndarray]:
+def _graph(pdf: pd.DataFrame, exact: type) -> tuple[Graph, np.ndarray, np.ndarray]:
+    """The graph, its nodes' names and their vectors in the column's precision."""
     pdf = pdf.sort_values("pos", kind="stable")
-    vectors = np.frombuffer(b"".join(pdf["v"]), np.float32).reshape(len(pdf), -1)
+    vectors = np.frombuffer(b"".join(pdf["v"]), exact).reshape(len(pdf), -1)
     high = pdf["levels"].map(len).to_numpy()
     levels = []
     for level in range(int(high.max())):
         ids = np.flatnonzero(high > level)
         rows = [pdf["levels"].iloc[i][level] for i in ids]
         levels.append((ids, np.frombuffer(b"".join(rows), np.int32).reshape(len(ids), -1)))
-    return Graph(vectors, levels), pdf["node"].to_numpy()
+    return Graph(_single(vectors), levels), pdf["node"].to_numpy(), vectors
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, block_size: int = BLOCK, beam: int = BEAM) -> DataFrame:
@@ -249,26 +271,27 @@ def search(index: DataFrame, queries: DataFrame, k: int, block_size: int = BLOCK
     shards = index.select("dim", "shard").distinct()
     block = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(blocks)).cast("int")
     empty = F.array().cast("array<binary>")
+    kind, exact = _type(queries)
     asked = (queries.select(F.size("v").alias("dim"), "node", block.alias("block"), "v").join(F.broadcast(shards), "dim")
              .select("dim", "shard", "block", "node", F.lit(-1).alias("pos"), "v", F.lit(None).cast("binary").alias("b"), empty.alias("levels")))
     held = (index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-            .select("dim", "shard", "block", "node", "pos", F.lit(None).cast("array<float>").alias("v"), F.col("v").alias("b"), "levels"))
+            .select("dim", "shard", "block", "node", "pos", F.lit(None).cast(f"array<{kind}>").alias("v"), F.col("v").alias("b"), "levels"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ask, have = pdf[pdf["pos"] < 0].sort_values("node", kind="stable"), pdf[pdf["pos"] >= 0]
         if not len(ask) or not len(have):
             return pd.DataFrame({"node_q": [], "node": [], "score": []}).astype({"node_q": "int64", "node": "int64", "score": float})
-        graph, names = _graph(have.drop(columns="v").rename(columns={"b": "v"}))
-        q = np.array(ask["v"].tolist(), np.float32)
+        graph, names, vectors = _graph(have.drop(columns="v").rename(columns={"b": "v"}), exact)
+        q = np.array(ask["v"].tolist(), exact)
         who = ask["node"].to_numpy()
         out = []
         for a in range(0, len(q), LANES):
             part = q[a : a + LANES]
-            ids, _ = graph.search(part, k + 8, beam)
+            ids, _ = graph.search(_single(part), k + 8, beam)
             good = ids >= 0
             r, c = np.nonzero(good)
             hit = ids[r, c]
-            score = np.einsum("ij,ij->i", graph.vectors[hit].astype(float), part[r].astype(float))
+            score = np.einsum("ij,ij->i", vectors[hit].astype(float), part[r].astype(float))
             got = pd.DataFrame({"node_q": who[a : a + LANES][r], "node": names[hit], "score": score})
             got = got.sort_values(["node_q", "score", "node"], ascending=[True, False, True], kind="stable")
             out.append(got.groupby("node_q", sort=False).head(k))
@@ -282,8 +305,7 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 20, id_col: str = "vec_i
     """``query_id, rank, vec_id, score``: the k nearest rows found for every row that ``asked`` (on ``_id``) selects."""
     nodes = written(nodes_of(vectors, id_col, vector_col, k + 1), "nodes")
     index = written(build_index(nodes, shard_size), "hnsw")
-    ids = (vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<float>").alias("v"))
-           .where(F.col("_id").isNotNull() & asked & _usable(F.col("v"))).distinct())
+    ids = _rows(vectors, id_col, vector_col).where(asked).distinct()
     who = written(ids.join(nodes.select("v", "node"), "v").select(F.col("_id").alias("query_id"), F.col("node").alias("node_q")), "asked")
     queries = nodes.join(who.select(F.col("node_q").alias("node")).distinct(), "node", "left_semi").select("node", "v")
     found = search(index, queries, k + 1)

@@ -104,6 +104,23 @@ def test_nearest(spark, vectors):
     assert set(got["query_id"]) == set(range(0, 700, 20))  # the short vector has no candidates
 
 
+def test_double_vectors_keep_their_precision(spark, vectors):
+    """Components that single precision rounds or cannot hold; many rows of one vector, some repeated."""
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors.astype(float) + 1e-9)]
+    rows += [(2000, [1e39] * 16), (2001, [0.17, 1.0] + [0.0] * 14), (2020, [1.0] + [0.0] * 15)]
+    rows += [(3000 + i // 2, [0.25] * 16) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = hnsw.nearest(df, F.col("_id") % 20 == 0, k=20, shard_size=300).toPandas()
+    by_id = {i: np.array(v) for i, v in rows}
+    for q, mine in got.groupby("query_id"):
+        assert mine["vec_id"].is_unique and q not in set(mine["vec_id"])
+        assert mine["score"].tolist() == pytest.approx([float(by_id[q] @ by_id[v]) for v in mine["vec_id"]], rel=1e-12, abs=1e-300)
+    assert got[(got.query_id == 2020) & (got["rank"] == 1)]["vec_id"].tolist() == [2000]
+    huge = got[got.query_id == 2000].sort_values("rank")
+    best = sorted(((-float(by_id[2000] @ v), i) for i, v in by_id.items() if i != 2000))[:20]
+    assert len(set(huge["vec_id"]) & {i for _, i in best}) >= 18
+
+
 def test_nearest_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 0.5]), (3, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = hnsw.nearest(df, F.col("_id") % 20 == 0).orderBy("query_id", "rank").collect()
