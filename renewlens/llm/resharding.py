@@ -8,9 +8,9 @@ The flow that moves the fewest bytes is solved on the driver over the shard
 graph alone (old x new shards); blocks, in a fixed order, are then dealt to the
 flow's intervals, and only files of blocks that move are rewritten.
 
-The law is ``bytes``: shard sizes differ by about a block. A block whose bytes
-exceed the block limit (a group of copies, a hot bucket) is split by document, so
-no group has to stay in one piece. Null texts have size 1 and belong together
+The law is ``bytes``: shard sizes differ by about a block. A text whose copies exceed
+the block limit is split by document; the rest of a block over the limit is split by
+text, so all other equal texts stay together. Null texts have size 1 and belong together
 with empty ones of size 1. Repeated rows are placed like any others and get
 slots of their own. An empty table gives an empty result.
 """
@@ -107,15 +107,35 @@ def text_size(text: Column) -> Column:
 
 
 def block_table(rows: DataFrame, blocks: int) -> DataFrame:
-    """(old, block, parts, limit): every block and into how many parts a hot one is split.
+    """(old, block, bytes, limit): every block's size and the size from which it is split.
 
     One row per old shard and block, so its size does not depend on the rows.
     """
     sums = rows.groupBy("old", "block").agg(F.sum("size").alias("bytes"))
     total = sums.agg(F.sum("bytes").alias("total"), F.countDistinct("old").alias("n_old"))
     limit = F.greatest(F.lit(1), 2 * F.col("total") / (F.greatest(F.col("n_old"), F.lit(1)) * blocks))
-    return (sums.join(F.broadcast(total)).select(
-        "old", "block", F.ceil(F.col("bytes") / limit).cast("int").alias("parts")))
+    return sums.join(F.broadcast(total)).select("old", "block", "bytes", limit.cast("double").alias("limit"))
+
+
+def hot_tables(rows: DataFrame, table_of_blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(old, block, parts) of blocks over the limit and (old, block, _h, first, split) of texts over it.
+
+    A hot block's other texts are dealt by hash to its ``parts``; a hot text's documents to the
+    ``split`` parts from ``first`` on. Both tables are bounded: what exceeds the limit is at most
+    half as often as there are blocks.
+    """
+    over = table_of_blocks.where(F.col("bytes") > F.col("limit"))
+    texts = (rows.join(F.broadcast(over.select("old", "block", "limit")), ["old", "block"])
+             .groupBy("old", "block", "_h", "limit").agg(F.sum("size").alias("b")).where(F.col("b") > F.col("limit"))
+             .select("old", "block", "_h", "b", F.ceil(F.col("b") / F.col("limit")).cast("int").alias("split")))
+    texts = written(texts, "hot-texts")
+    rest = (over.join(texts.groupBy("old", "block").agg(F.sum("b").alias("hot")), ["old", "block"], "left")
+            .withColumn("rest", F.col("bytes") - F.coalesce("hot", F.lit(0))))
+    blocks = rest.select("old", "block", F.greatest(F.lit(1), F.ceil(F.col("rest") / F.col("limit"))).cast("int").alias("parts"))
+    before = F.sum("split").over(Window.partitionBy("old", "block").orderBy("_h")) - F.col("split")
+    split = texts.join(blocks, ["old", "block"]).select(
+        "old", "block", "_h", (F.col("parts") + before).cast("int").alias("first"), "split")
+    return written(blocks, "hot-blocks"), written(split, "hot-split")
 
 
 def reshard(docs: DataFrame, new_shards: int = NEW_SHARDS, old: Column | None = None, old_shards: int = OLD_SHARDS,
@@ -135,9 +155,12 @@ def reshard(docs: DataFrame, new_shards: int = NEW_SHARDS, old: Column | None =
         F.pmod(F.shiftright("_h", 20), F.lit(blocks)).cast("int").alias("block"))
     # The placement is planned on block sums: at most old shards x blocks rows (plus the parts of hot
     # blocks, of which there are at most old shards x blocks / 2), so these tables may be broadcast.
-    hot = written(block_table(rows, blocks), "blocks")
-    part = F.pmod(F.xxhash64("_id", F.col("_h")), F.coalesce(F.col("parts"), F.lit(1)).cast("long")).cast("int")
-    placed = rows.join(F.broadcast(hot), ["old", "block"], "left").withColumn("part", part).drop("parts")
+    hot_blocks, hot_texts = hot_tables(rows, written(block_table(rows, blocks), "blocks"))
+    by_doc = F.col("first") + F.pmod(F.xxhash64("_id", F.col("_h")), F.col("split").cast("long"))
+    by_text = F.pmod(F.xxhash64("_h"), F.coalesce("parts", F.lit(1)).cast("long"))
+    placed = (rows.join(F.broadcast(hot_blocks), ["old", "block"], "left")
+              .join(F.broadcast(hot_texts), ["old", "block", "_h"], "left")
+              .withColumn("part", F.coalesce(by_doc, by_text).cast("int")).drop("parts", "first", "split"))
     sums = written(placed.groupBy("old", "block", "part").agg(
         F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "block-parts")
     supply_of = {r["old"]: int(r["b"]) for r in sums.groupBy("old").agg(F.sum("bytes").alias("b")).collect()}
