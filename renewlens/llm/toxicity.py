@@ -13,9 +13,9 @@ get a weight; a text's logit is the bias plus the weights of its distinct words,
 toxic word shows in a text of any length.
 
 The classifier is fitted on a bounded sample: at most ``PER_CLASS`` texts of either
-label, of each at most ``SAMPLE_WORDS`` distinct words, both chosen by hash. Tasks count
-the sample's features and cut the texts down to those with a weight, so words do not
-pass through the driver. Scoring reads every word of every text.
+label, chosen by hash, of each all words. Tasks count the sample's features and cut the
+texts down to those with a weight, so words do not pass through the driver, only numbers
+below ``MAX_FEATURES``. Training and scoring read every word of a text, whole.
 
 Rows: null and empty texts get the score of a text without words; rows with a null
 label are not learned from; a document labelled several times is learned from as
@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 from renewlens.llm.common import fold, named, python_columns, select_as, table, text_slices, texts_of, written
 
 PER_CLASS = 4000
-SAMPLE_WORDS = 4096
 #: Texts of the sample that must hold a word before it is a feature.
 MIN_TEXTS = 4
 #: Deviations of a feature's toxic share from the sample's before it is used.
@@ -42,7 +41,6 @@ DEVIATIONS = 4.0
 #: Features with a weight, at most.
 MAX_FEATURES = 20_000
 BITS = 40
-WORD_BYTES = 64
 EPOCHS = 20
 BATCH = 64
 RATE = 0.2
@@ -241,13 +239,7 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_
 
     def make():
         def run(batch):
-            out = []
-            for t in texts_of(batch, "_text"):
-                words = sorted(w[:WORD_BYTES] for w in word_list(t))
-                if len(words) > SAMPLE_WORDS:
-                    words = sorted(words, key=xxhash.xxh3_64_intdigest)[:SAMPLE_WORDS]
-                out.append(words)
-            return {"words": [b"\n".join(w) for w in out]}
+            return {"words": [b"\n".join(sorted(word_list(t))) for t in texts_of(batch, "_text")]}
 
         return run
 

@@ -150,6 +150,23 @@ def test_reshard_even_and_stays(spark):
     assert (~stays["moved"]).mean() == pytest.approx(1 / 16, abs=0.01)
 
 
+def test_only_hot_texts_are_split(spark):
+    rng = random.Random(5)
+    hot = sentence(rng, 40)
+    texts = [sentence(rng, rng.randint(5, 40)) for _ in range(400)]
+    data = [(i, hot if i % 3 == 0 else rng.choice(texts)) for i in range(9000)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = resharding.reshard(df, new_shards=5, old_shards=3, blocks=16, with_text=True).toPandas()
+    assert len(got) == 9000
+    assert got[got["text"] == hot]["shard"].nunique() > 1
+    rest = got[got["text"] != hot]
+    assert (rest.groupby("text")["shard"].nunique() == 1).all()
+    for _, part in got.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+    sizes = got.groupby("shard")["size"].sum()
+    assert sizes.max() < 1.25 * sizes.mean()
+
+
 def test_affected_files_only(spark, docs, tmp_path):
     placed = resharding.reshard(docs, new_shards=5, old_shards=3, with_text=True)
     resharding.rewrite_shards(placed, str(tmp_path / "moved"))
