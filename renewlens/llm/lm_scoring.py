@@ -14,7 +14,10 @@ are averaged by tokens. Normalised log-probabilities of all contexts come from b
 matrix products. Words outside a bounded list of frequent ones meet their counts in a
 shuffled join, so no vocabulary is held whole anywhere.
 
-Rows: a null or empty text is its end alone; repeated rows are scored as often and, in
+A word over ``WORD_BYTES`` is counted under its SHA-256. Averages follow how the rows lie
+in tasks, so ``score`` (not the base score) can differ between layouts of one table.
+
+Rows: a null or empty text is its end alone; an empty table gives no rows; repeated rows are scored as often and, in
 training, counted as often; with no training documents all words are unseen; a very
 long text is scored whole.
 """
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +40,9 @@ CLASSES = 256
 TAIL = 32
 ENDING = 3
 DIM = 32
-#: Frequent words whose counts are sent to every task; longer words than WORD_BYTES never are.
+#: Frequent words whose counts are sent to every task, at most.
 FREQUENT = 150_000
+#: Longer words go by the end token's byte, which no word holds, and their SHA-256.
 WORD_BYTES = 64
 BATCH = 2048
 NOISE = 48
@@ -49,8 +54,10 @@ FLUSH = 300_000
 
 
 def tokens(text: bytes) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a UTF-8 text, A-Z lower-cased, then the end."""
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a UTF-8 text, A-Z lower-cased (long ones by digest), then the end."""
     words = text.lower().split()
+    if words and max(map(len, words)) > WORD_BYTES:
+        words = [w if len(w) <= WORD_BYTES else STOP + sha256(w).digest() for w in words]
     words.append(STOP)
     return words
 
@@ -119,11 +126,24 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
-    """Totals over all counts, the ``frequent`` most frequent words (ties: smaller word first), class sums."""
+    """Totals over all counts, at most ``frequent`` of the most frequent words (ties: smaller word first), class sums.
+
+    The words above a count are taken, and the count is found in a histogram, so that no more
+    than ``frequent`` of them leave the executors; with too few above it the first CLASSES.
+    """
     own = CLASSES - TAIL
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = [(bytes(r["w"]), int(r["n"])) for r in counts.where(F.length("w") <= WORD_BYTES)
-           .orderBy(F.desc("n"), "w").limit(frequent).collect()]
+    step = F.floor(F.log2("n") * 16)  # a few hundred steps in all
+    taken, lowest = 0, None
+    for r in sorted(counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("v")).collect(), key=lambda r: -r["s"]):
+        if taken + r["v"] > frequent:
+            break
+        taken, lowest = taken + r["v"], r["s"]
+    if taken < min(CLASSES, sums["v"]):
+        near = counts.orderBy(F.desc("n"), "w").limit(min(CLASSES, frequent))
+    else:
+        near = counts.where(F.lit(False) if lowest is None else step >= lowest)
+    top = sorted(((bytes(r["w"]), int(r["n"])) for r in near.collect()), key=lambda x: (-x[1], x[0]))
     # Own words are taken out of the class sums by subtraction: no join, one pass.
     cls = (F.crc32(F.expr(f"substring(w, greatest(length(w) - {ENDING - 1}, 1), {ENDING})")) % TAIL).cast("int")
     tail_n, tail_v = np.zeros(TAIL, np.int64), np.zeros(TAIL, np.int64)

@@ -222,11 +222,50 @@ def test_scores(spark, docs, rows, no_docs, monkeypatch):
         want.append((str(i), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 5)))
     assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got) == sorted(want)
     assert all(r["score"] < 0 for r in got)
+    # The model's probability of every token, one at a time.
+    few = lm_scoring.vocabulary(counts, 12)
+    own, stop = lm_scoring.CLASSES - lm_scoring.TAIL, lm_scoring.STOP
+    table = model.table().astype(float)
+    at = {w: i for i, w in enumerate(few.words[:own])}
+    cls = lambda w: at[w] if w in at else lm_scoring.tail_class(w)
+    sums = []
+    for i, t in rows:
+        ws = lm_scoring.tokens((t or "").encode())
+        total = 0.0
+        for j, w in enumerate(ws):
+            two = cls(ws[j - 1]) if j else cls(stop)
+            one = cls(ws[j - 2]) if j > 1 else cls(stop)
+            total += table[one * lm_scoring.CLASSES + two, cls(w)]
+            total += 0 if w in at else math.log10(c[w] + 1) - few.places[cls(w)]
+        sums.append((str(i), round(total, 3)))
+    mine = sorted((str(r["doc_id"]), round(r["score"], 3)) for r in got)
+    assert [i for i, _ in mine] == [i for i, _ in sorted(sums)]
+    assert [x for _, x in mine] == pytest.approx([x for _, x in sorted(sums)], rel=1e-4, abs=0.01)
     assert lm_scoring.score(no_docs, counts, words, model).count() == 0
     none = lm_scoring.fitted(docs, F.lit(False))
     assert {(r["n_known"], r["train_tokens"]) for r in lm_scoring.score(docs, *none).collect()} == {(0, 0)}
 
 
+def test_long_words_are_counted_whole(spark):
+    long = "x" * 3000
+    texts = [long + "a b", long + "b b", long + "a c", "x" * 64 + " b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts, words, model = lm_scoring.fitted(df)
+    got = {r["doc_id"]: r for r in lm_scoring.score(df, counts, words, model).collect()}
+    c = Counter(w for t in texts for w in [*t.split(), "\n"])
+    n, v = sum(c.values()), len(c)
+    for i, t in enumerate(texts):
+        want = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in [*t.split(), "\n"])
+        assert got[i]["base_score"] == pytest.approx(want, abs=1e-9) and got[i]["n_known"] == got[i]["n_tokens"] == 3
+
+
+def test_frequent_words_stay_within_their_number(spark):
+    counts = spark.createDataFrame([(f"w{i:05d}".encode(), 1 + 5000 // (i + 1)) for i in range(9000)], "w binary, n long")
+    words = lm_scoring.vocabulary(counts, 1000)
+    assert lm_scoring.CLASSES <= len(words.words) <= 1000
+    assert words.words == [f"w{i:05d}".encode() for i in range(len(words.words))]
+
+
 def test_probabilities_sum_to_one(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     counts, words, model = lm_scoring.fitted(df)
