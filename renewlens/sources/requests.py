@@ -85,7 +85,10 @@ def check_records(df: DataFrame, value_col: str = "value", schema: T.StructType
     reason = (F.when(F.col("_what").isNull(), F.lit(MALFORMED)).when(~F.col("_what").startswith("OBJECT"), F.lit(NOT_AN_OBJECT))
               .when(F.col("_wrong") != "", F.col("_wrong")))
     rows = rows.select(*others, RAW, RECORD, reason.alias(REASON))
-    return rows.withColumn(RECORD, F.when(F.col(REASON).isNull(), F.col(RECORD)))
+    told = F.struct(RAW, F.when(F.col(REASON).isNull(), F.col(RECORD)).alias(RECORD), REASON)
+    # Out of a generator: a filter on the reason would else be pushed below the steps, with all of them
+    # written out in it, and parse the text again for every use of a field.
+    return rows.select(*others, F.inline(F.array(told)))
 
 
 def accepted(checked: DataFrame) -> DataFrame:
@@ -123,7 +126,13 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType = RECORD_S
     Refused records go to ``refused_to`` (Parquet: value, reason). Without it a batch that holds
     any raises, with the counts by reason, as a service answers the whole request.
     """
-    checked = read_checked(spark, path, schema)
+    from .files import unique_scratch
+
+    # Checked once: the outcome lies in the shared folder (raw text of refused records only), both answers read it.
+    kept = unique_scratch(spark, "checked")
+    checked = read_checked(spark, path, schema).withColumn(RAW, F.when(F.col(REASON).isNotNull(), F.col(RAW)))
+    checked.write.parquet(kept)
+    checked = spark.read.schema(checked.schema).parquet(kept)
     if refused_to:
         refused(checked).write.mode("overwrite").parquet(refused_to)
     else:

@@ -140,3 +140,17 @@ def test_csv_sinks_read_back(spark, tmp_path):
     parts = FS.write_predictions(df, str(tmp_path / "c"), fmt="csv", partition_by=["level_tag"])
     assert sorted(map(tuple, FS.read_csv(spark, parts, typed).collect()), key=str) == sorted(rows, key=str)
     assert config.PROBABILITY_COLUMN == "pred_probability"
+
+
+def test_text_is_parsed_once(spark, tmp_path):
+    """A filter on the reason is not pushed below the parsing, and a read batch is checked once."""
+    df = spark.createDataFrame([(v,) for v, *_ in CASES], "value string")
+    for part in (RQ.accepted, RQ.refused, RQ.reason_counts):
+        plan = part(RQ.check_records(df))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parseJson") == 1
+    path = str(tmp_path / "in")
+    df.write.text(path)
+    good = RQ.read_records(spark, path, refused_to=str(tmp_path / "refused"))
+    assert "parseJson" not in good._jdf.queryExecution().optimizedPlan().toString()
+    assert good.count() == sum(1 for _, why, _ in CASES if not why)
+    assert {r["reason"] for r in spark.read.parquet(str(tmp_path / "refused")).collect()} == {why for _, why, _ in CASES if why}
