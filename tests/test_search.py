@@ -52,6 +52,18 @@ def test_prefix_auc_is_exact(spark, fitted):
     assert prefix_auc(model, data.where(F.col(LABEL_COL) == 1.0), [1, 2]) == [None, None]
 
 
+def test_prefix_margins_walk_the_trees_once(spark, fitted):
+    """The plan does not grow with the prefixes, each row's leaves are found once, gaps sum up the same."""
+    model, data = fitted
+    plan = lambda wanted: prefix_margins(model, data, wanted)._jdf.queryExecution().executedPlan().toString()
+    few, many = plan([1, 60]), plan(list(range(1, 61)))
+    assert few.count("zip_with(") == many.count("zip_with(") and many.count(" aggregate(") <= 1 and many.count("slice(") == 0
+    assert few.count("UDF(") == many.count("UDF(")
+    every = {tuple(r["margins"][n - 1] for n in (3, 40, 66, 70)) for r in prefix_margins(model, data, list(range(1, 71))).collect()}
+    some = {tuple(r["margins"]) for r in prefix_margins(model, data, [3, 40, 66, 70]).collect()}
+    assert np.allclose(sorted(every), sorted(some), atol=1e-12)
+
+
 def test_groups_cover_the_grid_once():
     space = {"a": [1, 2, 3], "n_estimators": [10, 20], "b": ["x", "y"]}
     found = {}
