@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 
 import numpy as np
@@ -19,6 +20,8 @@ from renewlens.session import ensure_checkpoint_dir
 BATCH_CHARS = 8_000_000
 
 _SCRATCH: set[str] = set()
+#: What this Python worker keeps between tasks, and whether the present task uses it.
+_RESIDENT: dict = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,13 +88,43 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [t or b"" for t in pc.cast(batch.column(column), pa.binary()).to_pylist()]
 
 
+def resident(key, build):
+    """``build()``, kept in the Python worker for further tasks that ask for the same key; to be called
+    in ``make``. One object is kept at a time, until a task of ``python_columns`` begins that asks for none."""
+    if "value" not in _RESIDENT or _RESIDENT["key"] != key:
+        _RESIDENT.clear()
+        _RESIDENT.update(key=key, value=build())
+    _RESIDENT["used"] = True
+    return _RESIDENT["value"]
+
+
+def begun(make):
+    """``make()``, after which nothing of another operator's tasks stays in this Python worker."""
+    _RESIDENT["used"] = False
+    made = make()
+    if not _RESIDENT["used"]:
+        _RESIDENT.clear()
+        give_back()
+    return made
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again, and both allocators keep what a task freed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        return
+
+
 def python_columns(df: DataFrame, make, new: str, text: str | None = "_text", drop: tuple[str, ...] = (),
                    chars: int = BATCH_CHARS) -> DataFrame:
     """``df`` without ``drop`` and with the columns ``new`` (DDL) that Python adds.
 
     ``make()`` is called once per task and returns a function from an Arrow batch
     to a dict of value lists; all other columns pass through as they are. Batches are
-    cut by the bytes of the column ``text``, if one is named.
+    cut by the bytes of the column ``text``, if one is named. Between tasks a worker
+    keeps ``resident`` objects only.
     """
     added = StructType.fromDDL(new)
     schema = StructType([f for f in df.schema.fields if f.name not in drop] + added.fields)
@@ -99,7 +132,8 @@ def python_columns(df: DataFrame, make, new: str, text: str | None = "_text", dr
     types = [(f.name, to_arrow_type(f.dataType)) for f in added.fields]
 
     def run(batches):
-        f = make()
+        f = begun(make)
+        batch = part = cols = None
         for batch in batches:
             for part in text_slices(batch, text, chars) if text else [batch]:
                 cols = f(part)
@@ -107,6 +141,8 @@ def python_columns(df: DataFrame, make, new: str, text: str | None = "_text", dr
                     [part.column(n) for n in kept]
                     + [cols[n] if isinstance(cols[n], pa.Array) else pa.array(cols[n], t) for n, t in types],
                     names=kept + [n for n, _ in types])
+        del f, batch, part, cols
+        give_back()
 
     return df.mapInArrow(run, schema)
 

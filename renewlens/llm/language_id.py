@@ -44,6 +44,8 @@ WORD_BYTES = 64
 FEATURE_BYTES = 500_000
 #: Words per step of the forward-backward scan.
 STEP = 64
+#: Text bytes predicted at once: vocabulary, features and states of a slice take about twenty times as much.
+SLICE_CHARS = 2_000_000
 
 _ASCII_LETTER = re.compile(rb"[a-z]")
 
@@ -322,7 +324,7 @@ def identify(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
         return run
 
     out = python_columns(select_as(docs, id_col, text_col, keep), make, "lang_pred string, lang_score double",
-                         drop=("_text",))
+                         drop=("_text",), chars=SLICE_CHARS)
     return out.select(*named(id_col, keep), "lang_pred", F.col("lang_score").alias("score"))
 
 

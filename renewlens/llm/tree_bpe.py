@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from renewlens.llm.common import list_array, named, python_columns, select_as, table, texts_of
+from renewlens.llm.common import list_array, named, python_columns, resident, select_as, table, texts_of
 
 #: Pieces of at most this many bytes are merged directly, as leaves of the tree.
 LEAF = 6
@@ -34,7 +34,7 @@ LEAF = 6
 HEAP = 64
 #: Entries a worker's caches of pieces, of chunks between blanks, and of short windows and pairs hold;
 #: beyond them, new ones are encoded each time.
-CACHE = 700_000
+CACHE = 350_000
 CHUNK_CACHE = 120_000
 SMALL_CACHE = 150_000
 #: Longer pieces are not cached.
@@ -182,13 +182,9 @@ class TreeBpe:
 
 
 def _coder(shared):
-    """One encoder per Python worker, so caches outlive a task."""
-    coders = _coder.__dict__.setdefault("made", {})
+    """One encoder per Python worker, so caches outlive a task, but not the operator."""
     key = shared._path if hasattr(shared, "_path") else id(shared)
-    if key not in coders:
-        coders.clear()
-        coders[key] = TreeBpe(*shared.value)
-    return coders[key]
+    return resident(("tree_bpe", key), lambda: TreeBpe(*shared.value))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",

@@ -14,8 +14,8 @@ import tiktoken
 from llm_data import docs, no_docs, rows  # noqa: F401
 from tokenizers import Tokenizer
 
-from renewlens.llm import token_files, tree_bpe
-from renewlens.llm.common import scratch_path
+from renewlens.llm import common, token_files, tree_bpe
+from renewlens.llm.common import python_columns, scratch_path, select_as
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -150,3 +150,30 @@ def test_hot_and_text_ids(spark):
         assert ids == sorted((i for i, _ in given), key=lambda i: (i is not None, i if i is not None else 0))
         hot = "m" if kind == "string" else 7
         assert len({r["part"] for r in got if r["_id"] == hot}) > 2 and len({r["part"] for r in got if r["_id"] is None}) > 1
+
+
+def test_encoders_leave_workers_with_their_operator(spark):
+    """A worker keeps an encoder's caches between tasks of its operator only, not beside another operator's."""
+    texts = spark.createDataFrame([(i, f"stone light {i}") for i in range(400)], "doc_id long, text string").repartition(16)
+
+    def make():
+        import gc
+
+        return lambda batch: {"held": [sum(isinstance(o, tree_bpe.TreeBpe) for o in gc.get_objects())] * batch.num_rows}
+
+    tree_bpe.encode(texts, RANKS, P.PATTERN).write.format("noop").mode("overwrite").save()
+    after = python_columns(select_as(texts, "doc_id", "text"), make, "held int").collect()
+    assert len(after) == 400 and max(r["held"] for r in after) == 0
+
+
+def test_resident_object_is_one_and_goes():
+    made = []
+
+    def of(key):
+        return lambda: common.resident(key, lambda: made.append(key) or [key])
+
+    first = common.begun(of("a"))
+    assert common.begun(of("a")) is first and made == ["a"]  # the next task of the operator finds it
+    assert common.begun(of("b")) == ["b"] and common.begun(of("a")) is not first and made == ["a", "b", "a"]
+    common.begun(lambda: None)
+    assert not {"key", "value"} & set(common._RESIDENT)
