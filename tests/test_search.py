@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from renewlens.operators import metrics as M
 from renewlens.plans import fold_store, tuning
-from renewlens.plans.model import FEATURES_COL, LABEL_COL, prefix_auc, prefix_margins
+from renewlens.plans import model as model_plan
+from renewlens.plans.model import FEATURES_COL, LABEL_COL, first_trees, prefix_auc, prefix_counts, prefix_margins
 from renewlens.plans.tuning import cross_validate, decode_candidate, grid_groups, list_groups, search
 
 
@@ -64,6 +65,37 @@ def test_prefix_margins_walk_the_trees_once(spark, fitted):
     assert np.allclose(sorted(every), sorted(some), atol=1e-12)
 
 
+def test_counting_walks_no_row_twice(spark, fitted, monkeypatch):
+    """One walk in the plan (no filter on the array's size does it again below), over combinations of
+    leaves where the trees are few; the same counts as row by row, a row without label in none."""
+    model, data = fitted
+    few = first_trees(model, 10)
+    odd = data.union(spark.createDataFrame([(Vectors.dense([1.0, 2.0, 3.0]), None)], data.schema)).checkpoint()
+    plan = lambda m: prefix_counts(m, odd, [2, 10])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(few).count(" aggregate(") == 1 and plan(model).count(" aggregate(") == 1
+    assert "Aggregate [_leaf" in plan(few) and "Aggregate [_leaf" not in plan(model)
+    counted = lambda: sorted((r["prefix"], round(r["score"], 12), r["pos"], r["neg"]) for r in prefix_counts(few, odd, [2, 10]).collect())
+    by_leaves, want = counted(), prefix_auc(few, odd, [2, 10])
+    monkeypatch.setattr(model_plan, "LEAF_KEY_TREES", 0)
+    assert counted() == by_leaves and prefix_auc(few, odd, [2, 10]) == pytest.approx(want, abs=1e-12)
+    assert sum(p + n for k, _, p, n in by_leaves if k == 0) == 400
+
+
+def test_constant_slots_are_left_out_of_fits(spark, rows, monkeypatch):
+    """Slots of one value are no feature of a fit that takes all of them; scores are the same as with them."""
+    from pyspark.ml.classification import GBTClassifier
+
+    widths, plain = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, *a: (widths.append(len(a[0].first()[FEATURES_COL])), plain(self, *a))[1])
+    space = [{"max_depth": 2, "n_estimators": 3, "learning_rate": 0.3}]
+    table = lambda r: [x["test_score"] for x in r.fold_scores.orderBy("fold").collect()]
+    some = table(cross_validate(rows, space, 2, 42, refit=False))
+    whole = table(cross_validate(rows, [{**space[0], "colsample_bytree": 1.0}], 2, 42, refit=False))
+    assert some == pytest.approx(whole, abs=1e-12)
+    assert max(widths[:2]) < min(widths[2:]) and set(widths[:2]) == {3}
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_groups_cover_the_grid_once():
     space = {"a": [1, 2, 3], "n_estimators": [10, 20], "b": ["x", "y"]}
     found = {}
