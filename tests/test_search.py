@@ -2,13 +2,14 @@
 
 import numpy as np
 import pytest
+from conftest import SF_SMALL
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from renewlens.operators import metrics as M
 from renewlens.plans import fold_store, tuning
 from renewlens.plans import model as model_plan
-from renewlens.plans.model import FEATURES_COL, LABEL_COL, first_trees, prefix_auc, prefix_counts, prefix_margins
+from renewlens.plans.model import FEATURES_COL, LABEL_COL, fit_watched, first_trees, patience_stop, prefix_auc, prefix_counts, prefix_margins
 from renewlens.plans.tuning import cross_validate, decode_candidate, grid_groups, list_groups, search
 
 
@@ -81,6 +82,49 @@ def test_counting_walks_no_row_twice(spark, fitted, monkeypatch):
     assert sum(p + n for k, _, p, n in by_leaves if k == 0) == 400
 
 
+def test_a_watched_fit_ends_with_its_patience(fitted, monkeypatch):
+    """The model kept is that of all trees cut by patience; trees behind the end are not fitted."""
+    from pyspark.ml.classification import GBTClassifier
+
+    monkeypatch.setattr(model_plan, "FIRST_TREES", 4)
+    _, data = fitted
+    total = 16
+    train, valid = (data.where(F.pmod(F.xxhash64(FEATURES_COL, LABEL_COL), F.lit(3)) == 0), data.where(F.pmod(F.xxhash64(FEATURES_COL, LABEL_COL), F.lit(3)) > 0))
+    gbt = GBTClassifier(featuresCol=FEATURES_COL, labelCol=LABEL_COL, maxIter=total, maxDepth=1, stepSize=0.3, subsamplingRate=0.7, seed=1)
+    whole = gbt.fit(train)
+    values = prefix_auc(whole, valid)
+    fits, plain = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, *a: (fits.append(self.getMaxIter()), plain(self, *a))[1])
+    shape = lambda model: [t.toDebugString.split("\n", 1)[1] for t in model.trees]
+    for rounds in (1, total):
+        fits.clear()
+        got, keep = fit_watched(gbt, train, valid, rounds), patience_stop(values, rounds)
+        assert shape(got) == shape(whole)[:keep]
+        assert fits == ([4] if keep + rounds <= 4 else [4, total] if rounds == 1 else [total])
+    fits.clear()
+    assert len(fit_watched(gbt, train, valid.where(F.col(LABEL_COL) == 1.0), 1).trees) == total and fits == [4, total]
+
+
+def test_early_stopping_asks_for_the_configured_trees(spark, monkeypatch):
+    """The query fits the configured parameters: all trees, the whole depth."""
+    from renewlens import catalog, config
+
+    asked = []
+
+    class Kept:
+        trees = 3
+
+    def noted(train, valid, params, overrides=None, early_stopping_rounds=None, **kw):
+        assert not overrides and not kw and params == config.MODEL_PARAMS
+        asked.append(early_stopping_rounds)
+        return Kept
+
+    monkeypatch.setattr(model_plan, "train_model", noted)
+    got = catalog.QUERIES["early_stopping"](spark, SF_SMALL).collect()
+    assert asked == [5, config.EARLY_STOPPING_ROUNDS]
+    assert [tuple(r) for r in got] == [("patience_5", 600, 3), (f"patience_{config.EARLY_STOPPING_ROUNDS}", 600, 3)]
+
+
 def test_constant_slots_are_left_out_of_fits(spark, rows, monkeypatch):
     """Slots of one value are no feature of a fit that takes all of them; scores are the same as with them."""
     from pyspark.ml.classification import GBTClassifier
