@@ -125,6 +125,26 @@ def test_early_stopping_asks_for_the_configured_trees(spark, monkeypatch):
     assert [tuple(r) for r in got] == [("patience_5", 600, 3), (f"patience_{config.EARLY_STOPPING_ROUNDS}", 600, 3)]
 
 
+def test_cv_comparison_takes_the_configured_model_and_folds(spark, monkeypatch):
+    """The default that the searched best meets is the configured one, on the configured folds."""
+    from types import SimpleNamespace
+
+    from renewlens import catalog, config
+
+    asked = []
+    monkeypatch.setattr(catalog, "_small_search", lambda *a, **kw: SimpleNamespace(base_params={"random_state": 42}, best_params={"max_depth": 3}))
+    monkeypatch.setattr(tuning, "compare_with_default", lambda train, best, default, cv, seed, **kw: asked.append((best, default, cv, seed, kw)))
+    catalog.QUERIES["cv_comparison"](spark, SF_SMALL)
+    assert asked == [({"random_state": 42, "max_depth": 3}, config.MODEL_PARAMS, 5, config.RANDOM_STATE, {})]
+    assert config.MODEL_PARAMS["n_estimators"] == 600 and config.MODEL_PARAMS["max_depth"] == 8
+
+
+def test_fits_at_a_time_fill_the_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert tuning.fits_at_a_time(spark, -1, 1) == cores and tuning.fits_at_a_time(spark, -1, 100) == max(2, cores // 4)
+    assert tuning.fits_at_a_time(spark, -1) == max(2, cores // 4) and tuning.fits_at_a_time(spark, 3, 1) == 3
+
+
 def test_constant_slots_are_left_out_of_fits(spark, rows, monkeypatch):
     """Slots of one value are no feature of a fit that takes all of them; scores are the same as with them."""
     from pyspark.ml.classification import GBTClassifier
